@@ -236,3 +236,124 @@ SELECT to_json(struct_pack(
 def q_listing_json(spark, sf_dir):
     """JSON envelope of page 2 (limit 5) of source src1."""
     return LS.page_envelope(AR_select(FX.articles_view(spark, sf_dir)), page=2, limit=5, source="src1")
+
+
+# ------------------------------------------------------------------------------ upsert
+import datetime as _dt  # noqa: E402
+
+from pressroom.operators import upsert as UP  # noqa: E402
+
+BATCH_TIME = _dt.datetime(2024, 2, 1, 0, 0, 0)
+_BT = "TIMESTAMP '2024-02-01 00:00:00'"
+
+_TITLE_DUPS_SQL = f"""
+  SELECT id AS seq, title, perex, lang AS source, url, title_hash FROM ({O.ARTICLES}) a"""
+_URL_DUPS_SQL = f"""
+  SELECT seq, title, perex, source, url, {O.title_hash('title')} AS title_hash FROM (
+    SELECT id AS seq, title || ' ' || CAST(id AS VARCHAR) AS title, perex, source,
+           'https://x.example.com/a/' || CAST(id % 97 AS VARCHAR) AS url FROM ({O.ARTICLES}) a) b0"""
+
+
+@register("upsert_title_dups", f"""
+WITH b AS ({_TITLE_DUPS_SQL}),
+g AS (SELECT source, title_hash, min(seq) AS first_seq, arg_min(title, seq) AS title,
+             arg_max(url, seq) AS url, arg_max(perex, seq) AS perex FROM b GROUP BY source, title_hash)
+SELECT CAST(row_number() OVER (ORDER BY first_seq) AS BIGINT) AS id, title, perex, source, url, title_hash,
+       {_BT} AS scraped_at, {_BT} AS updated_at FROM g""")
+def q_upsert_title_dups(spark, sf_dir):
+    """Batch in which only the (title_hash, source) rule fires, into an
+    empty table: per group the first item's id/title, the last item's url/perex."""
+    return UP.upsert_articles(UP.empty_articles(spark), FX.batch_title_dups(spark, sf_dir), BATCH_TIME).table
+
+
+@register("upsert_url_dups", f"""
+WITH b AS ({_URL_DUPS_SQL}),
+g AS (SELECT url, min(seq) AS first_seq, arg_min(source, seq) AS source, arg_max(title, seq) AS title,
+             arg_max(perex, seq) AS perex, arg_max(title_hash, seq) AS title_hash FROM b GROUP BY url)
+SELECT CAST(row_number() OVER (ORDER BY first_seq) AS BIGINT) AS id, title, perex, source, url, title_hash,
+       {_BT} AS scraped_at, {_BT} AS updated_at FROM g""")
+def q_upsert_url_dups(spark, sf_dir):
+    """Batch in which only the url rule fires (97 urls shared across
+    sources): per url the first item's id/source, the last item's title/perex/hash."""
+    return UP.upsert_articles(UP.empty_articles(spark), FX.batch_url_dups(spark, sf_dir), BATCH_TIME).table
+
+
+@register("ingest_summary_title_dups", f"""
+WITH b AS ({_TITLE_DUPS_SQL}), r AS (SELECT source, title_hash, count(*) AS n FROM b GROUP BY 1, 2)
+SELECT source, CAST(count(*) AS BIGINT) AS new, CAST(sum(n) - count(*) AS BIGINT) AS updated,
+       CAST(0 AS BIGINT) AS by_url, CAST(sum(n) - count(*) AS BIGINT) AS by_title
+FROM r GROUP BY ROLLUP (source)""")
+def q_ingest_summary_title_dups(spark, sf_dir):
+    """J6 + A2: outcome tags of the title-rule batch rolled up per source + total."""
+    res = UP.upsert_articles(UP.empty_articles(spark), FX.batch_title_dups(spark, sf_dir), BATCH_TIME)
+    return UP.ingest_summary(res.outcomes)
+
+
+@register("ingest_summary_url_dups", f"""
+WITH b AS ({_URL_DUPS_SQL}),
+f AS (SELECT seq, source, seq = min(seq) OVER (PARTITION BY url) AS first FROM b)
+SELECT source, CAST(count_if(first) AS BIGINT) AS new, CAST(count_if(NOT first) AS BIGINT) AS updated,
+       CAST(count_if(NOT first) AS BIGINT) AS by_url, CAST(0 AS BIGINT) AS by_title
+FROM f GROUP BY ROLLUP (source)""")
+def q_ingest_summary_url_dups(spark, sf_dir):
+    """J6 + A2 for the url-rule batch (updates counted under the item's source)."""
+    res = UP.upsert_articles(UP.empty_articles(spark), FX.batch_url_dups(spark, sf_dir), BATCH_TIME)
+    return UP.ingest_summary(res.outcomes)
+
+
+@register("upsert_mixed")
+def q_upsert_mixed(spark, sf_dir):
+    """J1-J6 contested: both rules fire and interact (urls shared through doc_id % 97
+    across languages, 80-char title duplicates); applied on top of the articles_view
+    table.  Order-dependent, so no closed SQL form: checked rows-only here and
+    against a sequential brute-force fold in tests/test_upsert.py."""
+    existing = AR_select(FX.articles_view(spark, sf_dir))
+    return UP.upsert_articles(existing, FX.batch_mixed(spark, sf_dir), BATCH_TIME).table
+
+
+_REKEY_SQL = f"""
+  SELECT id AS seq, title, perex, source,
+         'https://' || source || '.example.com/a/' || CAST((id * 7) % (SELECT count(*) FROM documents) AS VARCHAR) AS url,
+         title_hash FROM ({O.ARTICLES}) a"""
+
+
+def _rekeyed(spark, sf_dir):
+    a = FX.articles_view(spark, sf_dir)
+    n = FX.table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"))
+    return a.crossJoin(F.broadcast(n)).select(
+        F.col("id").alias("seq"), "title", "perex", "source",
+        F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/a/"),
+                 ((F.col("id") * 7) % F.col("n")).cast("string")).alias("url"),
+        "title_hash")
+
+
+@register("match_by_url", f"""
+WITH e AS ({O.ARTICLES}), i AS ({_REKEY_SQL}), m AS (SELECT url, min(id) AS id FROM e GROUP BY url)
+SELECT i.seq, i.url, m.id FROM i LEFT JOIN m USING (url)""")
+def q_match_by_url(spark, sf_dir):
+    """J1 lookup against the table before the batch (lowest id per url)."""
+    e = AR_select(FX.articles_view(spark, sf_dir))
+    return UP.match_by_url(e, _rekeyed(spark, sf_dir)).select("seq", "url", "id")
+
+
+@register("match_by_title", f"""
+WITH e AS ({O.ARTICLES}), i AS (SELECT id AS seq, title_hash, lang AS source FROM ({O.ARTICLES}) a0),
+m AS (SELECT title_hash, source, min(id) AS id FROM (SELECT id, title_hash, lang AS source FROM e) e2 GROUP BY 1, 2)
+SELECT i.seq, i.title_hash, i.source, m.id FROM i LEFT JOIN m USING (title_hash, source)""")
+def q_match_by_title(spark, sf_dir):
+    """J2 lookup against the table before the batch (lowest id per (hash, source))."""
+    a = FX.articles_view(spark, sf_dir)
+    e = a.select("id", "title_hash", F.col("lang").alias("source"))
+    i = a.select(F.col("id").alias("seq"), "title_hash", F.col("lang").alias("source"))
+    return UP.match_by_title(e, i).select("seq", "title_hash", "source", "id")
+
+
+@register("new_articles", f"""
+WITH e AS ({O.ARTICLES}), i AS (SELECT seq, url, source, md5(title_hash || 'x') AS title_hash FROM ({_REKEY_SQL}) r)
+SELECT seq, url FROM i WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.url = i.url)
+  AND NOT EXISTS (SELECT 1 FROM e WHERE e.title_hash = i.title_hash AND e.source = i.source)""")
+def q_new_articles(spark, sf_dir):
+    """J4 fast-path predicate: items missing the table on both keys."""
+    e = AR_select(FX.articles_view(spark, sf_dir))
+    i = _rekeyed(spark, sf_dir).withColumn("title_hash", F.md5(F.concat("title_hash", F.lit("x"))))
+    return UP.new_articles(e, i).select("seq", "url")
