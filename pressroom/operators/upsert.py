@@ -125,13 +125,14 @@ def _heap_min(heap, rows, valid):
     return None
 
 
-def _dense_rank_by(df: DataFrame, order_col: str, out_col: str) -> DataFrame:
-    """1-based dense rank of a unique ``order_col`` without a single-partition window:
+def _dense_rank_by(df: DataFrame, order_cols, out_col: str) -> DataFrame:
+    """1-based rank by unique ``order_cols`` without a single-partition window:
     range-partition, number rows inside each partition, add the partition offsets
     (one row per partition goes to the driver)."""
     spark = df.sparkSession
+    order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    s = (df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
+    s = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
          .withColumn("_mid", F.monotonically_increasing_id()))
     s = s.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_loc", F.col("_mid").bitwiseAND((1 << 33) - 1))
     s = s.checkpoint()  # fixes the numbering before it is used twice

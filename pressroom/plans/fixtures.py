@@ -103,7 +103,8 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
              .groupBy("source", "blk")
              .agg(F.array_sort(F.collect_list("e")).alias("es")))
     return pages.select(
-        F.xxhash64("source", "blk").alias("page_id"),
+        F.col("es")[0]["doc_id"].alias("page_id"),   # first doc id: unique per page
+        F.lit("listing").alias("profile"),
         "source",
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com")).alias("base_url"),
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/")).alias("url"),
