@@ -494,3 +494,109 @@ def q_ingest_pages_summary(spark, sf_dir):
     """S8 over the stored pages (fallback profile, source = host): per-host summary."""
     res = IN.ingest(_pages(spark, sf_dir), UP.empty_articles(spark), BATCH_TIME)
     return res.summary
+
+
+# ------------------------------------------------------------- schema evolution, store
+from pressroom.operators import schema as SC  # noqa: E402
+from pressroom.session import scratch_path  # noqa: E402
+from pressroom.sources import store as ST  # noqa: E402
+
+_FILL = "(title IS NOT NULL AND title <> '')"
+
+
+@register("migrate_v2_missing", f"""
+SELECT id, title, perex, source, url,
+       CASE WHEN {_FILL} THEN {O.title_hash('title')} END AS title_hash, scraped_at,
+       CASE WHEN {_FILL} THEN {_BT} END AS updated_at
+FROM ({O.ARTICLES}) a""")
+def q_migrate_v2_missing(spark, sf_dir):
+    """M1 + M2 + M3 on a pre-migration table lacking title_hash and updated_at."""
+    df, _ = SC.migrate_v2(FX.legacy_articles(spark, sf_dir, "missing"), BATCH_TIME)
+    return df.select(*AR.ARTICLE_COLUMNS)
+
+
+_BLANK_SQL = f"""
+  SELECT id, CASE WHEN id % 30 = 0 THEN '' ELSE title END AS title, perex, source, url,
+         CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN '' ELSE title_hash END AS title_hash,
+         scraped_at, updated_at FROM ({O.ARTICLES}) a"""
+_MISSING = "(title_hash IS NULL OR title_hash = '')"
+
+
+@register("migrate_v2_blank", f"""
+SELECT id, title, perex, source, url,
+       CASE WHEN {_MISSING} AND {_FILL} THEN {O.title_hash('title')} ELSE title_hash END AS title_hash,
+       scraped_at,
+       CASE WHEN {_MISSING} AND {_FILL} THEN {_BT} ELSE updated_at END AS updated_at
+FROM ({_BLANK_SQL}) l""")
+def q_migrate_v2_blank(spark, sf_dir):
+    """M2 + F5: NULL and '' hashes are filled where the title is non-empty; empty
+    titles stay unfilled; existing columns are not re-added (M1 returns False)."""
+    df, _ = SC.migrate_v2(FX.legacy_articles(spark, sf_dir, "blank"), BATCH_TIME)
+    return df.select(*AR.ARTICLE_COLUMNS)
+
+
+@register("missing_keys", f"""
+SELECT source, count(*) AS n, count_if({_FILL}) AS fillable FROM ({_BLANK_SQL}) l WHERE {_MISSING} GROUP BY source""")
+def q_missing_keys(spark, sf_dir):
+    """rows with a missing key per source, and how many the backfill can fill."""
+    df = FX.legacy_articles(spark, sf_dir, "blank")
+    fillable = F.col("title").isNotNull() & (F.col("title") != "")
+    return (df.filter(AR.missing_key_predicate("title_hash")).groupBy("source")
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if(fillable).alias("fillable")))
+
+
+def _v2_items(spark, sf_dir):
+    """Second scrape of every article: same title and source, a new mobile url and a
+    new perex; arrival = doc id."""
+    a = FX.articles_view(spark, sf_dir)
+    return a.select(F.col("id").alias("seq"), "title", F.concat(F.lit("v2 "), F.col("perex")).alias("perex"), "source",
+                    F.concat(F.lit("https://m."), F.col("source"), F.lit(".example.com/a/"), F.col("id").cast("string")).alias("url"),
+                    "title_hash")
+
+
+_CHANGELOG_SQL = f"""
+WITH a AS ({O.ARTICLES}),
+i AS (SELECT id AS seq, 'v2 ' || perex AS perex, source, title_hash,
+             'https://m.' || source || '.example.com/a/' || CAST(id AS VARCHAR) AS url FROM a),
+g AS (SELECT source, title_hash, min(id) AS target FROM a GROUP BY 1, 2),
+w AS (SELECT g.target, arg_max(i.url, i.seq) AS url, arg_max(i.perex, i.seq) AS perex
+      FROM i JOIN g USING (source, title_hash) GROUP BY g.target)
+SELECT a.id, a.title, coalesce(w.perex, a.perex) AS perex, a.source, coalesce(w.url, a.url) AS url, a.title_hash,
+       a.scraped_at, CASE WHEN w.target IS NULL THEN a.updated_at ELSE {_BT} END AS updated_at
+FROM a LEFT JOIN w ON a.id = w.target"""
+
+
+def _changelog_two_batches(spark, sf_dir, compact_between: bool):
+    path = scratch_path(spark, "articles")
+    ST.write_changes(AR_select(FX.articles_view(spark, sf_dir)), path, ST.next_batch_id(spark, path))
+    if compact_between:
+        ST.compact(spark, path)
+    res = UP.upsert_articles(ST.read_articles(spark, path), _v2_items(spark, sf_dir), BATCH_TIME)
+    bid = ST.next_batch_id(spark, path)
+    ST.write_changes(res.changes, path, bid)
+    ST.write_changes(res.changes, path, bid)  # replaying a batch changes nothing
+    return ST.read_articles(spark, path)
+
+
+@register("changelog_latest", _CHANGELOG_SQL)
+def q_changelog_latest(spark, sf_dir):
+    """S4 + S3 + J2: batch 1 writes the table, batch 2 re-scrapes every article under
+    a new url (title rule: the lowest id of each (hash, source) takes the last url and
+    perex); batch 2 is committed twice (idempotent); the read keeps the newest
+    version per id."""
+    return _changelog_two_batches(spark, sf_dir, compact_between=False)
+
+
+@register("changelog_compacted", _CHANGELOG_SQL)
+def q_changelog_compacted(spark, sf_dir):
+    """Compaction between the batches: base + later log partitions read the same."""
+    return _changelog_two_batches(spark, sf_dir, compact_between=True)
+
+
+@register("snapshot_roundtrip", f"SELECT id, title, perex, source, url, title_hash, scraped_at, updated_at FROM ({O.ARTICLES}) a")
+def q_snapshot_roundtrip(spark, sf_dir):
+    """A timestamp-suffixed, never-overwriting copy of the table, read back."""
+    path = scratch_path(spark, "articles")
+    ST.write_changes(AR_select(FX.articles_view(spark, sf_dir)), path, 1)
+    target = ST.snapshot_table(spark, path, when=BATCH_TIME)
+    return spark.read.parquet(target).select(*AR.ARTICLE_COLUMNS)
