@@ -600,3 +600,71 @@ def q_snapshot_roundtrip(spark, sf_dir):
     ST.write_changes(AR_select(FX.articles_view(spark, sf_dir)), path, 1)
     target = ST.snapshot_table(spark, path, when=BATCH_TIME)
     return spark.read.parquet(target).select(*AR.ARTICLE_COLUMNS)
+
+
+# --------------------------------------------------------------------------- run ledger
+from pressroom.operators import ledger as LG  # noqa: E402
+
+LEDGER_NOW = _dt.datetime(2024, 1, 31, 0, 0, 0)   # purge cutoff = now - 24 h = 2024-01-30
+
+_RUN_EVENTS_SQL = """
+  SELECT user_id AS run_id, ts, event_id,
+         CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'completed'
+                         WHEN 'error' THEN 'failed' WHEN 'click' THEN 'cancelled' END AS status,
+         CASE user_id % 3 WHEN 0 THEN 'scrape_all' WHEN 1 THEN 'scrape_source' ELSE 'periodic_scrape' END AS task_type,
+         CAST(trunc(value) AS BIGINT) AS n, event_type AS message
+  FROM events"""
+
+_RUN_STATE_SQL = f"""
+  SELECT run_id, arg_max(status, ts) AS status, arg_max(task_type, ts) AS task_type, min(ts) AS created_at,
+         max(ts) FILTER (WHERE status = 'running') AS started_at,
+         max(ts) FILTER (WHERE status IN ('completed', 'failed', 'cancelled')) AS completed_at,
+         CAST(coalesce(arg_max(n, ts) FILTER (WHERE status = 'completed'), 0) AS BIGINT) AS articles_scraped,
+         arg_max(message, ts) FILTER (WHERE status = 'failed') AS error,
+         CAST(CASE WHEN count_if(status = 'completed') > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS progress
+  FROM ({_RUN_EVENTS_SQL}) e GROUP BY run_id"""
+
+
+def _state(spark, sf_dir):
+    return LG.run_state(FX.run_events_view(spark, sf_dir))
+
+
+@register("run_state", _RUN_STATE_SQL)
+def q_run_state(spark, sf_dir):
+    """Lifecycle fold of every run from the append-only event table."""
+    return _state(spark, sf_dir)
+
+
+@register("list_runs", f"SELECT s.*, (SELECT count(*) FROM ({_RUN_STATE_SQL}) c) AS total FROM ({_RUN_STATE_SQL}) s")
+def q_list_runs(spark, sf_dir):
+    """R2: all runs with the total."""
+    return LG.list_runs(_state(spark, sf_dir))
+
+
+@register("running_runs", f"""
+WITH s AS ({_RUN_STATE_SQL}) SELECT *, (SELECT count(*) FROM s WHERE status = 'running') AS total
+FROM s WHERE status = 'running'""")
+def q_running_runs(spark, sf_dir):
+    """Running runs with their count."""
+    return LG.running_runs(_state(spark, sf_dir))
+
+
+@register("runs_by_type", f"SELECT * FROM ({_RUN_STATE_SQL}) s WHERE task_type = 'scrape_source'")
+def q_runs_by_type(spark, sf_dir):
+    """Runs of one task type."""
+    return LG.runs_by_type(_state(spark, sf_dir), "scrape_source")
+
+
+@register("run_by_id", f"SELECT * FROM ({_RUN_STATE_SQL}) s WHERE run_id = 7")
+def q_run_by_id(spark, sf_dir):
+    """One run by id."""
+    return LG.run_by_id(_state(spark, sf_dir), 7)
+
+
+@register("purge_runs", f"""
+SELECT * FROM ({_RUN_STATE_SQL}) s
+WHERE NOT coalesce(status IN ('completed', 'failed', 'cancelled') AND completed_at IS NOT NULL
+                   AND completed_at < TIMESTAMP '2024-01-30 00:00:00', false)""")
+def q_purge_runs(spark, sf_dir):
+    """Retention, dropping terminal runs completed more than 24 h before 'now'."""
+    return LG.purge_runs(_state(spark, sf_dir), LEDGER_NOW, 24)
