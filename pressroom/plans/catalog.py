@@ -668,3 +668,48 @@ WHERE NOT coalesce(status IN ('completed', 'failed', 'cancelled') AND completed_
 def q_purge_runs(spark, sf_dir):
     """Retention, dropping terminal runs completed more than 24 h before 'now'."""
     return LG.purge_runs(_state(spark, sf_dir), LEDGER_NOW, 24)
+
+
+# ---------------------------------------------------------------------------- streaming
+_PAGES_TABLE_SQL = f"""
+WITH b AS (SELECT row_number() OVER (ORDER BY page_id, pos) AS seq, * FROM ({_PAGES_DIRECT_SQL}) x),
+g AS (SELECT source, title_hash, min(seq) AS first_seq, arg_min(title, seq) AS title,
+             arg_max(url, seq) AS url, arg_max(perex, seq) AS perex FROM b GROUP BY source, title_hash)
+SELECT CAST(row_number() OVER (ORDER BY first_seq) AS BIGINT) AS id, title, perex, source, url, title_hash,
+       {_BT} AS scraped_at, {_BT} AS updated_at FROM g"""
+
+
+@register("ingest_pages", _PAGES_TABLE_SQL)
+def q_ingest_pages(spark, sf_dir):
+    """S8 over every stored page into an empty table, one batch."""
+    return IN.ingest(_pages(spark, sf_dir), UP.empty_articles(spark), BATCH_TIME).upsert.table
+
+
+def write_page_drops(spark, sf_dir, drops_dir: str, n_drops: int = 2) -> int:
+    """Copy the pages table into ``n_drops`` successive file drops of consecutive
+    page_id ranges (every page lands in exactly one drop)."""
+    pages = _pages(spark, sf_dir)
+    b = pages.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
+    lo, hi = int(b["lo"]), int(b["hi"])
+    step = (hi - lo) // n_drops + 1
+    for k in range(n_drops):
+        part = pages.filter((F.col("page_id") >= lo + k * step) & (F.col("page_id") < lo + (k + 1) * step))
+        part.coalesce(1).write.mode("append").parquet(drops_dir)
+    return n_drops
+
+
+@register("stream_ingest_pages", _PAGES_TABLE_SQL)
+def q_stream_ingest_pages(spark, sf_dir):
+    """S2 + W2 + W4: the pages arrive as two file drops; an availableNow stream ingests
+    one drop per micro-batch against the table left by the previous one.  The final
+    table equals the one-batch ingest."""
+    from pressroom.streaming.ingest_stream import stream_ingest
+    drops = scratch_path(spark, "page-drops")
+    table = scratch_path(spark, "articles")
+    write_page_drops(spark, sf_dir, drops, 2)
+    q = stream_ingest(spark, drops, table, scratch_path(spark, "stream-ckpt"), trigger="now",
+                      max_files_per_trigger=1, clock=lambda: BATCH_TIME)
+    q.awaitTermination(1800)
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return ST.read_articles(spark, table)

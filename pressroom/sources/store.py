@@ -62,16 +62,21 @@ def next_batch_id(spark: SparkSession, path: str) -> int:
     return (b[-1] + 1) if b else 1
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """S3: the article table = latest version of each id."""
-    bases = _partition_values(spark, _p(path, BASE), "upto")
+def read_articles(spark: SparkSession, path: str, as_of_batch: int | None = None) -> DataFrame:
+    """S3: the article table = latest version of each id, optionally as it was after
+    batch ``as_of_batch`` (a replayed batch reads the state before itself)."""
+    bases = [b for b in _partition_values(spark, _p(path, BASE), "upto")
+             if as_of_batch is None or b <= as_of_batch]
     upto = bases[-1] if bases else 0
     log_path = _p(path, LOG)
-    has_log = bool(batches(spark, path))
+    committed = [b for b in batches(spark, path) if as_of_batch is None or b <= as_of_batch]
+    has_log = any(b > upto for b in committed)
     if has_log:
         log_schema = T.StructType(ARTICLE_SCHEMA.fields + [T.StructField("batch_id", T.LongType())])
         log = (spark.read.schema(log_schema).option("basePath", log_path).parquet(log_path)
                .filter(F.col("batch_id") > upto))
+        if as_of_batch is not None:
+            log = log.filter(F.col("batch_id") <= as_of_batch)
         delta = (log.groupBy("id").agg(F.max_by(F.struct(*ARTICLE_COLUMNS), F.col("batch_id")).alias("r"))
                  .select("r.*"))
     else:
