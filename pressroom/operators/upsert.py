@@ -52,9 +52,11 @@ UPDATED_BY_TITLE = "updated_by_title"
 
 ITEM_COLUMNS = ["seq", "title", "perex", "source", "url", "title_hash"]
 
+OUTCOMES = [INSERTED, UPDATED_BY_URL, UPDATED_BY_TITLE]   # fold emits the index
+
 FOLD_OUT = T.StructType([
     T.StructField("seq", T.LongType()),
-    T.StructField("outcome", T.StringType()),
+    T.StructField("outcome_code", T.ByteType()),
     T.StructField("t_new", T.BooleanType()),
     T.StructField("t_key", T.LongType()),
 ])
@@ -94,24 +96,25 @@ def _fold_component_stream(batches):
                 r = rows[hit]
                 r[1] = h
                 heapq.heappush(by_hs.setdefault((h, r[2]), []), hit)
-                outcome = UPDATED_BY_URL
+                outcome = 1
             else:
                 hit = _heap_min(by_hs.get((h, src)), rows, lambda r, hh=h, ss=src: r[1] == hh and r[2] == ss)
                 if hit is not None:
                     rows[hit][0] = url
                     heapq.heappush(by_url.setdefault(url, []), hit)
-                    outcome = UPDATED_BY_TITLE
+                    outcome = 2
                 else:
                     hit = (1, seq)
                     rows[hit] = [url, h, src]
                     heapq.heappush(by_url.setdefault(url, []), hit)
                     heapq.heappush(by_hs.setdefault((h, src), []), hit)
-                    outcome = INSERTED
+                    outcome = 0
             out_seq.append(seq)
             out_outcome.append(outcome)
             out_new.append(hit[0] == 1)
             out_key.append(hit[1])
-        yield pd.DataFrame({"seq": pd.Series(out_seq, dtype="int64"), "outcome": out_outcome,
+        yield pd.DataFrame({"seq": pd.Series(out_seq, dtype="int64"),
+                            "outcome_code": pd.Series(out_outcome, dtype="int8"),
                             "t_new": pd.Series(out_new, dtype="bool"), "t_key": pd.Series(out_key, dtype="int64")})
 
 
@@ -193,6 +196,8 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> Upsert
                .repartition(nparts, "comp").sortWithinPartitions("comp", "ord"))
     folded = ordered.select("comp", "is_item", "seq", "id", "url", "h", "source").mapInPandas(
         _fold_component_stream, FOLD_OUT)
+    folded = folded.select("seq", F.element_at(F.array(*[F.lit(o) for o in OUTCOMES]),
+                                               F.col("outcome_code").cast("int") + 1).alias("outcome"), "t_new", "t_key")
     outcomes_k = lonely.unionByName(folded).checkpoint()
 
     # 5a. ids for inserted rows: max(id) + arrival rank among inserts
