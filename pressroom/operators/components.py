@@ -41,13 +41,13 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 def _is_star_forest(e: DataFrame) -> bool:
     """Converged when every edge points from a node to a smaller root, each node has
-    one outgoing edge, and no root has an outgoing edge."""
+    one outgoing edge, and no root has an outgoing edge (one action)."""
     norm = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    stats = norm.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a").alias("na")).first()
-    if stats["n"] != stats["na"]:
-        return False
-    roots_with_parent = norm.select(F.col("b").alias("a")).join(norm.select("a"), "a", "left_semi")
-    return roots_with_parent.limit(1).count() == 0
+    counts = norm.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a").alias("na"))
+    roots_with_parent = (norm.select(F.col("b").alias("a")).join(norm.select("a"), "a", "left_semi")
+                         .agg(F.count(F.lit(1)).alias("rp")))
+    r = counts.crossJoin(roots_with_parent).first()
+    return r["n"] == r["na"] and r["rp"] == 0
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -35,6 +35,7 @@ import heapq
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,27 +130,46 @@ def _heap_min(heap, rows, valid):
     return None
 
 
-def _dense_rank_by(df: DataFrame, order_cols, out_col: str) -> DataFrame:
-    """1-based rank by unique ``order_cols`` without a single-partition window:
-    range-partition, number rows inside each partition, add the partition offsets
-    (one row per partition goes to the driver)."""
+RANK_BUCKET = 1 << 16          # order keys per window partition when ranking
+MAX_BROADCAST_BUCKETS = 2_000_000
+
+
+def dense_rank_by(df: DataFrame, order_cols, out_col: str, bucket_cols=None) -> DataFrame:
+    """1-based rank by the unique, totally ordered ``order_cols`` without a
+    single-partition window.
+
+    ``bucket_cols`` are coarse, order-preserving keys (default: ``order_col //
+    65536`` for one long column) whose groups are bounded.  Rows are counted per
+    bucket (one row per bucket goes to the driver), prefix offsets are computed there,
+    and each row's rank is its bucket offset plus its ``row_number`` inside the
+    bucket.  Deterministic, so a recomputed partition gets the same ranks."""
+    from pyspark.sql import Window
     spark = df.sparkSession
-    checkpoint_dir(spark)
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    s = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    s = s.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_loc", F.col("_mid").bitwiseAND((1 << 33) - 1))
-    s = s.checkpoint()  # fixes the numbering before it is used twice
-    counts = sorted((r["_pid"], r["c"]) for r in s.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect())
-    offsets, acc = [], 0
-    for pid, c in counts:
-        offsets.append((int(pid), acc))
+    if bucket_cols is None:
+        if len(order_cols) != 1:
+            raise ValueError("bucket_cols needed for a composite order")
+        bucket_cols = [F.floor(F.col(order_cols[0]) / RANK_BUCKET).cast("long").alias("_b0")]
+    bnames = [f"_b{i}" for i in range(len(bucket_cols))]
+    b = df.select("*", *[c.alias(n) for c, n in zip(bucket_cols, bnames)])
+    counts = sorted((tuple(r[n] for n in bnames), r["_c"])
+                    for r in b.groupBy(*bnames).agg(F.count(F.lit(1)).alias("_c")).collect())
+    rows, acc = [], 0
+    for key, c in counts:
+        rows.append((*key, acc))
         acc += c
-    off = spark.createDataFrame(offsets or [(0, 0)], "_pid long, _off long")
-    return (s.join(F.broadcast(off), "_pid")  # one row per partition: bounded
-            .withColumn(out_col, F.col("_off") + F.col("_loc") + 1)
-            .drop("_mid", "_pid", "_loc", "_off"))
+    schema = ", ".join(f"{n} {dt}" for n, dt in zip(bnames, [b.schema[n].dataType.simpleString() for n in bnames]))
+    off = spark.createDataFrame(rows, f"{schema}, _off long") if rows else None
+    if off is None:
+        return df.withColumn(out_col, F.lit(None).cast("long")).limit(0)
+    off = F.broadcast(off) if len(rows) <= MAX_BROADCAST_BUCKETS else off
+    w = Window.partitionBy(*bnames).orderBy(*order_cols)
+    return (b.join(off, bnames)
+            .withColumn(out_col, F.col("_off") + F.row_number().over(w))
+            .drop(*bnames, "_off"))
+
+
+_dense_rank_by = dense_rank_by
 
 
 def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> UpsertResult:
@@ -159,7 +179,8 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> Upsert
     checkpoint_dir(spark)
     now = batch_timestamp(batch_time if batch_time is not None else _dt.datetime(1970, 1, 1))
     existing = existing.select(*ARTICLE_COLUMNS)
-    items = items.select(*ITEM_COLUMNS)
+    # the batch is read by four branches below; keep it instead of re-deriving it
+    items = items.select(*ITEM_COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
 
     item_k = items.select("seq", "url", F.col("title_hash").alias("h"), "source")
     ex_k = existing.select("id", "url", F.col("title_hash").alias("h"), "source")
@@ -172,7 +193,7 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> Upsert
     recs = (item_k.select(F.lit(True).alias("is_item"), "seq", F.lit(None).cast("long").alias("id"), "url", "h", "source")
             .unionByName(touched.select(F.lit(False).alias("is_item"), F.lit(None).cast("long").alias("seq"),
                                         "id", "url", "h", "source")))
-    recs = recs.checkpoint()
+    recs = recs.persist(StorageLevel.MEMORY_AND_DISK)
 
     # 2. fast path: keys seen exactly once among items + touched rows
     url_n = recs.groupBy("url").agg(F.count(F.lit(1)).alias("url_n"))
@@ -191,9 +212,8 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> Upsert
         .withColumnRenamed("root", "comp")
 
     # 4. sequential fold over keys, one component at a time, streamed
-    nparts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = (labelled.select("comp", "is_item", F.coalesce("seq", F.lit(-1)).alias("ord"), "seq", "id", "url", "h", "source")
-               .repartition(nparts, "comp").sortWithinPartitions("comp", "ord"))
+               .repartition("comp").sortWithinPartitions("comp", "ord"))
     folded = ordered.select("comp", "is_item", "seq", "id", "url", "h", "source").mapInPandas(
         _fold_component_stream, FOLD_OUT)
     folded = folded.select("seq", F.element_at(F.array(*[F.lit(o) for o in OUTCOMES]),

@@ -89,14 +89,15 @@ SEARCH_TERMS = ["the", "THE", "b", "%", "_", "a_b", "e%s", "\\", "é", "É", "É
     for t in SEARCH_TERMS))
 def q_search_counts(spark, sf_dir):
     """Filtered counts for a fixed set of search terms (wildcards, backslash,
-    accents that must not fold)."""
+    accents that must not fold), all in one scan: one count_if per term, then
+    unpivoted to (term, total)."""
     arts = FX.articles_view(spark, sf_dir)
-    parts = [LS.count_articles(arts, search=t).select(F.lit(t).alias("term"), F.col("total"))
-             for t in SEARCH_TERMS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    from pressroom.functions.search import search_predicate
+    aggs = [F.count_if(search_predicate(t)).alias(f"t{i}") for i, t in enumerate(SEARCH_TERMS)]
+    wide = arts.agg(*aggs)
+    pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"t{i}").alias("total"))
+                      for i, t in enumerate(SEARCH_TERMS)])
+    return wide.select(F.inline(pairs))
 
 
 @register("count_by_source_search", f"""

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressroom.functions.text import clean_text, title_hash, truncate_perex
+from pressroom.session import spread
 
 # --- fixed values ----------------------------------------------------------------------
 EPOCH = "2024-01-01 00:00:00"          # scraped_at origin of articles_view
@@ -26,7 +27,7 @@ TASK_TYPES = ["scrape_all", "scrape_source", "periodic_scrape"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def _scraped_at(doc_id) -> F.Column:

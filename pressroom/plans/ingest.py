@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressroom.operators.extract import extract_articles
-from pressroom.operators.upsert import UpsertResult, _dense_rank_by, ingest_summary, upsert_articles
+from pressroom.operators.upsert import RANK_BUCKET, UpsertResult, dense_rank_by, ingest_summary, upsert_articles
 from pressroom.sources.pages import assign_source
 from pressroom.sources.profiles import profiles_df, source_names
 
@@ -62,7 +62,10 @@ def candidates(pages: DataFrame, source: str | None = None, fallback: str | None
     meta = assigned.select("page_id", *keep_cols)
     arts, rejects, quarantine = extract_articles(assigned, profiles)
     arts = arts.join(meta, "page_id")
-    items = _dense_rank_by(arts, order_cols, "seq")
+    # coarse buckets: same leading keys, 65536 pages per bucket (each page holds at
+    # most its profile's cap of candidates), so every window partition is bounded
+    buckets = [F.col(c) for c in order_cols[:-2]] + [F.floor(F.col("page_id") / RANK_BUCKET).cast("long")]
+    items = dense_rank_by(arts, order_cols, "seq", buckets)
     return items.select("seq", "page_id", "pos", "title", "perex", "source", "url", "title_hash"), rejects, quarantine
 
 

@@ -68,3 +68,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = checkpoint_dir(spark)
     import uuid
     return os.path.join(base.rstrip("/"), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin a DataFrame over the cluster when its input has fewer partitions
+    than there are cores (one unsplittable file, one row group).  On large inputs
+    the scan already has more splits than cores and this is a no-op, so no shuffle
+    is added where the data is big."""
+    sc = df.sparkSession.sparkContext
+    target = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pressroom.session import spread
+
 PAGES_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),
     T.StructField("url", T.StringType()),
@@ -18,8 +20,9 @@ MAX_BROADCAST_PROFILES = 100_000  # registry rows we accept to broadcast
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Stored page snapshots (page_id, url, html)."""
-    return spark.read.schema(PAGES_SCHEMA).parquet(path)
+    """Stored page snapshots (page_id, url, html), spread over the cores when
+    the files are fewer than the cores (the parse downstream is CPU-bound)."""
+    return spread(spark.read.schema(PAGES_SCHEMA).parquet(path))
 
 
 def stream_pages(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
