@@ -35,7 +35,6 @@ import heapq
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,6 +56,7 @@ OUTCOMES = [INSERTED, UPDATED_BY_URL, UPDATED_BY_TITLE]   # fold emits the index
 
 FOLD_OUT = T.StructType([
     T.StructField("seq", T.LongType()),
+    T.StructField("source", T.StringType()),
     T.StructField("outcome_code", T.ByteType()),
     T.StructField("t_new", T.BooleanType()),
     T.StructField("t_key", T.LongType()),
@@ -79,7 +79,7 @@ def _fold_component_stream(batches):
     comp = None
     rows = by_url = by_hs = None
     for pdf in batches:
-        out_seq, out_outcome, out_new, out_key = [], [], [], []
+        out_seq, out_src, out_outcome, out_new, out_key = [], [], [], [], []
         cols = (pdf["comp"].tolist(), pdf["is_item"].tolist(), pdf["seq"].tolist(), pdf["id"].tolist(),
                 pdf["url"].tolist(), pdf["h"].tolist(), pdf["source"].tolist())
         for c, is_item, seq, rid, url, h, src in zip(*cols):
@@ -111,10 +111,13 @@ def _fold_component_stream(batches):
                     heapq.heappush(by_hs.setdefault((h, src), []), hit)
                     outcome = 0
             out_seq.append(seq)
+            out_src.append(src)
             out_outcome.append(outcome)
             out_new.append(hit[0] == 1)
             out_key.append(hit[1])
+        # explicit dtypes: an empty batch must still hold strings as objects
         yield pd.DataFrame({"seq": pd.Series(out_seq, dtype="int64"),
+                            "source": pd.Series(out_src, dtype=object),
                             "outcome_code": pd.Series(out_outcome, dtype="int8"),
                             "t_new": pd.Series(out_new, dtype="bool"), "t_key": pd.Series(out_key, dtype="int64")})
 
@@ -179,8 +182,9 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> Upsert
     checkpoint_dir(spark)
     now = batch_timestamp(batch_time if batch_time is not None else _dt.datetime(1970, 1, 1))
     existing = existing.select(*ARTICLE_COLUMNS)
-    # the batch is read by four branches below; keep it instead of re-deriving it
-    items = items.select(*ITEM_COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
+    # the batch is read by four branches below: write it once, and let every later
+    # plan start from the written copy instead of re-deriving (and re-optimising) it
+    items = items.select(*ITEM_COLUMNS).checkpoint()
 
     item_k = items.select("seq", "url", F.col("title_hash").alias("h"), "source")
     ex_k = existing.select("id", "url", F.col("title_hash").alias("h"), "source")
@@ -193,15 +197,16 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> Upsert
     recs = (item_k.select(F.lit(True).alias("is_item"), "seq", F.lit(None).cast("long").alias("id"), "url", "h", "source")
             .unionByName(touched.select(F.lit(False).alias("is_item"), F.lit(None).cast("long").alias("seq"),
                                         "id", "url", "h", "source")))
-    recs = recs.persist(StorageLevel.MEMORY_AND_DISK)
 
     # 2. fast path: keys seen exactly once among items + touched rows
     url_n = recs.groupBy("url").agg(F.count(F.lit(1)).alias("url_n"))
     h_n = recs.groupBy("h").agg(F.count(F.lit(1)).alias("h_n"))
     flagged = (recs.join(url_n, "url").join(h_n, "h")
-               .withColumn("lonely", (F.col("url_n") == 1) & (F.col("h_n") == 1)))
+               .withColumn("lonely", (F.col("url_n") == 1) & (F.col("h_n") == 1))
+               .checkpoint())
     lonely = flagged.filter(F.col("lonely") & F.col("is_item")).select(
-        "seq", F.lit(INSERTED).alias("outcome"), F.lit(True).alias("t_new"), F.col("seq").alias("t_key"))
+        "seq", "source", F.lit(INSERTED).alias("outcome"), F.lit(True).alias("t_new"), F.col("seq").alias("t_key"),
+        F.lit(True).alias("fast"))
     contested = flagged.filter(~F.col("lonely")).select("is_item", "seq", "id", "url", "h", "source")
 
     # 3. components over url / hash nodes
@@ -216,24 +221,30 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> Upsert
                .repartition("comp").sortWithinPartitions("comp", "ord"))
     folded = ordered.select("comp", "is_item", "seq", "id", "url", "h", "source").mapInPandas(
         _fold_component_stream, FOLD_OUT)
-    folded = folded.select("seq", F.element_at(F.array(*[F.lit(o) for o in OUTCOMES]),
-                                               F.col("outcome_code").cast("int") + 1).alias("outcome"), "t_new", "t_key")
+    folded = folded.select("seq", "source", F.element_at(F.array(*[F.lit(o) for o in OUTCOMES]),
+                                                         F.col("outcome_code").cast("int") + 1).alias("outcome"),
+                           "t_new", "t_key", F.lit(False).alias("fast"))
+    # checkpoint: later plans start from here instead of re-optimising the lineage
     outcomes_k = lonely.unionByName(folded).checkpoint()
 
     # 5a. ids for inserted rows: max(id) + arrival rank among inserts
     max_id = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m"))
-    new_rank = _dense_rank_by(outcomes_k.filter(F.col("outcome") == INSERTED).select(F.col("seq").alias("ins_seq")),
-                              "ins_seq", "rank")
+    new_rank = dense_rank_by(outcomes_k.filter(F.col("outcome") == INSERTED).select(F.col("seq").alias("ins_seq")),
+                             "ins_seq", "rank")
     new_ids = new_rank.crossJoin(F.broadcast(max_id)).select(
         "ins_seq", (F.col("m") + F.col("rank")).alias("new_id"))
 
-    # 5b. last-writer-wins content per target row
-    ev = outcomes_k.join(items, "seq")
+    # 5b. content: fast-path inserts take their own item as is; contested targets
+    #     resolve last-writer-wins per field
+    ev = outcomes_k.join(items.drop("source"), "seq")
+    fast_rows = (ev.filter(F.col("fast")).join(new_ids, F.col("seq") == F.col("ins_seq"))
+                 .select(F.col("new_id").alias("id"), "title", "perex", "source", "url", "title_hash",
+                         now.alias("scraped_at"), now.alias("updated_at")))
     sets_title = F.col("outcome").isin(INSERTED, UPDATED_BY_URL)
     sets_url = F.col("outcome").isin(INSERTED, UPDATED_BY_TITLE)
     inserted = F.col("outcome") == INSERTED
-    item_ev = ev.select(
-        "t_new", "t_key", F.col("seq").alias("ord"),
+    item_ev = ev.filter(~F.col("fast")).select(
+        "t_new", "t_key",
         F.when(sets_title, F.struct(F.col("seq").alias("o"), F.col("title").alias("v"))).alias("title_w"),
         F.when(sets_title, F.struct(F.col("seq").alias("o"), F.col("title_hash").alias("v"))).alias("hash_w"),
         F.struct(F.col("seq").alias("o"), F.col("perex").alias("v")).alias("perex_w"),
@@ -242,14 +253,17 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> Upsert
     )
     hit_ids = outcomes_k.filter(~F.col("t_new")).select(F.col("t_key").alias("id")).distinct()
     orig = existing.join(hit_ids, "id", "left_semi")
+    o0 = F.lit(-1).cast("long").alias("o")
     orig_ev = orig.select(
-        F.lit(False).alias("t_new"), F.col("id").alias("t_key"), F.lit(-1).cast("long").alias("ord"),
-        F.struct(F.lit(-1).cast("long").alias("o"), F.col("title").alias("v")).alias("title_w"),
-        F.struct(F.lit(-1).cast("long").alias("o"), F.col("title_hash").alias("v")).alias("hash_w"),
-        F.struct(F.lit(-1).cast("long").alias("o"), F.col("perex").alias("v")).alias("perex_w"),
-        F.struct(F.lit(-1).cast("long").alias("o"), F.col("url").alias("v")).alias("url_w"),
+        F.lit(False).alias("t_new"), F.col("id").alias("t_key"),
+        F.struct(o0, F.col("title").alias("v")).alias("title_w"),
+        F.struct(o0, F.col("title_hash").alias("v")).alias("hash_w"),
+        F.struct(o0, F.col("perex").alias("v")).alias("perex_w"),
+        F.struct(o0, F.col("url").alias("v")).alias("url_w"),
         F.lit(None).cast("string").alias("ins_source"),
     )
+    # max(struct(order, value)) combines map-side: a target hit by many items costs
+    # one partial row per partition
     resolved = item_ev.unionByName(orig_ev).groupBy("t_new", "t_key").agg(
         F.max("title_w")["v"].alias("title"),
         F.max("hash_w")["v"].alias("title_hash"),
@@ -265,13 +279,12 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> Upsert
     created = (resolved.filter(F.col("t_new")).join(new_ids, F.col("t_key") == F.col("ins_seq"))
                .select(F.col("new_id").alias("id"), "title", "perex", F.col("ins_source").alias("source"), "url",
                        "title_hash", now.alias("scraped_at"), now.alias("updated_at")))
-    changes = updated.unionByName(created).select(
+    changes = updated.unionByName(created).unionByName(fast_rows).select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in ARTICLE_SCHEMA.fields])
 
     table = existing.join(changes.select("id"), "id", "left_anti").unionByName(changes)
 
-    outcomes = (outcomes_k.join(items.select("seq", "source"), "seq")
-                .join(new_ids, F.col("t_key") == F.col("ins_seq"), "left")
+    outcomes = (outcomes_k.join(new_ids, F.col("t_key") == F.col("ins_seq"), "left")
                 .select("seq", "source", "outcome",
                         F.when(F.col("t_new"), F.col("new_id")).otherwise(F.col("t_key")).alias("id")))
     return UpsertResult(table=table, changes=changes, outcomes=outcomes)

@@ -75,6 +75,5 @@ def ingest(pages: DataFrame, existing: DataFrame, batch_time, source: str | None
     """One ingest run over stored pages against the current table."""
     check_source(source, valid_sources)
     items, rejects, quarantine = candidates(pages, source, fallback, fetched_at_col)
-    items = items.checkpoint()
     res = upsert_articles(existing, items, batch_time)
     return IngestResult(upsert=res, items=items, rejects=rejects, quarantine=quarantine)
