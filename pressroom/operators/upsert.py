@@ -15,6 +15,10 @@ Plan:
    Two ``left_semi`` joins cut the table down; every other row is never shuffled again.
 2. *Fast path*: an item whose url and whose title_hash occur in no other item and no
    touched row is a plain insert.
+2b. *Stars*: a title_hash whose records all carry otherwise-unseen urls, or a url whose
+   records all carry otherwise-unseen hashes, is closed under the fold and resolves
+   by one grouped aggregate (the hot-key shapes: one boilerplate title over many urls,
+   one url re-scraped under many titles).
 3. *Components*: the rest becomes a graph whose nodes are url and title_hash values
    (title_hash alone, not (hash, source): a J1 hit across sources hands a row a new
    (source, hash) pair).  Components are independent; each is folded on its own.
@@ -207,7 +211,39 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> Upsert
     lonely = flagged.filter(F.col("lonely") & F.col("is_item")).select(
         "seq", "source", F.lit(INSERTED).alias("outcome"), F.lit(True).alias("t_new"), F.col("seq").alias("t_key"),
         F.lit(True).alias("fast"))
-    contested = flagged.filter(~F.col("lonely")).select("is_item", "seq", "id", "url", "h", "source")
+
+    # 2b. stars: the hot-key shapes resolve without the sequential fold.
+    #  * hash star: every record with this title_hash has a url seen nowhere else.  No
+    #    J1 can fire inside it and nothing outside can reach it, so per (hash, source)
+    #    the lowest existing id - or else the first item's insert - takes every hit.
+    #  * url star: every record with this url has a title_hash seen nowhere else; per
+    #    url the lowest existing id - or the first item's insert - takes every hit.
+    #  Both are one grouped aggregate (partial aggregation: a hash shared by millions
+    #  of urls never lands in one task) plus a join AQE may split when skewed.
+    hstar = (flagged.groupBy("h").agg(F.max("url_n").alias("_mu"), F.count(F.lit(1)).alias("_c"))
+             .filter((F.col("_mu") == 1) & (F.col("_c") > 1)).select("h", F.lit(True).alias("in_hstar")))
+    ustar = (flagged.groupBy("url").agg(F.max("h_n").alias("_mh"), F.count(F.lit(1)).alias("_c"))
+             .filter((F.col("_mh") == 1) & (F.col("_c") > 1)).select("url", F.lit(True).alias("in_ustar")))
+    classed = (flagged.filter(~F.col("lonely")).join(hstar, "h", "left").join(ustar, "url", "left")
+               .select("*", F.coalesce("in_hstar", F.lit(False)).alias("hs"),
+                       F.coalesce("in_ustar", F.lit(False)).alias("us")))
+
+    def star_outcomes(keys, hit_outcome):
+        recs_ = classed.filter(F.col("hs") if hit_outcome == UPDATED_BY_TITLE else F.col("us"))
+        g = recs_.groupBy(*keys).agg(F.min(F.when(~F.col("is_item"), F.col("id"))).alias("rid"),
+                                     F.min(F.when(F.col("is_item"), F.col("seq"))).alias("fseq"))
+        it = recs_.filter(F.col("is_item")).join(g, keys)
+        first_insert = F.col("rid").isNull() & (F.col("seq") == F.col("fseq"))
+        return it.select(
+            "seq", "source",
+            F.when(first_insert, F.lit(INSERTED)).otherwise(F.lit(hit_outcome)).alias("outcome"),
+            F.col("rid").isNull().alias("t_new"),
+            F.coalesce(F.col("rid"), F.col("fseq")).alias("t_key"),
+            F.lit(False).alias("fast"))
+
+    hstar_out = star_outcomes(["h", "source"], UPDATED_BY_TITLE)
+    ustar_out = star_outcomes(["url"], UPDATED_BY_URL)
+    contested = classed.filter(~F.col("hs") & ~F.col("us")).select("is_item", "seq", "id", "url", "h", "source")
 
     # 3. components over url / hash nodes
     unode = F.concat(F.lit("u"), F.col("url"))
@@ -225,7 +261,7 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> Upsert
                                                          F.col("outcome_code").cast("int") + 1).alias("outcome"),
                            "t_new", "t_key", F.lit(False).alias("fast"))
     # checkpoint: later plans start from here instead of re-optimising the lineage
-    outcomes_k = lonely.unionByName(folded).checkpoint()
+    outcomes_k = lonely.unionByName(hstar_out).unionByName(ustar_out).unionByName(folded).checkpoint()
 
     # 5a. ids for inserted rows: max(id) + arrival rank among inserts
     max_id = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m"))
