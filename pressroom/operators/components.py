@@ -43,11 +43,12 @@ def _is_star_forest(e: DataFrame) -> bool:
     """Converged when every edge points from a node to a smaller root, each node has
     one outgoing edge, and no root has an outgoing edge (one action)."""
     norm = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    counts = norm.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a").alias("na"))
-    roots_with_parent = (norm.select(F.col("b").alias("a")).join(norm.select("a"), "a", "left_semi")
-                         .agg(F.count(F.lit(1)).alias("rp")))
-    r = counts.crossJoin(roots_with_parent).first()
-    return r["n"] == r["na"] and r["rp"] == 0
+    # per node: out-degree (as the larger end) and whether it is also some edge's root
+    ends = (norm.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("root"))
+            .unionByName(norm.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("root"))))
+    per_node = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("root").alias("root"))
+    bad = per_node.filter((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("root") > 0)))
+    return bad.limit(1).count() == 0
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

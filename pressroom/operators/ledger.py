@@ -64,8 +64,8 @@ def run_state(events: DataFrame) -> DataFrame:
 
 
 def _with_total(df: DataFrame) -> DataFrame:
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return df.crossJoin(F.broadcast(total))  # one-row side
+    """Attach the row count (one scalar, counted once, like the reference's len())."""
+    return df.withColumn("total", F.lit(df.count()).cast("bigint"))
 
 
 def list_runs(state: DataFrame) -> DataFrame:

@@ -72,8 +72,16 @@ def count_articles(df: DataFrame, source=None, search=None) -> DataFrame:
     return filtered(df, source, search).agg(F.count("id").alias("total"))
 
 
+def page_meta_values(total: int, page: int, limit: int) -> dict:
+    """L3: paging metadata from the filtered count."""
+    prm = ListingParams(page, limit)
+    total_pages = (total + prm.limit - 1) // prm.limit
+    return {"page": prm.page, "limit": prm.limit, "total": total, "total_pages": total_pages,
+            "has_previous": prm.page > 1, "has_next": prm.page < total_pages}
+
+
 def page_meta(total_df: DataFrame, page: int, limit: int) -> DataFrame:
-    """L3: paging metadata from the one-row count."""
+    """L3 as a one-row DataFrame over the A1 count."""
     prm = ListingParams(page, limit)
     total = F.col("total")
     total_pages = F.floor((total + F.lit(prm.limit - 1)) / F.lit(prm.limit)).cast("bigint")
@@ -96,12 +104,15 @@ def article_listing(df: DataFrame, page: int = DEFAULT_PAGE, limit: int = DEFAUL
                     source=None, search=None) -> DataFrame:
     """L4: page rows with the listing metadata attached to every row.
 
-    The count is a one-row aggregate, cross-joined (broadcast, 1 row) onto the page;
-    both sides share one predicate.  A page past the end returns no rows, no error."""
+    Two actions over one shared predicate, as the reference runs them: the filtered
+    count (one scalar back to the driver), then the top-k page with the metadata
+    attached as literals.  A page past the end returns no rows, no error."""
     prm = ListingParams(page, limit, source, search)
+    total = count_articles(df, prm.source, prm.search).first()["total"]
+    meta = page_meta_values(int(total), prm.page, prm.limit)
     rows = page_articles(df, prm.page, prm.limit, prm.source, prm.search)
-    meta = page_meta(count_articles(df, prm.source, prm.search), prm.page, prm.limit)
-    return rows.crossJoin(F.broadcast(meta))
+    return rows.select("*", *[F.lit(v).cast("bigint" if not isinstance(v, bool) else "boolean").alias(k)
+                              for k, v in meta.items()])
 
 
 def page_envelope(df: DataFrame, page: int = DEFAULT_PAGE, limit: int = DEFAULT_LIMIT,
@@ -116,13 +127,14 @@ def page_envelope(df: DataFrame, page: int = DEFAULT_PAGE, limit: int = DEFAULT_
     ordered = rows.select(F.struct(F.col("scraped_at").alias("s"), F.col("id").alias("i")).alias("_k"), art.alias("a"))
     arr = (ordered.agg(F.sort_array(F.collect_list(F.struct("_k", "a")), asc=False).alias("_arr"))
            .select(F.transform("_arr", lambda x: x["a"]).alias("articles")))
-    count = count_articles(df, prm.source, prm.search)
-    env = arr.crossJoin(count).select(F.struct(
+    total = int(count_articles(df, prm.source, prm.search).first()["total"])
+    meta = page_meta_values(total, prm.page, prm.limit)
+    env = arr.select(F.struct(
         F.coalesce(F.col("articles"), F.array()).alias("articles"),
         F.lit(prm.page).alias("page"),
         F.lit(prm.limit).alias("limit"),
-        F.col("total"),
-        F.floor((F.col("total") + prm.limit - 1) / prm.limit).cast("bigint").alias("total_pages"),
+        F.lit(total).cast("bigint").alias("total"),
+        F.lit(meta["total_pages"]).cast("bigint").alias("total_pages"),
     ).alias("env"))
     return env.select(F.to_json("env").alias("json"))
 

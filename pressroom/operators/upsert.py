@@ -264,11 +264,10 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> Upsert
     outcomes_k = lonely.unionByName(hstar_out).unionByName(ustar_out).unionByName(folded).checkpoint()
 
     # 5a. ids for inserted rows: max(id) + arrival rank among inserts
-    max_id = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m"))
+    max_id = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]  # one scalar
     new_rank = dense_rank_by(outcomes_k.filter(F.col("outcome") == INSERTED).select(F.col("seq").alias("ins_seq")),
                              "ins_seq", "rank")
-    new_ids = new_rank.crossJoin(F.broadcast(max_id)).select(
-        "ins_seq", (F.col("m") + F.col("rank")).alias("new_id"))
+    new_ids = new_rank.select("ins_seq", (F.lit(int(max_id)) + F.col("rank")).alias("new_id"))
 
     # 5b. content: fast-path inserts take their own item as is; contested targets
     #     resolve last-writer-wins per field
