@@ -714,3 +714,37 @@ def q_stream_ingest_pages(spark, sf_dir):
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return ST.read_articles(spark, table)
+
+
+# ------------------------------------------------------------- the twelve news profiles
+from functools import reduce  # noqa: E402
+
+from pressroom.sources.profiles import NEWS_PROFILES  # noqa: E402
+
+
+def _news_profile_sql() -> str:
+    parts = []
+    for p in NEWS_PROFILES:
+        parts.append(f"""
+  SELECT {O.sq(p.name)} AS profile, page_id, pos, source, url, title,
+         substr(CASE WHEN length(perex0) >= 20 THEN perex0 ELSE '' END, 1, 500) AS perex,
+         {O.title_hash('title')} AS title_hash
+  FROM (SELECT page_id, pos, source, 'https://' || source || '.example.com/a/' || CAST(doc_id AS VARCHAR) AS url,
+               {O.clean_text('substr(text, 1, 80)')} AS title, {O.clean_text('text')} AS perex0
+        FROM ({_LISTING_DOCS_SQL}) d WHERE pos < {p.cap}) c
+  WHERE length(title) >= 10""")
+    return " UNION ALL ".join(parts)
+
+
+@register("news_profiles_extract", _news_profile_sql())
+def q_news_profiles_extract(spark, sf_dir):
+    """E7 + E1-E5: every rebuilt front page parsed with each of the twelve news-source
+    profiles (their full selector lists and caps); each profile's selector chain must
+    find the same article records."""
+    pages = FX.listing_pages(spark, sf_dir)
+    out = []
+    for p in NEWS_PROFILES:
+        arts, _, _ = extract_articles(pages.withColumn("profile", F.lit(p.name)))
+        out.append(arts.select(F.lit(p.name).alias("profile"), "page_id", "pos", "source", "url", "title",
+                               "perex", "title_hash"))
+    return reduce(lambda a, b: a.unionByName(b), out)
