@@ -245,21 +245,27 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> Upsert
     ustar_out = star_outcomes(["url"], UPDATED_BY_URL)
     contested = classed.filter(~F.col("hs") & ~F.col("us")).select("is_item", "seq", "id", "url", "h", "source")
 
-    # 3. components over url / hash nodes
-    unode = F.concat(F.lit("u"), F.col("url"))
-    hnode = F.concat(F.lit("h"), F.col("h"))
-    cc = connected_components(contested.select(unode.alias("a"), hnode.alias("b")))
-    labelled = contested.join(cc.withColumnRenamed("node", "_un"), unode == F.col("_un")).drop("_un") \
-        .withColumnRenamed("root", "comp")
-
-    # 4. sequential fold over keys, one component at a time, streamed
-    ordered = (labelled.select("comp", "is_item", F.coalesce("seq", F.lit(-1)).alias("ord"), "seq", "id", "url", "h", "source")
-               .repartition("comp").sortWithinPartitions("comp", "ord"))
-    folded = ordered.select("comp", "is_item", "seq", "id", "url", "h", "source").mapInPandas(
-        _fold_component_stream, FOLD_OUT)
-    folded = folded.select("seq", "source", F.element_at(F.array(*[F.lit(o) for o in OUTCOMES]),
-                                                         F.col("outcome_code").cast("int") + 1).alias("outcome"),
-                           "t_new", "t_key", F.lit(False).alias("fast"))
+    # 3. components over url / hash nodes (skipped when stars and the fast path took
+    #    everything: one probe instead of a loop of graph rounds)
+    if contested.limit(1).count() == 0:
+        folded = spark.createDataFrame([], "seq long, source string, outcome string, t_new boolean, t_key long, "
+                                           "fast boolean")
+    else:
+        unode = F.concat(F.lit("u"), F.col("url"))
+        hnode = F.concat(F.lit("h"), F.col("h"))
+        cc = connected_components(contested.select(unode.alias("a"), hnode.alias("b")))
+        labelled = (contested.join(cc.withColumnRenamed("node", "_un"), unode == F.col("_un")).drop("_un")
+                    .withColumnRenamed("root", "comp"))
+
+        # 4. sequential fold over keys, one component at a time, streamed
+        ordered = (labelled.select("comp", "is_item", F.coalesce("seq", F.lit(-1)).alias("ord"), "seq", "id", "url",
+                                   "h", "source")
+                   .repartition("comp").sortWithinPartitions("comp", "ord"))
+        folded = ordered.select("comp", "is_item", "seq", "id", "url", "h", "source").mapInPandas(
+            _fold_component_stream, FOLD_OUT)
+        folded = folded.select("seq", "source", F.element_at(F.array(*[F.lit(o) for o in OUTCOMES]),
+                                                             F.col("outcome_code").cast("int") + 1).alias("outcome"),
+                               "t_new", "t_key", F.lit(False).alias("fast"))
     # checkpoint: later plans start from here instead of re-optimising the lineage
     outcomes_k = lonely.unionByName(hstar_out).unionByName(ustar_out).unionByName(folded).checkpoint()
 

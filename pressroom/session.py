@@ -75,8 +75,10 @@ def spread(df, min_partitions: int | None = None):
     than there are cores (one unsplittable file, one row group).  On large inputs
     the scan already has more splits than cores and this is a no-op, so no shuffle
     is added where the data is big."""
-    sc = df.sparkSession.sparkContext
-    target = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        sc = df.sparkSession.sparkContext
+        target = min_partitions or sc.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access: leave the plan as it is
+        return df
+    return df.repartition(target) if n < target else df
