@@ -55,6 +55,7 @@ UPDATED_BY_TITLE = "updated_by_title"
 # ---------------------------------------------------------------------------------------
 
 ITEM_COLUMNS = ["seq", "title", "perex", "source", "url", "title_hash"]
+MAX_BROADCAST_KEYS = 200_000    # distinct batch urls / hashes we broadcast (~20 MB of keys)
 
 OUTCOMES = [INSERTED, UPDATED_BY_URL, UPDATED_BY_TITLE]   # fold emits the index
 
@@ -193,9 +194,16 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> Upsert
     item_k = items.select("seq", "url", F.col("title_hash").alias("h"), "source")
     ex_k = existing.select("id", "url", F.col("title_hash").alias("h"), "source")
 
-    # 1. prefilter the table to rows that share a key with the batch
-    touched = (ex_k.join(item_k.select("url").distinct(), "url", "left_semi")
-               .unionByName(ex_k.join(item_k.select("h").distinct(), "h", "left_semi"))
+    # 1. prefilter the table to rows that share a key with the batch.  The batch's
+    #    distinct keys are broadcast when their count is checked small (the table is
+    #    then streamed, never shuffled); otherwise a shuffle join (AQE may still switch).
+    batch_urls = item_k.select("url").distinct()
+    batch_hashes = item_k.select("h").distinct()
+    n_keys = item_k.agg(F.count_distinct("url").alias("u"), F.count_distinct("h").alias("h")).first()
+    if max(n_keys["u"], n_keys["h"]) <= MAX_BROADCAST_KEYS:
+        batch_urls, batch_hashes = F.broadcast(batch_urls), F.broadcast(batch_hashes)
+    touched = (ex_k.join(batch_urls, "url", "left_semi")
+               .unionByName(ex_k.join(batch_hashes, "h", "left_semi"))
                .dropDuplicates(["id"]))
 
     recs = (item_k.select(F.lit(True).alias("is_item"), "seq", F.lit(None).cast("long").alias("id"), "url", "h", "source")

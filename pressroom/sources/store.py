@@ -49,6 +49,7 @@ def _partition_values(spark: SparkSession, path: str, key: str) -> list[int]:
 def write_changes(changes: DataFrame, path: str, batch_id: int) -> None:
     """Commit one batch (its changed + new rows) as partition ``batch_id``."""
     (changes.select(*ARTICLE_COLUMNS).withColumn("batch_id", F.lit(int(batch_id)))
+     .sortWithinPartitions("source", "scraped_at")   # row-group stats prune source filters
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch_id").parquet(_p(path, LOG)))
 
@@ -97,7 +98,10 @@ def compact(spark: SparkSession, path: str) -> int | None:
     upto = b[-1]
     target = _p(path, BASE, f"upto={upto}")
     if upto not in _partition_values(spark, _p(path, BASE), "upto"):
-        read_articles(spark, path).write.mode("errorifexists").parquet(target)
+        # range-partitioned by (source, scraped_at): each file holds a narrow slice, so
+        # the listing's source filter and newest-first order skip most row groups
+        (read_articles(spark, path).repartitionByRange("source", "scraped_at")
+         .sortWithinPartitions("source", "scraped_at").write.mode("errorifexists").parquet(target))
     return upto
 
 
