@@ -65,6 +65,7 @@ FOLD_OUT = T.StructType([
     T.StructField("outcome_code", T.ByteType()),
     T.StructField("t_new", T.BooleanType()),
     T.StructField("t_key", T.LongType()),
+    T.StructField("is_seg", T.BooleanType()),
 ])
 
 
@@ -75,56 +76,83 @@ class UpsertResult:
     outcomes: DataFrame   # per item: seq, source, outcome, id
 
 
+KIND_ROW, KIND_ITEM, KIND_SEGMENT = 0, 1, 2
+
+
+class _Fresh:
+    """A url no other record holds (a bulk item's own url): never matched again."""
+    __slots__ = ()
+
+
 def _fold_component_stream(batches):
     """Sequential J1/J2/J4 fold over (comp, ord)-sorted key records.
 
-    Rows are keyed (0, id) for existing rows and (1, seq) for rows inserted by item
-    ``seq``; tuple order equals final id order because new ids exceed every old id and
-    follow arrival.  ``by_url`` / ``by_hs`` are min-heaps with lazy deletion."""
+    Records are table rows (kind 0, loaded first), single items (kind 1) and bulk
+    segments (kind 2: a run of items of one (hash, source) whose urls occur nowhere
+    else, standing for all of them).  Rows are keyed (0, id) for existing rows and
+    (1, seq) for rows inserted by item ``seq``; tuple order equals final id order
+    because new ids exceed every old id and follow arrival.  ``by_url`` / ``by_hs``
+    are min-heaps with lazy deletion."""
     comp = None
     rows = by_url = by_hs = None
     for pdf in batches:
-        out_seq, out_src, out_outcome, out_new, out_key = [], [], [], [], []
-        cols = (pdf["comp"].tolist(), pdf["is_item"].tolist(), pdf["seq"].tolist(), pdf["id"].tolist(),
+        out_seq, out_src, out_outcome, out_new, out_key, out_seg = [], [], [], [], [], []
+        cols = (pdf["comp"].tolist(), pdf["kind"].tolist(), pdf["seq"].tolist(), pdf["id"].tolist(),
                 pdf["url"].tolist(), pdf["h"].tolist(), pdf["source"].tolist())
-        for c, is_item, seq, rid, url, h, src in zip(*cols):
+        for c, kind, seq, rid, url, h, src in zip(*cols):
             if c != comp:
                 comp, rows, by_url, by_hs = c, {}, {}, {}
-            if not is_item:
+            if kind == KIND_ROW:
                 key = (0, int(rid))
                 rows[key] = [url, h, src]
                 heapq.heappush(by_url.setdefault(url, []), key)
                 heapq.heappush(by_hs.setdefault((h, src), []), key)
                 continue
             seq = int(seq)
-            hit = _heap_min(by_url.get(url), rows, lambda r, u=url: r[0] == u)
-            if hit is not None:
-                r = rows[hit]
-                r[1] = h
-                heapq.heappush(by_hs.setdefault((h, r[2]), []), hit)
-                outcome = 1
-            else:
-                hit = _heap_min(by_hs.get((h, src)), rows, lambda r, hh=h, ss=src: r[1] == hh and r[2] == ss)
+            in_group = lambda r, hh=h, ss=src: r[1] == hh and r[2] == ss
+            if kind == KIND_SEGMENT:
+                # no J1 is possible (fresh urls); the group's lowest row takes the run,
+                # or the run's first item inserts it; its url becomes a fresh one
+                hit = _heap_min(by_hs.get((h, src)), rows, in_group)
                 if hit is not None:
-                    rows[hit][0] = url
-                    heapq.heappush(by_url.setdefault(url, []), hit)
+                    rows[hit][0] = _Fresh()
                     outcome = 2
                 else:
                     hit = (1, seq)
-                    rows[hit] = [url, h, src]
-                    heapq.heappush(by_url.setdefault(url, []), hit)
+                    rows[hit] = [_Fresh(), h, src]
                     heapq.heappush(by_hs.setdefault((h, src), []), hit)
                     outcome = 0
+            else:
+                hit = _heap_min(by_url.get(url), rows, lambda r, u=url: r[0] == u)
+                if hit is not None:
+                    r = rows[hit]
+                    r[1] = h
+                    heapq.heappush(by_hs.setdefault((h, r[2]), []), hit)
+                    outcome = 1
+                else:
+                    hit = _heap_min(by_hs.get((h, src)), rows, in_group)
+                    if hit is not None:
+                        rows[hit][0] = url
+                        heapq.heappush(by_url.setdefault(url, []), hit)
+                        outcome = 2
+                    else:
+                        hit = (1, seq)
+                        rows[hit] = [url, h, src]
+                        heapq.heappush(by_url.setdefault(url, []), hit)
+                        heapq.heappush(by_hs.setdefault((h, src), []), hit)
+                        outcome = 0
             out_seq.append(seq)
             out_src.append(src)
             out_outcome.append(outcome)
             out_new.append(hit[0] == 1)
             out_key.append(hit[1])
+            out_seg.append(kind == KIND_SEGMENT)
         # explicit dtypes: an empty batch must still hold strings as objects
         yield pd.DataFrame({"seq": pd.Series(out_seq, dtype="int64"),
                             "source": pd.Series(out_src, dtype=object),
                             "outcome_code": pd.Series(out_outcome, dtype="int8"),
-                            "t_new": pd.Series(out_new, dtype="bool"), "t_key": pd.Series(out_key, dtype="int64")})
+                            "t_new": pd.Series(out_new, dtype="bool"), "t_key": pd.Series(out_key, dtype="int64"),
+                            "is_seg": pd.Series(out_seg, dtype="bool")})
 
 
 def _heap_min(heap, rows, valid):
@@ -180,6 +208,68 @@ def dense_rank_by(df: DataFrame, order_cols, out_col: str, bucket_cols=None) ->
 _dense_rank_by = dense_rank_by
 
 
+def _running_count(df: DataFrame, part: str, order: str, flag: str, out: str) -> DataFrame:
+    """Exclusive running count of ``flag`` rows per ``part`` in ``order``, without a
+    window over a whole (possibly hot) ``part``: range-partition by (part, order) so a
+    hot part spans several tasks, count inside each (task, part) slice, then add the
+    slice offsets (a window over at most one row per task and part)."""
+    from pyspark.sql import Window
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    s = (df.repartitionByRange(n, part, order).withColumn("_pid", F.spark_partition_id())).checkpoint()
+    local = Window.partitionBy("_pid", part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("_loc", F.coalesce(F.sum(F.col(flag).cast("long")).over(local), F.lit(0)))
+    tot = s.groupBy("_pid", part).agg(F.sum(F.col(flag).cast("long")).alias("_t"))
+    before = Window.partitionBy(part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_pid", part, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    return s.join(off, ["_pid", part]).withColumn(out, F.col("_off") + F.col("_loc")).drop("_pid", "_loc", "_off")
+
+
+def _fold_contested(contested: DataFrame) -> DataFrame:
+    """Outcomes of the items of contested components (see module notes, steps 3-4).
+
+    *Bulk* items - url seen nowhere else - can act only through their (hash, source)
+    group, so between two consecutive core events (items with a shared url) a run of
+    bulk items of one group is one event.  Only core records and one record per
+    (component, hash, source, run) go through the sequential fold; a hot hash with
+    millions of fresh urls and a few collisions folds in a handful of records."""
+    core = contested.filter(~(F.col("is_item") & (F.col("url_n") == 1)))
+    bulk = contested.filter(F.col("is_item") & (F.col("url_n") == 1))
+    unode = F.concat(F.lit("u"), F.col("url"))
+    hnode = F.concat(F.lit("h"), F.col("h"))
+    cc = connected_components(core.select(unode.alias("a"), hnode.alias("b")))
+    core_l = (core.join(cc.withColumnRenamed("node", "_n"), unode == F.col("_n"))
+              .drop("_n").withColumnRenamed("root", "comp"))
+    # every bulk hash also occurs in the core (else it would have been a hash star)
+    bulk_l = (bulk.join(cc.withColumnRenamed("node", "_n"), hnode == F.col("_n"))
+              .drop("_n").withColumnRenamed("root", "comp"))
+
+    marks = (bulk_l.select("comp", "seq", F.lit(False).alias("core"))
+             .unionByName(core_l.filter(F.col("is_item")).select("comp", "seq", F.lit(True).alias("core"))))
+    runs = _running_count(marks, "comp", "seq", "core", "run").filter(~F.col("core")).select("seq", "run")
+    bulk_r = bulk_l.join(runs, "seq").checkpoint()
+    segments = bulk_r.groupBy("comp", "h", "source", "run").agg(F.min("seq").alias("fseq"))
+
+    records = (core_l.select("comp", F.when(F.col("is_item"), F.lit(KIND_ITEM)).otherwise(F.lit(KIND_ROW)).alias("kind"),
+                             "seq", "id", "url", "h", "source")
+               .unionByName(segments.select("comp", F.lit(KIND_SEGMENT).alias("kind"), F.col("fseq").alias("seq"),
+                                            F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("url"),
+                                            "h", "source")))
+    ordered = (records.withColumn("ord", F.coalesce("seq", F.lit(-1)))
+               .repartition("comp").sortWithinPartitions("comp", "ord", "kind")
+               .select("comp", "kind", "seq", "id", "url", "h", "source"))
+    out = ordered.mapInPandas(_fold_component_stream, FOLD_OUT).checkpoint()
+    name = F.element_at(F.array(*[F.lit(o) for o in OUTCOMES]), F.col("outcome_code").cast("int") + 1)
+    single = out.filter(~F.col("is_seg")).select("seq", "source", name.alias("outcome"), "t_new", "t_key")
+    seg_out = (out.filter(F.col("is_seg")).select(F.col("seq").alias("fseq"), name.alias("seg_outcome"), "t_new", "t_key")
+               .join(segments, "fseq"))
+    # each bulk item takes its run's target; only the run's first item can be the insert
+    bulk_out = bulk_r.select("seq", "comp", "h", "source", "run").join(seg_out, ["comp", "h", "source", "run"]).select(
+        "seq", "source",
+        F.when(F.col("seq") == F.col("fseq"), F.col("seg_outcome")).otherwise(F.lit(UPDATED_BY_TITLE)).alias("outcome"),
+        "t_new", "t_key")
+    return single.unionByName(bulk_out).withColumn("fast", F.lit(False))
+
+
 def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> UpsertResult:
     """Apply one batch of keyed candidates (``seq`` = arrival order, unique) to the
     article table ``existing`` (ARTICLE_SCHEMA)."""
@@ -251,7 +341,7 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> Upsert
 
     hstar_out = star_outcomes(["h", "source"], UPDATED_BY_TITLE)
     ustar_out = star_outcomes(["url"], UPDATED_BY_URL)
-    contested = classed.filter(~F.col("hs") & ~F.col("us")).select("is_item", "seq", "id", "url", "h", "source")
+    contested = classed.filter(~F.col("hs") & ~F.col("us"))
 
     # 3. components over url / hash nodes (skipped when stars and the fast path took
     #    everything: one probe instead of a loop of graph rounds)
@@ -259,21 +349,7 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> Upsert
         folded = spark.createDataFrame([], "seq long, source string, outcome string, t_new boolean, t_key long, "
                                            "fast boolean")
     else:
-        unode = F.concat(F.lit("u"), F.col("url"))
-        hnode = F.concat(F.lit("h"), F.col("h"))
-        cc = connected_components(contested.select(unode.alias("a"), hnode.alias("b")))
-        labelled = (contested.join(cc.withColumnRenamed("node", "_un"), unode == F.col("_un")).drop("_un")
-                    .withColumnRenamed("root", "comp"))
-
-        # 4. sequential fold over keys, one component at a time, streamed
-        ordered = (labelled.select("comp", "is_item", F.coalesce("seq", F.lit(-1)).alias("ord"), "seq", "id", "url",
-                                   "h", "source")
-                   .repartition("comp").sortWithinPartitions("comp", "ord"))
-        folded = ordered.select("comp", "is_item", "seq", "id", "url", "h", "source").mapInPandas(
-            _fold_component_stream, FOLD_OUT)
-        folded = folded.select("seq", "source", F.element_at(F.array(*[F.lit(o) for o in OUTCOMES]),
-                                                             F.col("outcome_code").cast("int") + 1).alias("outcome"),
-                               "t_new", "t_key", F.lit(False).alias("fast"))
+        folded = _fold_contested(contested)
     # checkpoint: later plans start from here instead of re-optimising the lineage
     outcomes_k = lonely.unionByName(hstar_out).unionByName(ustar_out).unionByName(folded).checkpoint()
 
