@@ -30,6 +30,7 @@ from pressroom.functions.text import clean_text_py
 MIN_TITLE_CHARS = 10
 MIN_PEREX_CHARS = 20
 # ---------------------------------------------------------------------------------------
+PAGES_PER_ARROW_BATCH = 1000
 
 RAW_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),
@@ -128,8 +129,16 @@ def _make_stage(profiles: dict, extractors: dict | None = None):
 
 
 def extract_raw(pages: DataFrame, profiles: dict | None = None, extractors: dict | None = None) -> DataFrame:
-    """Run the extraction stage; ``pages`` needs PAGE_COLUMNS."""
+    """Run the extraction stage; ``pages`` needs PAGE_COLUMNS.
+
+    Pages are large rows: the Arrow batch handed to a Python worker is capped at
+    ``PAGES_PER_ARROW_BATCH`` pages (a session setting read when the stage runs), so
+    a worker holds ~100 MB of HTML at most instead of 10,000 pages."""
     from pressroom.sources.profiles import registry
+    conf = pages.sparkSession.conf
+    cur = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if cur <= 0 or cur > PAGES_PER_ARROW_BATCH:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAGES_PER_ARROW_BATCH))
     profiles = profiles or registry()
     return pages.select(*PAGE_COLUMNS).mapInPandas(_make_stage(profiles, extractors), RAW_SCHEMA)
 

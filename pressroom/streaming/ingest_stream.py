@@ -77,11 +77,11 @@ def _log_run(spark, path, run_id, task_type, started, ended, status, n, msg):
 def stream_ingest(spark: SparkSession, pages_dir: str, table_path: str, checkpoint_location: str, *,
                   trigger: str = "periodic", source: str | None = None, max_files_per_trigger: int | None = None,
                   clock=_utcnow, ledger_path: str | None = None, fallback: str | None = "page",
-                  valid_sources=None):
+                  valid_sources=None, period: str = PERIOD):
     """Start the ingest stream; returns the ``StreamingQuery``.
 
-    ``trigger``: "periodic" (W1, every 2 hours) or "now" (W2, everything pending,
-    then stop)."""
+    ``trigger``: "periodic" (W1, every ``period``, 2 hours by default) or "now" (W2,
+    everything pending, then stop)."""
     check_source(source, valid_sources)  # S9: fail on the driver before the stream starts
     pages = stream_pages(spark, pages_dir, max_files_per_trigger)
     w = (pages.writeStream
@@ -91,7 +91,7 @@ def stream_ingest(spark: SparkSession, pages_dir: str, table_path: str, checkpoi
                                          valid_sources))
          .option("checkpointLocation", checkpoint_location))
     if trigger == "periodic":
-        w = w.trigger(processingTime=PERIOD)
+        w = w.trigger(processingTime=period)
     elif trigger == "now":
         w = w.trigger(availableNow=True)
     else:
