@@ -282,7 +282,13 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> Upsert
     items = items.select(*ITEM_COLUMNS).checkpoint()
 
     item_k = items.select("seq", "url", F.col("title_hash").alias("h"), "source")
-    ex_k = existing.select("id", "url", F.col("title_hash").alias("h"), "source")
+    # a NULL key matches nothing (SQL equality), but its row must stay in play through
+    # its other key: give it a per-row sentinel that no item key can equal
+    ex_k = existing.select(
+        "id",
+        F.coalesce(F.col("url"), F.concat(F.lit("\u0000url:"), F.col("id").cast("string"))).alias("url"),
+        F.coalesce(F.col("title_hash"), F.concat(F.lit("\u0000hash:"), F.col("id").cast("string"))).alias("h"),
+        "source")
 
     # 1. prefilter the table to rows that share a key with the batch.  The batch's
     #    distinct keys are broadcast when their count is checked small (the table is
