@@ -17,6 +17,7 @@ starts from.  Anything else raises on the driver when the profile is registered.
 
 from __future__ import annotations
 
+import bisect
 import re
 from html.parser import HTMLParser
 
@@ -75,9 +76,26 @@ class Document:
         _close_ranges(self.root, len(self.elements))
         self.root.start, self.root.end = -1, len(self.elements)
 
+        self._index = {}
+
     def descendants(self, node):
         return self.elements[node.start + 1: node.end]
 
+    def candidates(self, key):
+        """Document-order positions of the elements a selector's last part can match:
+        by tag, by class token or by attribute name (built once per page, lazily)."""
+        pos = self._index.get(key)
+        if pos is None:
+            kind, name = key
+            if kind == "tag":
+                pos = [i for i, e in enumerate(self.elements) if e.tag == name]
+            elif kind == "class":
+                pos = [i for i, e in enumerate(self.elements) if name in e.attrs.get("class", "").split()]
+            else:
+                pos = [i for i, e in enumerate(self.elements) if name in e.attrs]
+            self._index[key] = pos
+        return pos
+
 
 def _close_ranges(root, n):
     # iterative post-order: end = index after the last descendant
@@ -155,6 +173,7 @@ def _compile_compound(s: str):
         raise SelectorError(f"unsupported selector part: {s!r}")
     tag = tag.lower() if tag else None
     attr = attr.lower() if attr else None
+    key = ("tag", tag) if tag else (("class", cls) if cls else ("attr", attr))
 
     def match(n: Node) -> bool:
         if tag is not None and n.tag != tag:
@@ -171,6 +190,7 @@ def _compile_compound(s: str):
                 if val == "" or val not in v:
                     return False
         return True
+    match.key = key
     return match
 
 
@@ -193,15 +213,26 @@ def compile_selector(sel: str):
                 return False
             a = a.parent
         return True
+    match.key = last.key
     return match
 
 
+def _scoped(doc: Document, node: Node, matcher):
+    """Candidate elements inside ``node``'s subtree, in document order."""
+    pos = doc.candidates(matcher.key)
+    lo = bisect.bisect_right(pos, node.start)
+    hi = bisect.bisect_left(pos, node.end)
+    els = doc.elements
+    for i in range(lo, hi):
+        yield els[pos[i]]
+
+
 def select(doc: Document, node: Node, matcher) -> list:
-    return [e for e in doc.descendants(node) if matcher(e)]
+    return [e for e in _scoped(doc, node, matcher) if matcher(e)]
 
 
 def select_one(doc: Document, node: Node, matcher):
-    for e in doc.descendants(node):
+    for e in _scoped(doc, node, matcher):
         if matcher(e):
             return e
     return None
