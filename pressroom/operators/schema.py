@@ -46,3 +46,37 @@ def migrate_v2(df: DataFrame | None, now) -> tuple[DataFrame | None, bool]:
         df, added = add_column_if_missing(df, name, dtype)
         changed = changed or added
     return backfill_title_hash(df, now), changed
+
+
+def migrate_store(spark, path: str, now, legacy_path: str | None = None) -> int | None:
+    """M3 against stored tables: bring a table to v2 and write a new version only when
+    something changed.
+
+    * ``legacy_path``: a plain pre-migration Parquet table (possibly lacking the v2
+      columns); when given and the store is empty it is migrated in one pass and
+      committed as the store's first batch.  A missing legacy table is a no-op.
+    * Otherwise the store's latest rows that still need a hash are backfilled and only
+      those rows are committed, as a new batch.
+
+    Returns the committed batch id, or None when nothing changed."""
+    from pyspark.errors import AnalysisException
+
+    from pressroom.operators.articles import ARTICLE_COLUMNS
+    from pressroom.sources import store as ST
+
+    bid = ST.next_batch_id(spark, path)
+    if legacy_path is not None and bid == 1:
+        try:
+            legacy = spark.read.parquet(legacy_path)
+        except AnalysisException:
+            return None  # no table yet: nothing to migrate
+        migrated, _ = migrate_v2(legacy, now)
+        ST.write_changes(migrated.select(*ARTICLE_COLUMNS), path, bid)
+        return bid
+    current = ST.read_articles(spark, path)
+    fill = missing_key_predicate("title_hash") & F.col("title").isNotNull() & (F.col("title") != "")
+    todo = current.filter(fill)
+    if todo.limit(1).count() == 0:
+        return None
+    ST.write_changes(backfill_title_hash(todo, now).select(*ARTICLE_COLUMNS), path, bid)
+    return bid

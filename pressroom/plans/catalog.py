@@ -536,6 +536,24 @@ def q_migrate_v2_blank(spark, sf_dir):
     return df.select(*AR.ARTICLE_COLUMNS)
 
 
+@register("migrate_store_blank", f"""
+SELECT id, title, perex, source, url,
+       CASE WHEN {_MISSING} AND {_FILL} THEN {O.title_hash('title')} ELSE title_hash END AS title_hash,
+       scraped_at,
+       CASE WHEN {_MISSING} AND {_FILL} THEN {_BT} ELSE updated_at END AS updated_at
+FROM ({_BLANK_SQL}) l""")
+def q_migrate_store_blank(spark, sf_dir):
+    """M3 on stored tables: the legacy table is written, migrated into a change-log
+    store as its first version, and a second migration writes nothing."""
+    legacy = scratch_path(spark, "legacy")
+    FX.legacy_articles(spark, sf_dir, "blank").write.parquet(legacy)
+    store = scratch_path(spark, "articles")
+    SC.migrate_store(spark, store, BATCH_TIME, legacy_path=legacy)
+    if SC.migrate_store(spark, store, BATCH_TIME) is not None:
+        raise RuntimeError("second migration wrote a new version")
+    return ST.read_articles(spark, store)
+
+
 @register("missing_keys", f"""
 SELECT source, count(*) AS n, count_if({_FILL}) AS fillable FROM ({_BLANK_SQL}) l WHERE {_MISSING} GROUP BY source""")
 def q_missing_keys(spark, sf_dir):

@@ -129,3 +129,20 @@ def test_periodic_trigger_coalesces_missed_runs(spark):
         assert ST.batches(spark, table) == expected
         one = ingest(C._pages(spark, SF_SMALL), UP.empty_articles(spark), NOW).upsert.table
         assert _rows(ST.read_articles(spark, table)) == _rows(one)
+
+
+def test_migrate_store_writes_only_when_changed(spark):
+    legacy = scratch_path(spark, "t-legacy")
+    FX.legacy_articles(spark, SF_SMALL, "blank").write.parquet(legacy)
+    store = scratch_path(spark, "t-store")
+    assert SC.migrate_store(spark, store, NOW, legacy_path=scratch_path(spark, "t-missing")) is None
+    assert SC.migrate_store(spark, store, NOW, legacy_path=legacy) == 1
+    assert SC.migrate_store(spark, store, NOW) is None          # already v2: no new version
+    # a row losing its hash later is backfilled as a one-row batch
+    row = ST.read_articles(spark, store).filter(F.col("title") != "").limit(1).withColumn(
+        "title_hash", F.lit(None).cast("string"))
+    ST.write_changes(row, store, 2)
+    assert SC.migrate_store(spark, store, NOW) == 3
+    assert ST.read_articles(spark, store).filter(
+        (F.col("title") != "") & F.col("title_hash").isNull()).count() == 0
+    assert spark.read.parquet(store + "/log/batch_id=3").count() == 1
