@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressroom.functions import text as TX
-from pressroom.functions.search import contains_folded
 from pressroom.operators import articles as AR
 from pressroom.operators import listing as LS
 from pressroom.plans import fixtures as FX
