@@ -22,10 +22,15 @@ Plan:
 3. *Components*: the rest becomes a graph whose nodes are url and title_hash values
    (title_hash alone, not (hash, source): a J1 hit across sources hands a row a new
    (source, hash) pair).  Components are independent; each is folded on its own.
-4. *Key fold*: only the keys (url, title_hash, source, order) of a component go
-   through the sequential fold - a ``mapInPandas`` over partitions hash-partitioned by
-   component and sorted by (component, order), streamed batch by batch with the state
-   of the current component only.  The output is, per item, its outcome and target row.
+   Items whose url occurs nowhere else ("bulk") stay out of the graph: they hang off
+   their hash node, and can act only through their (hash, source) group.
+4. *Key fold*: only keys (url, title_hash, source, order) go through the sequential
+   fold - a ``mapInPandas`` over partitions hash-partitioned by component and sorted
+   by (component, order), streamed batch by batch with the state of the current
+   component only.  Between two consecutive core items a run of bulk items of one
+   group is a single record (runs are numbered by a distributed running count), and
+   the run's outcome is joined back to its items.  The output is, per item, its
+   outcome and target row.
 5. *Content*: titles / perexes / urls of the touched and new rows are resolved by a
    last-writer-wins aggregation per target row (``max(struct(order, value))``, which
    combines map-side, so a target hit by millions of items costs one row per
