@@ -84,3 +84,31 @@ def test_listing_bounds():
     with pytest.raises(ValueError):
         LS.ListingParams(limit=0)
     assert LS.ListingParams(page=3, limit=7).offset == 14
+
+
+def test_random_strings_match_python(spark):
+    """clean_text, normalize_title and title_hash against their Python definitions
+    on random strings over Czech letters, Unicode whitespace, punctuation, digits and
+    numeric symbols."""
+    import hashlib
+    import random
+    import re
+    alphabet = (list("abcxyzABCXYZ0189_") + list("áčďéěíňóřšťúůýžÁČŘŠŽ") + list("½²³")
+                + [" ", "\t", "\n", "\r", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", " ", " ", "　"]
+                + list("!?.,;:-–—\"'()[]{}%&*/\\@#$"))
+    rnd = random.Random(5)
+    vals = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30))) for _ in range(2000)]
+
+    def py_clean(t):
+        return "" if not t else t.strip().replace("\n", " ").replace("\r", " ").replace("\t", " ")
+
+    def py_norm(t):
+        n = t.lower().strip()
+        n = re.sub(r"[^\w\s]", "", n)
+        return re.sub(r"\s+", " ", n)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v string")
+    got = df.orderBy("i").select(TX.clean_text("v"), TX.normalize_title("v"), TX.title_hash("v")).collect()
+    for v, (c, n, h) in zip(vals, got):
+        assert c == py_clean(v), repr(v)
+        assert n == py_norm(v), repr(v)
+        assert h == hashlib.md5(py_norm(v).encode()).hexdigest(), repr(v)
