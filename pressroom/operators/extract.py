@@ -104,16 +104,18 @@ def extract_page(html: str, profile, compiled, page_url: str | None = None, extr
     return out
 
 
-def _make_stage(profiles: dict, extractors: dict | None = None):
+def _make_stage(profiles: dict, extractors: dict | None = None, carry=(), out_schema=RAW_SCHEMA):
     extractors = extractors or {}
+    carry = list(carry)
+    names = [f.name for f in out_schema.fields]
 
     def stage(batches):
         import pandas as pd
         compiled = {}
         for pdf in batches:
-            rows = []
-            for page_id, prof_name, source, base_url, url, html in zip(
-                    pdf["page_id"], pdf["profile"], pdf["source"], pdf["base_url"], pdf["url"], pdf["html"]):
+            rows, keep_idx = [], []
+            for i, (page_id, prof_name, source, base_url, url, html) in enumerate(zip(
+                    pdf["page_id"], pdf["profile"], pdf["source"], pdf["base_url"], pdf["url"], pdf["html"])):
                 try:
                     prof = profiles[prof_name]
                     if prof_name not in compiled:
@@ -121,14 +123,19 @@ def _make_stage(profiles: dict, extractors: dict | None = None):
                     for pos, title, perex, u, err in extract_page(html, prof, compiled[prof_name], url,
                                                                   extractors.get(prof_name)):
                         rows.append((page_id, source, base_url, pos, title, perex, u, err))
+                        keep_idx.append(i)
                 except Exception as exc:  # noqa: BLE001 - isolate one bad page
                     rows.append((page_id, source, base_url, -1, None, None, None, f"{type(exc).__name__}: {exc}"))
-            yield pd.DataFrame(rows, columns=[f.name for f in RAW_SCHEMA.fields]).astype(
-                {"page_id": "int64", "pos": "int32"})
+                    keep_idx.append(i)
+            out = pd.DataFrame(rows, columns=names[:len(RAW_SCHEMA.fields)]).astype({"page_id": "int64", "pos": "int32"})
+            for c in carry:  # page-level columns handed through, no re-join on page_id later
+                out[c] = pdf[c].iloc[keep_idx].reset_index(drop=True) if keep_idx else pdf[c].iloc[:0]
+            yield out
     return stage
 
 
-def extract_raw(pages: DataFrame, profiles: dict | None = None, extractors: dict | None = None) -> DataFrame:
+def extract_raw(pages: DataFrame, profiles: dict | None = None, extractors: dict | None = None,
+                carry=()) -> DataFrame:
     """Run the extraction stage; ``pages`` needs PAGE_COLUMNS.
 
     Pages are large rows: the Arrow batch handed to a Python worker is capped at
@@ -140,17 +147,19 @@ def extract_raw(pages: DataFrame, profiles: dict | None = None, extractors: dict
     if cur <= 0 or cur > PAGES_PER_ARROW_BATCH:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAGES_PER_ARROW_BATCH))
     profiles = profiles or registry()
-    return pages.select(*PAGE_COLUMNS).mapInPandas(_make_stage(profiles, extractors), RAW_SCHEMA)
+    carry = [c for c in carry if c not in PAGE_COLUMNS]
+    schema = T.StructType(RAW_SCHEMA.fields + [pages.schema[c] for c in carry])
+    return pages.select(*PAGE_COLUMNS, *carry).mapInPandas(_make_stage(profiles, extractors, carry, schema), schema)
 
 
 def extract_articles(pages: DataFrame, profiles: dict | None = None, extractors: dict | None = None,
-                     errors: str = "quarantine"):
+                     errors: str = "quarantine", carry=()):
     """E1-E6 + F1 + F6: pages -> (articles, rejects, quarantine).
 
     ``articles`` carry page_id, pos, title, perex, source, url, title_hash; the
     validity gate and keying run JVM-side on the stage output."""
     from pressroom.operators.articles import to_articles, validate_articles
-    raw = extract_raw(pages, profiles, extractors)
+    raw = extract_raw(pages, profiles, extractors, carry)
     quarantine = raw.filter(F.col("error").isNotNull()).select("page_id", "source", "pos", "error")
     if errors == "raise":
         # materialise errors eagerly only when the caller asks the job to fail on them
@@ -158,5 +167,5 @@ def extract_articles(pages: DataFrame, profiles: dict | None = None, extractors:
         if first:
             raise RuntimeError(f"extraction failed: {first[0]['error']}")
     good = raw.filter(F.col("error").isNull())
-    valid, rejects = validate_articles(good, base_url="base_url", keep=["page_id", "pos"])
+    valid, rejects = validate_articles(good, base_url="base_url", keep=["page_id", "pos", *carry])
     return to_articles(valid), rejects, quarantine

@@ -59,9 +59,7 @@ def candidates(pages: DataFrame, source: str | None = None, fallback: str | None
         assigned = assigned.filter(F.col("source") == source)
     order_cols = ([fetched_at_col] if fetched_at_col else []) + ["source_rank", "page_id", "pos"]
     keep_cols = ["source_rank"] + ([fetched_at_col] if fetched_at_col else [])
-    meta = assigned.select("page_id", *keep_cols)
-    arts, rejects, quarantine = extract_articles(assigned, profiles)
-    arts = arts.join(meta, "page_id")
+    arts, rejects, quarantine = extract_articles(assigned, profiles, carry=keep_cols)
     # coarse buckets: same leading keys, 65536 pages per bucket (each page holds at
     # most its profile's cap of candidates), so every window partition is bounded
     buckets = [F.col(c) for c in order_cols[:-2]] + [F.floor(F.col("page_id") / RANK_BUCKET).cast("long")]
