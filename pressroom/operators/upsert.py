@@ -248,11 +248,16 @@ def _fold_contested(contested: DataFrame) -> DataFrame:
     bulk_l = (bulk.join(cc.withColumnRenamed("node", "_n"), hnode == F.col("_n"))
               .drop("_n").withColumnRenamed("root", "comp"))
 
-    marks = (bulk_l.select("comp", "seq", F.lit(False).alias("core"))
-             .unionByName(core_l.filter(F.col("is_item")).select("comp", "seq", F.lit(True).alias("core"))))
-    runs = _running_count(marks, "comp", "seq", "core", "run").filter(~F.col("core")).select("seq", "run")
-    bulk_r = bulk_l.join(runs, "seq").checkpoint()
-    segments = bulk_r.groupBy("comp", "h", "source", "run").agg(F.min("seq").alias("fseq"))
+    has_bulk = bulk.limit(1).count() > 0
+    if has_bulk:
+        marks = (bulk_l.select("comp", "seq", F.lit(False).alias("core"))
+                 .unionByName(core_l.filter(F.col("is_item")).select("comp", "seq", F.lit(True).alias("core"))))
+        runs = _running_count(marks, "comp", "seq", "core", "run").filter(~F.col("core")).select("seq", "run")
+        bulk_r = bulk_l.join(runs, "seq").checkpoint()
+        segments = bulk_r.groupBy("comp", "h", "source", "run").agg(F.min("seq").alias("fseq"))
+    else:
+        segments = core_l.sparkSession.createDataFrame(
+            [], "comp string, h string, source string, run long, fseq long")
 
     records = (core_l.select("comp", F.when(F.col("is_item"), F.lit(KIND_ITEM)).otherwise(F.lit(KIND_ROW)).alias("kind"),
                              "seq", "id", "url", "h", "source")
@@ -265,6 +270,8 @@ def _fold_contested(contested: DataFrame) -> DataFrame:
     out = ordered.mapInPandas(_fold_component_stream, FOLD_OUT).checkpoint()
     name = F.element_at(F.array(*[F.lit(o) for o in OUTCOMES]), F.col("outcome_code").cast("int") + 1)
     single = out.filter(~F.col("is_seg")).select("seq", "source", name.alias("outcome"), "t_new", "t_key")
+    if not has_bulk:
+        return single.withColumn("fast", F.lit(False))
     seg_out = (out.filter(F.col("is_seg")).select(F.col("seq").alias("fseq"), name.alias("seg_outcome"), "t_new", "t_key")
                .join(segments, "fseq"))
     # each bulk item takes its run's target; only the run's first item can be the insert
