@@ -172,7 +172,7 @@ def _heap_min(heap, rows, valid):
 
 
 RANK_BUCKET = 1 << 16          # order keys per window partition when ranking
-MAX_BROADCAST_BUCKETS = 2_000_000
+MAX_BROADCAST_BUCKETS = 500_000   # ~8 MB of (bucket, offset) rows
 
 
 def dense_rank_by(df: DataFrame, order_cols, out_col: str, bucket_cols=None) -> DataFrame:

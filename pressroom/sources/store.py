@@ -27,6 +27,7 @@ from pressroom.operators.articles import ARTICLE_COLUMNS, ARTICLE_SCHEMA
 
 LOG = "log"
 BASE = "base"
+MAX_BROADCAST_IDS = 2_000_000   # ids changed since the last compaction we broadcast (~16 MB)
 
 
 def _p(path: str, *parts) -> str:
@@ -85,7 +86,11 @@ def read_articles(spark: SparkSession, path: str, as_of_batch: int | None = None
     if not bases:
         return delta.select(*ARTICLE_COLUMNS)
     base = spark.read.schema(ARTICLE_SCHEMA).parquet(_p(path, BASE, f"upto={upto}"))
-    return (base.join(delta.select("id"), "id", "left_anti").select(*ARTICLE_COLUMNS)
+    delta_ids = delta.select("id")
+    if has_log and delta_ids.count() <= MAX_BROADCAST_IDS:
+        # the compacted base is the big side: stream it past the (checked-small) ids
+        delta_ids = F.broadcast(delta_ids)
+    return (base.join(delta_ids, "id", "left_anti").select(*ARTICLE_COLUMNS)
             .unionByName(delta.select(*ARTICLE_COLUMNS)))
 
 
