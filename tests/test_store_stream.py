@@ -146,3 +146,21 @@ def test_migrate_store_writes_only_when_changed(spark):
     assert ST.read_articles(spark, store).filter(
         (F.col("title") != "") & F.col("title_hash").isNull()).count() == 0
     assert spark.read.parquet(store + "/log/batch_id=3").count() == 1
+
+
+def test_arrival_order_follows_fetch_time_then_rank_then_page(spark):
+    """seq orders candidates by (fetched_at, registry rank, page_id, pos)."""
+    from pressroom.plans.ingest import candidates
+    t = dt.datetime(2024, 1, 1)
+    html = ('<article><h2><a href="/a/{0}">Headline number {0} here</a></h2></article>'
+            '<article><h2><a href="/b/{0}">Second headline {0} here</a></h2></article>')
+    pages = spark.createDataFrame(
+        [(10, "listing", "s1", "https://s1.x", "https://s1.x/", html.format(10), t + dt.timedelta(hours=2), 0),
+         (20, "listing", "s2", "https://s2.x", "https://s2.x/", html.format(20), t, 1),
+         (30, "listing", "s3", "https://s3.x", "https://s3.x/", html.format(30), t, 0)],
+        "page_id long, profile string, source string, base_url string, url string, html string, "
+        "fetched_at timestamp_ntz, source_rank int")
+    items, _, _ = candidates(pages, fetched_at_col="fetched_at")
+    got = [(r["page_id"], r["pos"]) for r in items.orderBy("seq").collect()]
+    assert got == [(30, 0), (30, 1), (20, 0), (20, 1), (10, 0), (10, 1)]
+    assert [r["seq"] for r in items.orderBy("seq").collect()] == [1, 2, 3, 4, 5, 6]
