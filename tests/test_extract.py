@@ -131,3 +131,22 @@ def test_quarantine_and_custom_extractor(spark):
     q = quarantine.collect()
     assert len(q) == 1 and q[0]["page_id"] == 1 and "bad page" in q[0]["error"]
     assert get_profile("t2").cap == 5
+
+
+def test_assign_source_by_host(spark):
+    from pressroom.sources.pages import assign_source
+    from pressroom.sources.profiles import profiles_df
+    pages = spark.createDataFrame(
+        [(1, "https://www.aktualne.cz/zpravy/x", "<html></html>"),
+         (2, "https://novinky.cz/", "<html></html>"),
+         (3, "http://ct24.ceskatelevize.cz/a?b=1", "<html></html>"),
+         (4, "https://Unknown.Example.org/p#x", "<html></html>")],
+        "page_id long, url string, html string")
+    got = {r["page_id"]: (r["profile"], r["source"], r["base_url"])
+           for r in assign_source(pages, profiles_df(spark)).collect()}
+    assert got[1] == ("aktualne", "aktualne", "https://aktualne.cz")
+    assert got[2] == ("novinky", "novinky", "https://novinky.cz")
+    assert got[3] == ("ct24", "ct24", "https://ct24.ceskatelevize.cz")
+    assert got[4] == ("page", "unknown.example.org", "https://unknown.example.org")
+    dropped = assign_source(pages, profiles_df(spark), fallback=None)
+    assert sorted(r["page_id"] for r in dropped.collect()) == [1, 2, 3]
