@@ -809,3 +809,67 @@ def q_news_profiles_extract(spark, sf_dir):
         out.append(arts.select(F.lit(p.name).alias("profile"), "page_id", "pos", "source", "url", "title",
                                "perex", "title_hash"))
     return reduce(lambda a, b: a.unionByName(b), out)
+
+
+# A re-scrape of every article against the table: item i carries the url of article
+# 7i mod n (a tenth of them land on another article of the same source: J1 moves its
+# title and hash), every other item finds its own row by (hash, source) (J2 moves its
+# url), all interleaved in arrival order; the url/hash graph forms long cycles, the
+# slow case for component labelling.  The oracle seeds the recursive fold with the
+# table's rows in id order (seqs -1 = "as stored").
+_RESCRAPE_SQL = f"""
+WITH RECURSIVE
+a AS ({O.ARTICLES}),
+nd AS (SELECT count(*) AS n FROM documents),
+b AS (SELECT CAST(row_number() OVER (ORDER BY id) AS BIGINT) AS rn, id AS seq, title, 'v2 ' || perex AS perex, source,
+             'https://' || source || '.example.com/a/' || CAST((id * 7) % (SELECT n FROM nd) AS VARCHAR) AS url,
+             title_hash AS h FROM a),
+seed AS (SELECT list(id ORDER BY id) AS k, list(url ORDER BY id) AS u, list(title_hash ORDER BY id) AS hh,
+                list(source ORDER BY id) AS s FROM a),
+f(step, k, u, hh, s, ts, us, ps) AS (
+  SELECT CAST(0 AS BIGINT), k, u, hh, s, list_transform(k, lambda x: CAST(-1 AS BIGINT)),
+         list_transform(k, lambda x: CAST(-1 AS BIGINT)), list_transform(k, lambda x: CAST(-1 AS BIGINT)) FROM seed
+  UNION ALL
+  SELECT step + 1,
+    CASE WHEN m1 IS NOT NULL OR m2 IS NOT NULL THEN k ELSE list_append(k, CAST(-1 AS BIGINT)) END,
+    CASE WHEN m1 IS NOT NULL THEN u
+         WHEN m2 IS NOT NULL THEN list_transform(range(1, len(u) + 1), lambda i: CASE WHEN i = m2 THEN iu ELSE u[i] END)
+         ELSE list_append(u, iu) END,
+    CASE WHEN m1 IS NOT NULL THEN list_transform(range(1, len(u) + 1), lambda i: CASE WHEN i = m1 THEN ih ELSE hh[i] END)
+         WHEN m2 IS NOT NULL THEN hh ELSE list_append(hh, ih) END,
+    CASE WHEN m1 IS NOT NULL OR m2 IS NOT NULL THEN s ELSE list_append(s, isrc) END,
+    CASE WHEN m1 IS NOT NULL THEN list_transform(range(1, len(u) + 1), lambda i: CASE WHEN i = m1 THEN iq ELSE ts[i] END)
+         WHEN m2 IS NOT NULL THEN ts ELSE list_append(ts, iq) END,
+    CASE WHEN m1 IS NOT NULL THEN us
+         WHEN m2 IS NOT NULL THEN list_transform(range(1, len(u) + 1), lambda i: CASE WHEN i = m2 THEN iq ELSE us[i] END)
+         ELSE list_append(us, iq) END,
+    CASE WHEN m1 IS NOT NULL OR m2 IS NOT NULL
+         THEN list_transform(range(1, len(u) + 1), lambda i: CASE WHEN i = coalesce(m1, m2) THEN iq ELSE ps[i] END)
+         ELSE list_append(ps, iq) END
+  FROM (SELECT f.*, b.seq AS iq, b.url AS iu, b.h AS ih, b.source AS isrc,
+               list_min(list_filter(range(1, len(f.u) + 1), lambda i: f.u[i] = b.url)) AS m1,
+               list_min(list_filter(range(1, len(f.u) + 1), lambda i: f.hh[i] = b.h AND f.s[i] = b.source)) AS m2
+        FROM f JOIN b ON b.rn = f.step + 1) x
+),
+last AS (SELECT * FROM f ORDER BY step DESC LIMIT 1),
+r AS (SELECT i, k[i] AS k, u[i] AS url, hh[i] AS title_hash, s[i] AS source, ts[i] AS tseq, ps[i] AS pseq
+      FROM last, range(1, len(last.u) + 1) q(i)),
+nx AS (SELECT count(*) AS n0, max(id) AS m FROM a)
+SELECT CASE WHEN r.k >= 0 THEN r.k ELSE CAST((SELECT m FROM nx) + r.i - (SELECT n0 FROM nx) AS BIGINT) END AS id,
+       CASE WHEN r.tseq < 0 THEN o.title ELSE bt.title END AS title,
+       CASE WHEN r.pseq < 0 THEN o.perex ELSE bp.perex END AS perex,
+       r.source, r.url, r.title_hash,
+       CASE WHEN r.k >= 0 THEN o.scraped_at ELSE {_BT} END AS scraped_at,
+       CASE WHEN r.pseq < 0 THEN o.updated_at ELSE {_BT} END AS updated_at
+FROM r LEFT JOIN a o ON o.id = r.k
+       LEFT JOIN b bt ON bt.seq = r.tseq LEFT JOIN b bp ON bp.seq = r.pseq"""
+
+
+@register("upsert_rescrape", _RESCRAPE_SQL)
+def q_upsert_rescrape(spark, sf_dir):
+    """J1-J6 against a live table: every article re-scraped with a new perex and a
+    url taken from another article; J1 and J2 hits on existing rows interleave in
+    arrival order and move urls and titles between rows."""
+    existing = AR_select(FX.articles_view(spark, sf_dir))
+    items = _rekeyed(spark, sf_dir).withColumn("perex", F.concat(F.lit("v2 "), F.col("perex")))
+    return UP.upsert_articles(existing, items, BATCH_TIME).table
