@@ -79,6 +79,7 @@ class UpsertResult:
     table: DataFrame      # the whole article table after the batch
     changes: DataFrame    # rows written by the batch (hit or new), ARTICLE_SCHEMA
     outcomes: DataFrame   # per item: seq, source, outcome, id
+    max_id: int = 0       # the table's highest id after the batch
 
 
 KIND_ROW, KIND_ITEM, KIND_SEGMENT = 0, 1, 2
@@ -282,9 +283,10 @@ def _fold_contested(contested: DataFrame) -> DataFrame:
     return single.unionByName(bulk_out).withColumn("fast", F.lit(False))
 
 
-def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> UpsertResult:
+def upsert_articles(existing: DataFrame, items: DataFrame, batch_time, max_id: int | None = None) -> UpsertResult:
     """Apply one batch of keyed candidates (``seq`` = arrival order, unique) to the
-    article table ``existing`` (ARTICLE_SCHEMA)."""
+    article table ``existing`` (ARTICLE_SCHEMA).  ``max_id``: the table's highest id
+    when the caller knows it (the store records it per batch); else it is scanned."""
     spark = items.sparkSession
     checkpoint_dir(spark)
     now = batch_timestamp(batch_time if batch_time is not None else _dt.datetime(1970, 1, 1))
@@ -372,7 +374,8 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> Upsert
     outcomes_k = lonely.unionByName(hstar_out).unionByName(ustar_out).unionByName(folded).checkpoint()
 
     # 5a. ids for inserted rows: max(id) + arrival rank among inserts
-    max_id = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]  # one scalar
+    if max_id is None:
+        max_id = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]  # one scalar
     new_rank = dense_rank_by(outcomes_k.filter(F.col("outcome") == INSERTED).select(F.col("seq").alias("ins_seq")),
                              "ins_seq", "rank")
     new_ids = new_rank.select("ins_seq", (F.lit(int(max_id)) + F.col("rank")).alias("new_id"))
@@ -430,7 +433,8 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time) -> Upsert
     outcomes = (outcomes_k.join(new_ids, F.col("t_key") == F.col("ins_seq"), "left")
                 .select("seq", "source", "outcome",
                         F.when(F.col("t_new"), F.col("new_id")).otherwise(F.col("t_key")).alias("id")))
-    return UpsertResult(table=table, changes=changes, outcomes=outcomes)
+    top = int(max_id) + (new_rank.agg(F.max("rank")).first()[0] or 0)
+    return UpsertResult(table=table, changes=changes, outcomes=outcomes, max_id=top)
 
 
 def ingest_summary(outcomes: DataFrame) -> DataFrame:

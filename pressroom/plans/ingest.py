@@ -69,9 +69,9 @@ def candidates(pages: DataFrame, source: str | None = None, fallback: str | None
 
 def ingest(pages: DataFrame, existing: DataFrame, batch_time, source: str | None = None,
            fallback: str | None = "page", fetched_at_col: str | None = None,
-           valid_sources=None) -> IngestResult:
+           valid_sources=None, max_id: int | None = None) -> IngestResult:
     """One ingest run over stored pages against the current table."""
     check_source(source, valid_sources)
     items, rejects, quarantine = candidates(pages, source, fallback, fetched_at_col)
-    res = upsert_articles(existing, items, batch_time)
+    res = upsert_articles(existing, items, batch_time, max_id=max_id)
     return IngestResult(upsert=res, items=items, rejects=rejects, quarantine=quarantine)

@@ -27,6 +27,7 @@ from pressroom.operators.articles import ARTICLE_COLUMNS, ARTICLE_SCHEMA
 
 LOG = "log"
 BASE = "base"
+META = "meta"     # meta/batch_id=N: one row (max_id) per committed batch
 MAX_BROADCAST_IDS = 2_000_000   # ids changed since the last compaction we broadcast (~16 MB)
 
 
@@ -47,12 +48,34 @@ def _partition_values(spark: SparkSession, path: str, key: str) -> list[int]:
     return sorted(int(r[0]) for r in df.select(key).distinct().collect())
 
 
-def write_changes(changes: DataFrame, path: str, batch_id: int) -> None:
-    """Commit one batch (its changed + new rows) as partition ``batch_id``."""
+def write_changes(changes: DataFrame, path: str, batch_id: int, max_id: int | None = None) -> None:
+    """Commit one batch (its changed + new rows) as partition ``batch_id``.
+
+    ``max_id`` (the table's highest id after the batch) is recorded next to it, so
+    the next batch needs no scan of the id column to number its inserts."""
+    spark = changes.sparkSession
     (changes.select(*ARTICLE_COLUMNS).withColumn("batch_id", F.lit(int(batch_id)))
      .sortWithinPartitions("source", "scraped_at")   # row-group stats prune source filters
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch_id").parquet(_p(path, LOG)))
+    if max_id is not None:
+        (spark.createDataFrame([(int(batch_id), int(max_id))], "batch_id long, max_id long")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(_p(path, META)))
+
+
+def max_id(spark: SparkSession, path: str, as_of_batch: int | None = None) -> int | None:
+    """Highest id after ``as_of_batch`` (default: the last batch) from the recorded
+    metadata; None when the last batch recorded none (callers then scan)."""
+    committed = [b for b in batches(spark, path) if as_of_batch is None or b <= as_of_batch]
+    if not committed:
+        return 0
+    last = committed[-1]
+    try:
+        m = spark.read.parquet(_p(path, META)).filter(F.col("batch_id") == last).select("max_id").collect()
+    except AnalysisException:
+        return None
+    return int(m[0]["max_id"]) if m else None
 
 
 def batches(spark: SparkSession, path: str) -> list[int]:

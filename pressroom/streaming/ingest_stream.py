@@ -52,9 +52,9 @@ def make_batch_writer(table_path: str, source: str | None = None, clock=_utcnow,
         existing = ST.read_articles(spark, table_path, as_of_batch=batch_id - 1)
         try:
             res = ingest(batch, existing, now, source=source, fallback=fallback,
-                         valid_sources=valid_sources)
+                         valid_sources=valid_sources, max_id=ST.max_id(spark, table_path, batch_id - 1))
             changes = res.upsert.changes.checkpoint()
-            ST.write_changes(changes, table_path, batch_id)
+            ST.write_changes(changes, table_path, batch_id, max_id=res.upsert.max_id)
             n_new = res.upsert.outcomes.filter(F.col("outcome") == "inserted").count()
             status, msg = LG.COMPLETED, None
         except Exception as exc:  # noqa: BLE001 - record the failed run, then re-raise

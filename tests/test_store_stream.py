@@ -100,6 +100,7 @@ def test_stream_equals_one_batch_and_replay(spark):
     streamed = _rows(ST.read_articles(spark, table))
     one = ingest(C._pages(spark, SF_SMALL), UP.empty_articles(spark), NOW).upsert.table
     assert streamed == _rows(one)
+    assert ST.max_id(spark, table) == max(r[0] for r in streamed)   # recorded, not scanned
     # replay epoch 1 (batch 2) with the same input: nothing changes
     second = spark.read.parquet(drops).orderBy("page_id")
     files = sorted(spark.read.parquet(drops).inputFiles(),
