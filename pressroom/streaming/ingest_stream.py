@@ -41,8 +41,10 @@ def _utcnow():
 
 def make_batch_writer(table_path: str, source: str | None = None, clock=_utcnow,
                       ledger_path: str | None = None, task_type: str = "periodic_scrape",
-                      fallback: str | None = "page", valid_sources=None):
-    """The ``foreachBatch`` function: ingest one micro-batch and commit it."""
+                      fallback: str | None = "page", valid_sources=None, compact_every: int | None = None):
+    """The ``foreachBatch`` function: ingest one micro-batch and commit it; every
+    ``compact_every`` batches the log is folded into a new base, so the next read
+    aggregates only the batches after it."""
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
@@ -64,6 +66,8 @@ def make_batch_writer(table_path: str, source: str | None = None, clock=_utcnow,
             raise
         if ledger_path:
             _log_run(spark, ledger_path, batch_id, task_type, started, clock(), status, n_new, msg)
+        if compact_every and batch_id % compact_every == 0:
+            ST.compact(spark, table_path)
 
     return write_batch
 
@@ -77,7 +81,7 @@ def _log_run(spark, path, run_id, task_type, started, ended, status, n, msg):
 def stream_ingest(spark: SparkSession, pages_dir: str, table_path: str, checkpoint_location: str, *,
                   trigger: str = "periodic", source: str | None = None, max_files_per_trigger: int | None = None,
                   clock=_utcnow, ledger_path: str | None = None, fallback: str | None = "page",
-                  valid_sources=None, period: str = PERIOD):
+                  valid_sources=None, period: str = PERIOD, compact_every: int | None = None):
     """Start the ingest stream; returns the ``StreamingQuery``.
 
     ``trigger``: "periodic" (W1, every ``period``, 2 hours by default) or "now" (W2,
@@ -88,7 +92,7 @@ def stream_ingest(spark: SparkSession, pages_dir: str, table_path: str, checkpoi
          .foreachBatch(make_batch_writer(table_path, source, clock, ledger_path,
                                          "periodic_scrape" if trigger == "periodic" else
                                          ("scrape_source" if source else "scrape_all"), fallback,
-                                         valid_sources))
+                                         valid_sources, compact_every))
          .option("checkpointLocation", checkpoint_location))
     if trigger == "periodic":
         w = w.trigger(processingTime=period)

@@ -122,12 +122,13 @@ def test_periodic_trigger_coalesces_missed_runs(spark):
         table = scratch_path(spark, "t-table")
         C.write_page_drops(spark, SF_SMALL, drops, 3)
         q = stream_ingest(spark, drops, table, scratch_path(spark, "t-ckpt"), trigger="periodic", period="1 second",
-                          max_files_per_trigger=max_files, clock=lambda: NOW)
+                          max_files_per_trigger=max_files, clock=lambda: NOW, compact_every=1)
         try:
             q.processAllAvailable()
         finally:
             q.stop()
         assert ST.batches(spark, table) == expected
+        assert ST._partition_values(spark, table + "/base", "upto") == expected   # compacted after each batch
         one = ingest(C._pages(spark, SF_SMALL), UP.empty_articles(spark), NOW).upsert.table
         assert _rows(ST.read_articles(spark, table)) == _rows(one)
 
