@@ -176,7 +176,7 @@ RANK_BUCKET = 1 << 16          # order keys per window partition when ranking
 MAX_BROADCAST_BUCKETS = 500_000   # ~8 MB of (bucket, offset) rows
 
 
-def dense_rank_by(df: DataFrame, order_cols, out_col: str, bucket_cols=None) -> DataFrame:
+def dense_rank_by(df: DataFrame, order_cols, out_col: str, bucket_cols=None, totals: dict | None = None) -> DataFrame:
     """1-based rank by the unique, totally ordered ``order_cols`` without a
     single-partition window.
 
@@ -200,6 +200,8 @@ def dense_rank_by(df: DataFrame, order_cols, out_col: str, bucket_cols=None) ->
     for key, c in counts:
         rows.append((*key, acc))
         acc += c
+    if totals is not None:
+        totals["rows"] = acc   # the row count, known on the driver at no extra cost
     schema = ", ".join(f"{n} {dt}" for n, dt in zip(bnames, [b.schema[n].dataType.simpleString() for n in bnames]))
     off = spark.createDataFrame(rows, f"{schema}, _off long") if rows else None
     if off is None:
@@ -376,8 +378,9 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time, max_id: i
     # 5a. ids for inserted rows: max(id) + arrival rank among inserts
     if max_id is None:
         max_id = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]  # one scalar
+    counted: dict = {}
     new_rank = dense_rank_by(outcomes_k.filter(F.col("outcome") == INSERTED).select(F.col("seq").alias("ins_seq")),
-                             "ins_seq", "rank")
+                             "ins_seq", "rank", totals=counted)
     new_ids = new_rank.select("ins_seq", (F.lit(int(max_id)) + F.col("rank")).alias("new_id"))
 
     # 5b. content: fast-path inserts take their own item as is; contested targets
@@ -433,7 +436,7 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time, max_id: i
     outcomes = (outcomes_k.join(new_ids, F.col("t_key") == F.col("ins_seq"), "left")
                 .select("seq", "source", "outcome",
                         F.when(F.col("t_new"), F.col("new_id")).otherwise(F.col("t_key")).alias("id")))
-    top = int(max_id) + (new_rank.agg(F.max("rank")).first()[0] or 0)
+    top = int(max_id) + int(counted.get("rows", 0))
     return UpsertResult(table=table, changes=changes, outcomes=outcomes, max_id=top)
 
 

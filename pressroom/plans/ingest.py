@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pressroom.operators.extract import extract_articles
 from pressroom.operators.upsert import RANK_BUCKET, UpsertResult, dense_rank_by, ingest_summary, upsert_articles
+from pressroom.session import checkpoint_dir
 from pressroom.sources.pages import assign_source
 from pressroom.sources.profiles import profiles_df, source_names
 
@@ -60,6 +61,10 @@ def candidates(pages: DataFrame, source: str | None = None, fallback: str | None
     order_cols = ([fetched_at_col] if fetched_at_col else []) + ["source_rank", "page_id", "pos"]
     keep_cols = ["source_rank"] + ([fetched_at_col] if fetched_at_col else [])
     arts, rejects, quarantine = extract_articles(assigned, profiles, carry=keep_cols)
+    # the HTML stage is the expensive part: write its output once, so the ranking's
+    # count and every later read start here instead of parsing the pages again
+    checkpoint_dir(spark)
+    arts = arts.checkpoint()
     # coarse buckets: same leading keys, 65536 pages per bucket (each page holds at
     # most its profile's cap of candidates), so every window partition is bounded
     buckets = [F.col(c) for c in order_cols[:-2]] + [F.floor(F.col("page_id") / RANK_BUCKET).cast("long")]
