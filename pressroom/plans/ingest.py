@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pressroom.operators.extract import extract_articles
 from pressroom.operators.upsert import RANK_BUCKET, UpsertResult, dense_rank_by, ingest_summary, upsert_articles
-from pressroom.session import checkpoint_dir
+from pressroom.session import checkpoint_dir, spread
 from pressroom.sources.pages import assign_source
 from pressroom.sources.profiles import profiles_df, source_names
 
@@ -52,6 +52,7 @@ def candidates(pages: DataFrame, source: str | None = None, fallback: str | None
     ``source`` and ``base_url`` skip the registry join.  Adds the arrival order
     ``seq``: (fetched_at, registry rank of the source, page_id, pos)."""
     spark = pages.sparkSession
+    pages = spread(pages)   # a micro-batch of one file is one split: parse it on all cores
     if {"profile", "source", "base_url"} <= set(pages.columns):
         assigned = pages if "source_rank" in pages.columns else pages.withColumn("source_rank", F.lit(0))
     else:
