@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 
 from pressroom.llm.common import table
 from pressroom.llm.decontaminate import LOWER, UPPER, contamination
+from pressroom.llm.pii import BASE_KINDS, find_pii, spans_text
 from pressroom.llm.quality import quality_report
+from pressroom.llm.simhash import simhash_components
+
+
+def q_op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_components(table(spark, sf_dir, "documents"), shingle=4, distance=4)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def q_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +75,20 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+
+def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["kind"].isin(*BASE_KINDS))
+    n = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in BASE_KINDS]
+    return out.select("doc_id", *n, F.sha2(spans_text(base), 256).alias("base_sha256"),
+                      spans_text(F.col("found")).alias("spans"))
+
+
 QUERIES = {
+    "op1_simhash_near_dedup": q_op1,
     "op2_quality_rules": q_op2,
     "op6_decontamination": q_op6,
+    "op10_pii": q_op10,
 }
 ORACLE = {
     "op2_quality_rules": SQL_OP2,
