@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pressroom.llm.common import fresh
+
 #: The kinds in output order, base kinds first.
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
 BASE_KINDS = KINDS[:4]
@@ -166,6 +168,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), pii_spans(F.col(text_col)).alias("found"))
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` (all columns) with personal data masked in ``text_col``."""
-    return docs.withColumn(text_col, mask_pii(F.col(text_col)))
+def redact(docs: DataFrame, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """``docs`` (all columns, in their order) with personal data masked in ``text_col``; ``count_col``, if there:
+    the code points of the masked text."""
+    masked, = fresh(docs, "masked_text")
+    out = docs.withColumn(masked, mask_pii(F.col(text_col)))
+    counted = F.length(F.col(masked)).cast(docs.schema[count_col].dataType) if count_col in docs.columns else None
+    value = {text_col: F.col(masked)} | ({count_col: counted} if counted is not None else {})
+    return out.select(*[value[c].alias(c) if c in value else F.col(f"`{c}`") for c in docs.columns])

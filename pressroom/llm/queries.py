@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressroom.llm import bpe
 from pressroom.llm.common import table
 from pressroom.llm.decontaminate import LOWER, UPPER, contamination
 from pressroom.llm.pii import BASE_KINDS, find_pii, spans_text
@@ -76,6 +77,10 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+def q_op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_pii(table(spark, sf_dir, "documents"))
     base = F.filter("found", lambda s: s["kind"].isin(*BASE_KINDS))
@@ -87,6 +92,7 @@ def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": q_op1,
     "op2_quality_rules": q_op2,
+    "op3_bpe_round_trip": q_op3,
     "op6_decontamination": q_op6,
     "op10_pii": q_op10,
 }
