@@ -170,9 +170,9 @@ def run_cascade(df: DataFrame, ordered, cols: dict[str, str]) -> tuple[DataFrame
                 cols[name] = own[name]
         fails = rule.fails({k: F.col(v) for k, v in cols.items()})
         df = df.withColumn(verdict, F.when(alive, F.when(fails, F.lit(rule.name))).otherwise(F.col(verdict)))
-    # rand() is never negative; it keeps a later filter on the verdict from being pushed down through the steps
-    # above, where each use of a column would become a copy of everything that makes it
-    return df.withColumn(verdict, F.when(F.rand(7) >= 0, F.col(verdict))), verdict
+    # exploding an array of one keeps a later filter on the verdict from being pushed down through the steps above,
+    # where each use of a column would become a copy of everything that makes it
+    return df.withColumn(verdict, F.explode(F.array(F.col(verdict)))), verdict
 
 
 def quality_filter(docs: DataFrame, rules=RULES, order=None, text_col: str = "text") -> DataFrame:
