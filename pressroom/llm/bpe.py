@@ -23,6 +23,7 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import sys
 import unicodedata
 from array import array
@@ -61,6 +62,8 @@ class Vocabulary:
         self.joined = spec.get("decoder") is None  # without a decoder, tokens are shown joined by spaces
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.merges = {(self.ids[a], self.ids[b]): (r, self.ids[a + b]) for r, (a, b) in enumerate(pairs)}
+        self.ranks = {p: r for p, (r, _) in self.merges.items()}
+        self.merged = [new for _, new in self.merges.values()]
         self.inner = [self.ids[c] for c in self.alphabet]
         self.last = [self.ids[c + END] for c in self.alphabet]
         self.lookahead = sufficient_lookahead(pairs)
@@ -103,21 +106,17 @@ def vocabulary(name: str = VOCABULARY) -> Vocabulary:
 def merge(v: Vocabulary, ids: list[int]) -> list[int]:
     """Merge symbols: always the pair of the lowest rank, leftmost first."""
     merges = v.merges
-    if len(ids) < 48:
-        while len(ids) > 1:
-            best = min(map(merges.get, zip(ids, ids[1:]), _NEVER[:len(ids) - 1]))
-            if best is _LAST:
-                break
-            _, new = best
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and merges.get((ids[i], ids[i + 1])) is best:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+    if len(ids) < 64:
+        ids, rank = list(ids), v.ranks.get
+        ranks = [rank(p, _NEVER) for p in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) != _NEVER:
+            i = ranks.index(best)
+            ids[i:i + 2] = [v.merged[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), _NEVER)
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), _NEVER)
         return ids
     ids, n = list(ids), len(ids)
     after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
@@ -139,8 +138,7 @@ def merge(v: Vocabulary, ids: list[int]) -> list[int]:
     return [x for x in ids if x is not None]
 
 
-_LAST = (sys.maxsize, -1)
-_NEVER = [_LAST] * 64
+_NEVER = sys.maxsize
 
 #: Fixed value: the file's word pattern.
 _WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -148,33 +146,47 @@ _HOLD = 4  # the longest contraction, and the character behind it
 _SPACES = regex.compile(r"\s+")
 
 
-def _not_in_library(kind: str, chars: list[str]) -> list[str]:
-    doubtful = [c for c in chars if unicodedata.category(c) == "Cn"]
-    split = pre_tokenizers.Split(Regex(kind), "removed", invert=True)
-    known = {c for c, _ in split.pre_tokenize_str("".join(doubtful))} if doubtful else set()
-    return [c for c in doubtful if c not in known]
+@lru_cache(maxsize=1)
+def _newer() -> tuple[re.Pattern, dict[str, list[str]], dict[str, str]]:
+    """What the character tables of unicodedata lack and the regex module has: a pattern that finds such letters and
+    digits; by class, those that the file's library lacks too; small forms of capitals that it has."""
+    unknown = "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn")
+    every, lacks = set(), {}
+    for kind in (r"\p{L}", r"\p{N}"):
+        found = regex.findall(kind, unknown)
+        split = pre_tokenizers.Split(Regex(kind), "removed", invert=True)
+        known = {c for c, _ in split.pre_tokenize_str("".join(found))} if found else set()
+        every.update(found)
+        lacks[kind] = [c for c in found if c not in known]
+    small = normalizers.Lowercase().normalize_str
+    return re.compile(_class(every)), lacks, {c: low for c in every if (low := small(c)) != c}
+
+
+def _class(chars) -> str:
+    """A character class of ranges."""
+    codes, parts = sorted(map(ord, chars)), []
+    for c in codes:
+        if parts and parts[-1][1] == c - 1:
+            parts[-1][1] = c
+        else:
+            parts.append([c, c])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in parts) + "]" if parts else r"(?!)"
 
 
 @lru_cache(maxsize=2)
-def _patterns(ascii_only: bool) -> tuple[regex.Pattern, regex.Pattern, regex.Pattern]:
+def _patterns(usual: bool) -> tuple[regex.Pattern, regex.Pattern, regex.Pattern]:
     """The word pattern, and its parts that can go on without bound.  Letters and digits are those of the character
-    tables of the file's library; it is asked about characters that the regex module has and unicodedata lacks."""
+    tables of the file's library; only for texts with newer characters (not ``usual``) these differ from the regex
+    module's."""
     letter, number = r"\p{L}", r"\p{N}"
-    if not ascii_only:
-        every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
-        new = [_not_in_library(kind, regex.findall(kind, every)) for kind in (letter, number)]
-        letter, number = (f"[{k}--[{''.join(map(regex.escape, n))}]]" if n else k for k, n in zip((letter, number), new))
+    if not usual:
+        letter, number = (f"[{k}--{_class(new)}]" if new else k for k, new in _newer()[1].items())
     word = _WORD.replace(r"\p{L}", letter).replace(r"\p{N}", number)
     return tuple(regex.compile(p, regex.V1) for p in (word, f"{letter}+", rf"[^\s{letter}{number}]+"))
 
 
-@lru_cache(maxsize=1)
-def _new_capitals() -> tuple[regex.Pattern, dict[str, str]]:
-    """Capitals that the file's library has and unicodedata lacks, with their small forms."""
-    every = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
-    small = normalizers.Lowercase().normalize_str
-    found = {c: small(c) for c in regex.findall(r"\p{L}", "".join(every)) if small(c) != c}
-    return regex.compile(f"[{''.join(found)}]" if found else r"(?!)"), found
+def _usual(text: str) -> bool:
+    return text.isascii() or not _newer()[0].search(text)
 
 
 def normalise(text: str) -> str:
@@ -182,8 +194,8 @@ def normalise(text: str) -> str:
     text = _SPACES.sub(" ", unicodedata.normalize("NFC", text))
     if text.isascii():
         return text.lower()
-    capitals, small = _new_capitals()
-    return capitals.sub(lambda m: small[m.group()], text.replace("Σ", "σ").lower())
+    text = text.replace("Σ", "σ").lower()
+    return text if _usual(text) else "".join([_newer()[2].get(c, c) for c in text])
 
 
 @lru_cache(maxsize=1)
@@ -246,7 +258,7 @@ class Encoder:
 
     def _normal(self, piece: str, out: list[int], end: bool) -> None:
         text = self.text + normalise(piece)
-        pattern, letters, others = _patterns(text.isascii())
+        pattern, letters, others = _patterns(_usual(text))
         at = 0
         if self.run:
             m = (letters if self.run == "letters" else others).match(text)
