@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.llm import bpe, html_text, token_files, toxicity
+from pressroom.llm import bpe, compact_windows, html_text, suffix_dedup, token_files, toxicity
 from pressroom.llm.common import table
 from pressroom.llm.decontaminate import LOWER, UPPER, contamination
 from pressroom.llm.pii import BASE_KINDS, find_pii, spans_text
@@ -81,12 +81,20 @@ def q_op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def q_op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def q_op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_documents(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def q_op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.passage_classes(table(spark, sf_dir, "documents"))
+
+
 def q_op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_text.extract_pages(pages, html_text.train(pages))
@@ -108,8 +116,10 @@ QUERIES = {
     "op1_simhash_near_dedup": q_op1,
     "op2_quality_rules": q_op2,
     "op3_bpe_round_trip": q_op3,
+    "op4_suffix_array_dedup": q_op4,
     "op5_toxicity": q_op5,
     "op6_decontamination": q_op6,
+    "op7_compact_windows": q_op7,
     "op8_html_extraction": q_op8,
     "op9_token_files": q_op9,
     "op10_pii": q_op10,
