@@ -16,7 +16,6 @@ PAGES_SCHEMA = T.StructType([
 
 HOST_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
 SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.-]*)://"
-MAX_BROADCAST_PROFILES = 100_000  # registry rows we accept to broadcast
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -37,24 +36,23 @@ def page_host(url_col="url"):
     return F.lower(F.regexp_extract(F.col(url_col), HOST_RE, 1))
 
 
-def assign_source(pages: DataFrame, profiles: DataFrame, fallback: str | None = "page") -> DataFrame:
-    """Attach profile, source and base url to each page by URL host.
+def assign_source(pages: DataFrame, profiles: DataFrame, fallback: str | None = None) -> DataFrame:
+    """Attach profile, source and base url to each page by URL host, ``www.`` or not.
 
-    The registry is tiny and bounded by the number of configured sources, so it is
-    broadcast (after a size check); pages are never shuffled.  Pages of unknown hosts
-    get the ``fallback`` profile with source = host, or are dropped when
-    ``fallback`` is None."""
-    n = profiles.count()
-    if n > MAX_BROADCAST_PROFILES:
-        raise ValueError(f"profile registry too large to broadcast: {n} rows")
+    ``profiles`` holds one row per host (repeated hosts are folded, lowest rank first), so
+    a page matches at most once.  The registry is as small as the number of sources;
+    Spark broadcasts it by its measured size.  Pages of unknown hosts are dropped, or
+    get the ``fallback`` profile with source = host where one is named."""
+    bare = lambda c: F.regexp_replace(F.lower(c), r"^www\.", "")
+    p = (profiles.groupBy(bare(F.col("host")).alias("_h"))
+         .agg(F.min(F.struct("rank", "profile", "base_url")).alias("_p"))
+         .select("_h", F.col("_p.profile").alias("profile"), F.col("_p.base_url").alias("_base"),
+                 F.col("_p.rank").alias("source_rank")))
     host = page_host("url")
-    p = profiles.select(F.col("profile"), F.regexp_replace(F.col("host"), r"^www\.", "").alias("_h"),
-                        F.col("base_url").alias("_base"), F.col("rank").alias("source_rank"))
-    j = pages.withColumn("_host", host).join(
-        F.broadcast(p), F.regexp_replace(F.col("_host"), r"^www\.", "") == F.col("_h"), "left")
+    j = pages.withColumn("_host", host).join(p, bare(F.col("_host")) == F.col("_h"), "left")
     scheme = F.lower(F.regexp_extract("url", SCHEME_RE, 1))
     out = j.select(
-        "page_id", "url", "html",
+        *[c for c in pages.columns],
         F.coalesce(F.col("profile"), F.lit(fallback)).alias("profile"),
         F.coalesce(F.col("profile"), F.col("_host")).alias("source"),
         F.coalesce(F.col("_base"), F.concat(scheme, F.lit("://"), F.col("_host"))).alias("base_url"),

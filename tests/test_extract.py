@@ -4,7 +4,7 @@ import pytest
 
 from pressroom.operators.extract import _compile, extract_articles, extract_page
 from pressroom.operators.htmltree import Document, SelectorError, compile_selector, select, select_one
-from pressroom.sources.profiles import NEWS_PROFILES, Profile, expand, get_profile, register_profile
+from pressroom.sources.profiles import NEWS_PROFILES, Profile, get_profile, register_profile
 
 
 def prof(containers=("article",), title=("h2 a", "h2"), perex=("p",), url=("h2 a", "a[href]"), cap=80,
@@ -84,11 +84,15 @@ def test_containers_selector_major_then_document_order_dedup():
     assert out == ["2", "4", "1", "3"]
 
 
-def test_cap_counts_failed_candidates():
+def test_cap_is_a_run_option_and_counts_failed_candidates():
+    from pressroom.operators.extract import OVER_CAP, _compile, extract_page
     html = ('<article><h2>no</h2></article>' * 2
             + '<article><h2><a href="/ok">Accepted long title</a></h2></article>')
-    assert run(html, prof(cap=2)) == []
-    assert len(run(html, prof(cap=3))) == 1
+    p = prof(cap=2)
+    assert len(run(html, p)) == 1
+    assert extract_page(html, p, _compile(p), use_cap=True) == [(2, None, None, None, OVER_CAP)]
+    p = prof(cap=3)
+    assert [r[4] for r in extract_page(html, p, _compile(p), use_cap=True)] == [None]
 
 
 def test_page_url_fallback_option():
@@ -105,10 +109,9 @@ def test_unsupported_selector_raises_on_driver():
         compile_selector("a:first-child")
 
 
-def test_profiles_expand_to_reference_sizes():
+def test_profiles_have_all_selectors():
     assert sum(len(p.containers) + len(p.title) + len(p.perex) + len(p.url) for p in NEWS_PROFILES) == 1359
     assert sum(p.cap for p in NEWS_PROFILES) == 885
-    assert expand('a[href*=/{x,y}/] ; .{p,q} a') == ('a[href*="/x/"]', 'a[href*="/y/"]', ".p a", ".q a")
 
 
 def test_select_one_first_in_document_order():
@@ -143,10 +146,24 @@ def test_assign_source_by_host(spark):
          (4, "https://Unknown.Example.org/p#x", "<html></html>")],
         "page_id long, url string, html string")
     got = {r["page_id"]: (r["profile"], r["source"], r["base_url"])
-           for r in assign_source(pages, profiles_df(spark)).collect()}
+           for r in assign_source(pages, profiles_df(spark), fallback="page").collect()}
     assert got[1] == ("aktualne", "aktualne", "https://aktualne.cz")
     assert got[2] == ("novinky", "novinky", "https://novinky.cz")
     assert got[3] == ("ct24", "ct24", "https://ct24.ceskatelevize.cz")
     assert got[4] == ("page", "unknown.example.org", "https://unknown.example.org")
-    dropped = assign_source(pages, profiles_df(spark), fallback=None)
+    dropped = assign_source(pages, profiles_df(spark))
     assert sorted(r["page_id"] for r in dropped.collect()) == [1, 2, 3]
+    # every registered host, with www. and without: one row per page
+    hosts = [f"https://{www}{p.host}/x" for p in NEWS_PROFILES for www in ("", "www.", "WWW.")]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(hosts)], "page_id long, url string, html string")
+    rows = assign_source(pages, profiles_df(spark)).collect()
+    assert sorted((r["page_id"], r["source"]) for r in rows) == [
+        (i, NEWS_PROFILES[i // 3].name) for i in range(len(hosts))]
+
+
+def test_two_profiles_cannot_share_a_host():
+    with pytest.raises(ValueError):
+        register_profile(Profile("copy", "https://www.novinky.cz", 5, ("article",), ("h2",), ("p",), ("a[href]",)))
+    register_profile(Profile("plugin", "https://plugin.example.org", 5, ("article",), ("h2",), ("p",), ("a[href]",)))
+    from pressroom.plans.ingest import check_source
+    check_source("plugin")
