@@ -1,16 +1,16 @@
 """Run ledger (R1-R6): an append-only table of run lifecycle events; the current
 state of a run is derived by one aggregation, never updated in place.
 
-Event columns: run_id, ts, event_id, status, task_type, n (articles scraped, on
-'completed'), message (error text, on 'failed').  State per run, as the reference's
+Event columns: run_id, ts, event_id, status, task_type, source (of a single-source run),
+n (articles scraped, on 'completed'), message (error text, on 'failed').  State per run, as the reference's
 task record evolves:
 
 * status        of the latest event by (ts, event_id);
 * created_at    first event;
 * started_at    latest 'running' event (a periodic run restarts it);
 * completed_at  latest terminal event (not cleared by a later restart);
-* result        {"articles_scraped": n} of the latest 'completed' event, 0 if none;
-* error         message of the latest 'failed' event;
+* result        {"articles_scraped": n} of the latest 'completed' event, NULL if none;
+* error         message of the latest 'failed' event, and its class;
 * progress      1.0 once a run has completed.
 
 ``groupBy(run_id)`` with max(struct(ts, event_id, value)) aggregates combine
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pressroom.functions.text import batch_timestamp, classify_error
+
 # --- fixed values ----------------------------------------------------------------------
 PENDING, RUNNING, COMPLETED, FAILED, CANCELLED = "pending", "running", "completed", "failed", "cancelled"
 TERMINAL = (COMPLETED, FAILED, CANCELLED)
@@ -36,6 +38,7 @@ RUN_EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
     T.StructField("status", T.StringType()),
     T.StructField("task_type", T.StringType()),
+    T.StructField("source", T.StringType()),
     T.StructField("n", T.LongType()),
     T.StructField("message", T.StringType()),
 ])
@@ -57,8 +60,11 @@ def run_state(events: DataFrame) -> DataFrame:
         F.min("ts").alias("created_at"),
         F.max(F.when(st == RUNNING, F.col("ts"))).alias("started_at"),
         F.max(F.when(st.isin(*TERMINAL), F.col("ts"))).alias("completed_at"),
-        F.coalesce(_latest(F.col("n"), st == COMPLETED), F.lit(0)).cast("bigint").alias("articles_scraped"),
+        _latest(F.col("source")).alias("source"),
+        _latest(F.col("n"), st == COMPLETED).cast("bigint").alias("articles_scraped"),
         _latest(F.col("message"), st == FAILED).alias("error"),
+        F.when(F.count_if(st == FAILED) > 0, classify_error(F.coalesce(
+            _latest(F.col("message"), st == FAILED), F.lit("")))).alias("error_class"),
         F.when(F.count_if(st == COMPLETED) > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("progress"),
     )
 
@@ -93,7 +99,6 @@ def run_by_id(state: DataFrame, run_id) -> DataFrame:
 def purge_runs(state: DataFrame, now, max_age_hours: int = DEFAULT_MAX_AGE_HOURS) -> DataFrame:
     """Drop terminal runs whose completed_at is strictly older than now - max_age;
     everything else (including terminal runs without completed_at) is kept."""
-    from pressroom.functions.text import batch_timestamp
     cutoff = batch_timestamp(now) - F.make_dt_interval(F.lit(0), F.lit(int(max_age_hours)), F.lit(0), F.lit(0))
     drop = F.col("status").isin(*TERMINAL) & F.col("completed_at").isNotNull() & (F.col("completed_at") < cutoff)
     return state.filter(~F.coalesce(drop, F.lit(False)))

@@ -2,7 +2,7 @@
 
 ``readStream`` over a folder of page snapshot drops -> ``foreachBatch`` running one
 ingest per micro-batch against the article table as of the previous batch -> commit
-of the batch's changed rows as log partition ``batch_id = epoch + 1``.
+of the batch's changed rows under a batch number that the table allots.
 
 * W1 periodic ingest: ``trigger(processingTime="2 hours")``.
 * W2 run-now ingest of everything pending: ``trigger(availableNow=True)``; optional
@@ -13,14 +13,18 @@ of the batch's changed rows as log partition ``batch_id = epoch + 1``.
   there is no watermark (an article stays matchable forever) and no
   ``transformWithState`` (a component of the upsert crosses any single grouping key).
 
-Exactly-once: epoch N reads the table *as of batch N* - 1 and overwrites log partition
-N, so replaying an epoch after a failure rewrites the same rows.  The stream's own
-progress lives in ``checkpointLocation`` (a shared folder on a cluster).
+Exactly-once: the commit row of a batch names its stream (by the checkpoint folder) and
+epoch.  A replayed epoch finds its own number, reads the table as of the batch before
+and rewrites the same rows; an epoch of another stream, or a first run into a table
+that has other batches, gets the next number.  Rejects and quarantined pages are written
+beside the batch, from the same parse.  A single-source run reads only that source's
+pages under its own checkpoint; other streams' checkpoints still have them to read.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,47 +45,51 @@ def _utcnow():
 
 def make_batch_writer(table_path: str, source: str | None = None, clock=_utcnow,
                       ledger_path: str | None = None, task_type: str = "periodic_scrape",
-                      fallback: str | None = "page", valid_sources=None, compact_every: int | None = None):
+                      fallback: str | None = None, valid_sources=None, compact_every: int | None = None,
+                      stream: str = "stream", profiles=None, extractors=None):
     """The ``foreachBatch`` function: ingest one micro-batch and commit it; every
     ``compact_every`` batches the log is folded into a new base, so the next read
     aggregates only the batches after it."""
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        batch_id = int(epoch_id) + 1
-        now = clock()
-        started = now
-        existing = ST.read_articles(spark, table_path, as_of_batch=batch_id - 1)
+        batch_id = ST.next_batch_id(spark, table_path, stream, int(epoch_id))
+        started = clock()
+        n_new, status, msg = None, LG.COMPLETED, None
         try:
-            res = ingest(batch, existing, now, source=source, fallback=fallback,
-                         valid_sources=valid_sources, max_id=ST.max_id(spark, table_path, batch_id - 1))
-            changes = res.upsert.changes.checkpoint()
-            ST.write_changes(changes, table_path, batch_id, max_id=res.upsert.max_id)
+            existing = ST.read_articles(spark, table_path, as_of_batch=batch_id - 1)
+            res = ingest(batch, existing, started, source=source, fallback=fallback,
+                         valid_sources=valid_sources, max_id=ST.max_id(spark, table_path, batch_id - 1),
+                         profiles=profiles, extractors=extractors)
+            for name, rows in (("rejects", res.rejects), ("quarantine", res.quarantine)):
+                rows.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/{name}/batch_id={batch_id}")
+            ST.write_changes(res.upsert.changes.checkpoint(), table_path, batch_id, max_id=res.upsert.max_id,
+                             stream=stream, epoch=int(epoch_id))
             n_new = res.upsert.outcomes.filter(F.col("outcome") == "inserted").count()
-            status, msg = LG.COMPLETED, None
         except Exception as exc:  # noqa: BLE001 - record the failed run, then re-raise
-            n_new, status, msg = None, LG.FAILED, f"{type(exc).__name__}: {exc}"
-            if ledger_path:
-                _log_run(spark, ledger_path, batch_id, task_type, started, clock(), status, n_new, msg)
+            status, msg = LG.FAILED, f"{type(exc).__name__}: {exc}"
             raise
-        if ledger_path:
-            _log_run(spark, ledger_path, batch_id, task_type, started, clock(), status, n_new, msg)
+        finally:
+            if ledger_path:
+                _log_run(spark, ledger_path, task_type, source, started, clock(), status, n_new, msg)
         if compact_every and batch_id % compact_every == 0:
             ST.compact(spark, table_path)
 
     return write_batch
 
 
-def _log_run(spark, path, run_id, task_type, started, ended, status, n, msg):
-    rows = [(run_id, started, run_id * 10 + 1, LG.RUNNING, task_type, None, None),
-            (run_id, ended, run_id * 10 + 2, status, task_type, n, msg)]
+def _log_run(spark, path, task_type, source, started, ended, status, n, msg):
+    run_id = uuid.uuid4().int >> 65   # a fresh id per attempt: 63 random bits
+    rows = [(run_id, started, 1, LG.RUNNING, task_type, source, None, None),
+            (run_id, ended, 2, status, task_type, source, n, msg)]
     LG.append_events(LG.run_events(spark, rows), path)
 
 
 def stream_ingest(spark: SparkSession, pages_dir: str, table_path: str, checkpoint_location: str, *,
                   trigger: str = "periodic", source: str | None = None, max_files_per_trigger: int | None = None,
-                  clock=_utcnow, ledger_path: str | None = None, fallback: str | None = "page",
-                  valid_sources=None, period: str = PERIOD, compact_every: int | None = None):
+                  clock=_utcnow, ledger_path: str | None = None, fallback: str | None = None,
+                  valid_sources=None, period: str = PERIOD, compact_every: int | None = None,
+                  profiles=None, extractors=None):
     """Start the ingest stream; returns the ``StreamingQuery``.
 
     ``trigger``: "periodic" (W1, every ``period``, 2 hours by default) or "now" (W2,
@@ -92,7 +100,7 @@ def stream_ingest(spark: SparkSession, pages_dir: str, table_path: str, checkpoi
          .foreachBatch(make_batch_writer(table_path, source, clock, ledger_path,
                                          "periodic_scrape" if trigger == "periodic" else
                                          ("scrape_source" if source else "scrape_all"), fallback,
-                                         valid_sources, compact_every))
+                                         valid_sources, compact_every, checkpoint_location, profiles, extractors))
          .option("checkpointLocation", checkpoint_location))
     if trigger == "periodic":
         w = w.trigger(processingTime=period)

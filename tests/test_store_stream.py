@@ -21,6 +21,17 @@ from conftest import SF_SMALL
 NOW = dt.datetime(2024, 2, 1)
 
 
+def write_page_drops(spark, sf_dir: str, drops_dir: str, n_drops: int) -> None:
+    """The pages as ``n_drops`` files of consecutive page_id ranges, one after the other."""
+    pages = C._pages(spark, sf_dir)
+    b = pages.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
+    step = (b["hi"] - b["lo"]) // n_drops + 1
+    for k in range(n_drops):
+        lo = b["lo"] + k * step
+        part = pages.filter((F.col("page_id") >= lo) & (F.col("page_id") < lo + step))
+        part.coalesce(1).write.mode("append").parquet(drops_dir)
+
+
 def _rows(df):
     return sorted(tuple(r[c] for c in ARTICLE_COLUMNS) for r in df.select(*ARTICLE_COLUMNS).collect())
 
@@ -62,16 +73,18 @@ def test_schema_evolution(spark):
 def test_ledger_lifecycle(spark):
     t = dt.datetime(2024, 1, 1)
     h = dt.timedelta(hours=1)
-    rows = [(1, t, 1, "pending", "scrape_all", None, None), (1, t + h, 2, "running", "scrape_all", None, None),
-            (1, t + 2 * h, 3, "completed", "scrape_all", 12, None),
-            (2, t, 4, "pending", "periodic_scrape", None, None), (2, t + h, 5, "running", "periodic_scrape", None, None),
-            (2, t + 2 * h, 6, "failed", "periodic_scrape", None, "Timeout"),
-            (2, t + 3 * h, 7, "running", "periodic_scrape", None, None),
-            (3, t, 8, "pending", "scrape_source", None, None)]
+    rows = [(1, t, 1, "pending", "scrape_all", None, None, None), (1, t + h, 2, "running", "scrape_all", None, None, None),
+            (1, t + 2 * h, 3, "completed", "scrape_all", None, 12, None),
+            (2, t, 4, "pending", "periodic_scrape", None, None, None), (2, t + h, 5, "running", "periodic_scrape", None, None, None),
+            (2, t + 2 * h, 6, "failed", "periodic_scrape", None, None, "Timeout"),
+            (2, t + 3 * h, 7, "running", "periodic_scrape", None, None, None),
+            (3, t, 8, "pending", "scrape_source", "ct24", None, None)]
     st = {r["run_id"]: r for r in LG.run_state(LG.run_events(spark, rows)).collect()}
     assert (st[1]["status"], st[1]["articles_scraped"], st[1]["progress"]) == ("completed", 12, 1.0)
-    assert (st[2]["status"], st[2]["error"], st[2]["completed_at"]) == ("running", "Timeout", t + 2 * h)
-    assert (st[3]["status"], st[3]["articles_scraped"], st[3]["started_at"]) == ("pending", 0, None)
+    assert (st[2]["status"], st[2]["error"], st[2]["error_class"], st[2]["completed_at"]) == (
+        "running", "Timeout", "timeout", t + 2 * h)
+    assert (st[3]["status"], st[3]["source"], st[3]["articles_scraped"], st[3]["started_at"]) == (
+        "pending", "ct24", None, None)
     state = LG.run_state(LG.run_events(spark, rows))
     assert LG.running_runs(state).count() == 1
     assert LG.run_by_id(state, 99).count() == 0
@@ -91,14 +104,15 @@ def test_stream_equals_one_batch_and_replay(spark):
     drops = scratch_path(spark, "t-drops")
     table = scratch_path(spark, "t-table")
     ledger = scratch_path(spark, "t-ledger")
-    C.write_page_drops(spark, SF_SMALL, drops, 2)
-    q = stream_ingest(spark, drops, table, scratch_path(spark, "t-ckpt"), trigger="now",
-                      max_files_per_trigger=1, clock=lambda: NOW, ledger_path=ledger)
+    write_page_drops(spark, SF_SMALL, drops, 2)
+    ckpt = scratch_path(spark, "t-ckpt")
+    q = stream_ingest(spark, drops, table, ckpt, trigger="now",
+                      max_files_per_trigger=1, clock=lambda: NOW, ledger_path=ledger, fallback="page")
     q.awaitTermination(600)
     assert q.exception() is None
     assert ST.batches(spark, table) == [1, 2]
     streamed = _rows(ST.read_articles(spark, table))
-    one = ingest(C._pages(spark, SF_SMALL), UP.empty_articles(spark), NOW).upsert.table
+    one = ingest(C._pages(spark, SF_SMALL), UP.empty_articles(spark), NOW, fallback="page").upsert.table
     assert streamed == _rows(one)
     assert ST.max_id(spark, table) == max(r[0] for r in streamed)   # recorded, not scanned
     # replay epoch 1 (batch 2) with the same input: nothing changes
@@ -106,7 +120,7 @@ def test_stream_equals_one_batch_and_replay(spark):
     files = sorted(spark.read.parquet(drops).inputFiles(),
                    key=lambda f: spark.read.parquet(f).agg(F.min("page_id")).first()[0])
     replay = spark.read.parquet(files[1])
-    make_batch_writer(table, clock=lambda: NOW)(replay, 1)
+    make_batch_writer(table, clock=lambda: NOW, fallback="page", stream=ckpt)(replay, 1)
     assert _rows(ST.read_articles(spark, table)) == streamed
     runs = LG.run_state(LG.read_events(spark, ledger)).collect()
     assert {r["status"] for r in runs} == {"completed"} and len(runs) == 2
@@ -120,16 +134,17 @@ def test_periodic_trigger_coalesces_missed_runs(spark):
     for max_files, expected in ((None, [1]), (2, [1, 2])):
         drops = scratch_path(spark, "t-drops")
         table = scratch_path(spark, "t-table")
-        C.write_page_drops(spark, SF_SMALL, drops, 3)
+        write_page_drops(spark, SF_SMALL, drops, 3)
         q = stream_ingest(spark, drops, table, scratch_path(spark, "t-ckpt"), trigger="periodic", period="1 second",
-                          max_files_per_trigger=max_files, clock=lambda: NOW, compact_every=1)
+                          max_files_per_trigger=max_files, clock=lambda: NOW, compact_every=1,
+                          fallback="page")
         try:
             q.processAllAvailable()
         finally:
             q.stop()
         assert ST.batches(spark, table) == expected
-        assert ST._partition_values(spark, table + "/base", "upto") == expected   # compacted after each batch
-        one = ingest(C._pages(spark, SF_SMALL), UP.empty_articles(spark), NOW).upsert.table
+        assert ST.bases(spark, table) == expected   # compacted after each batch
+        one = ingest(C._pages(spark, SF_SMALL), UP.empty_articles(spark), NOW, fallback="page").upsert.table
         assert _rows(ST.read_articles(spark, table)) == _rows(one)
 
 
@@ -166,3 +181,56 @@ def test_arrival_order_follows_fetch_time_then_rank_then_page(spark):
     got = [(r["page_id"], r["pos"]) for r in items.orderBy("seq").collect()]
     assert got == [(30, 0), (30, 1), (20, 0), (20, 1), (10, 0), (10, 1)]
     assert [r["seq"] for r in items.orderBy("seq").collect()] == [1, 2, 3, 4, 5, 6]
+
+
+def test_half_written_batches_are_not_read(spark):
+    path = scratch_path(spark, "t-articles")
+    a = FX.articles_view(spark, SF_SMALL).select(*ARTICLE_COLUMNS)
+    ST.write_changes(a, path, 1)
+    before = _rows(ST.read_articles(spark, path))
+    # what runs that died before their commit row leave behind
+    a.limit(3).write.parquet(f"{path}/base/upto=1")
+    a.limit(7).withColumn("perex", F.lit("half")).write.parquet(f"{path}/log/batch_id=2")
+    assert _rows(ST.read_articles(spark, path)) == before and ST.next_batch_id(spark, path) == 2
+    ST.write_changes(a.limit(4).withColumn("perex", F.lit("new")), path, 2)
+    assert ST.read_articles(spark, path).filter("perex = 'new'").count() == 4
+    ST.write_changes(a.limit(0), path, 2)   # an empty replay empties the batch
+    assert _rows(ST.read_articles(spark, path)) == before
+
+
+def test_source_filter_reaches_the_log_scan(spark):
+    path = scratch_path(spark, "t-articles")
+    a = FX.articles_view(spark, SF_SMALL).select(*ARTICLE_COLUMNS)
+    ST.write_changes(a, path, 1)
+    plan = ST.read_articles(spark, path, source="src1")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(source,src1)" in plan
+
+
+def test_second_stream_gets_its_own_batches(spark):
+    path = scratch_path(spark, "t-articles")
+    a = FX.articles_view(spark, SF_SMALL).select(*ARTICLE_COLUMNS)
+    ST.write_changes(a, path, 1)
+    assert ST.next_batch_id(spark, path, "s1", 0) == 2
+    ST.write_changes(a.limit(1), path, 2, stream="s1", epoch=0)
+    assert ST.next_batch_id(spark, path, "s2", 0) == 3
+    assert ST.next_batch_id(spark, path, "s1", 0) == 2
+
+
+def test_bad_pages_and_null_fetch_times(spark):
+    from pressroom.plans.ingest import candidates
+    html = '<article><h2><a href="/a">Headline number one here</a></h2></article>'
+    pages = spark.createDataFrame(
+        [(2**60 + 1, "listing", "s1", "https://s1.x", "https://s1.x/", html, dt.datetime(2024, 1, 1), 0),
+         (5, "listing", "s2", "https://s2.x", "https://s2.x/", html, None, 0),
+         (None, "listing", "s3", "https://s3.x", "https://s3.x/", html, None, 0),
+         (7, "listing", "s4", "https://s4.x", "https://s4.x/", None, None, 0)],
+        "page_id long, profile string, source string, base_url string, url string, html string, "
+        "fetched_at timestamp_ntz, source_rank int")
+    items, _, quarantine = candidates(pages, fetched_at_col="fetched_at")
+    assert [(r.seq, r.page_id) for r in items.orderBy("seq").collect()] == [(1, 5), (2, 2**60 + 1)]
+    assert {r.source for r in quarantine.collect()} >= {"s3"}
+
+
+def test_summary_of_an_empty_run_has_a_total(spark):
+    none = spark.createDataFrame([], "seq long, source string, outcome string, id long")
+    assert [tuple(r) for r in UP.ingest_summary(none).collect()] == [(None, 0, 0, 0, 0)]
