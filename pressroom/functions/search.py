@@ -43,8 +43,3 @@ def search_predicate(q: str | None, columns=("title", "perex")) -> Column | None
         p = contains_folded(c, q)
         pred = p if pred is None else (pred | p)
     return pred
-
-
-def search_articles(df, q: str | None):
-    p = search_predicate(q)
-    return df if p is None else df.filter(p)

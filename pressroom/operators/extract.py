@@ -8,7 +8,8 @@ sources) and selectors are compiled once per task.
 
 Per page (as the reference does per source page):
 1. containers: each container selector in turn, document order within a selector,
-   first occurrence of each element kept (E1); only the first ``cap`` are used (E2);
+   first occurrence of each element kept (E1); a run with ``use_cap`` uses only the
+   first ``cap`` and reports the others as rejects (E2);
 2. title: for each title selector test only its first match; accept when the cleaned
    text has >= 10 characters, else try the next selector (E3);
 3. perex: the same with >= 20 characters, else '' (E4);
@@ -30,10 +31,10 @@ from pressroom.functions.text import clean_text_py
 MIN_TITLE_CHARS = 10
 MIN_PEREX_CHARS = 20
 # ---------------------------------------------------------------------------------------
-PAGES_PER_ARROW_BATCH = 1000
+OVER_CAP = "over_cap"   # marks a candidate that a capped run leaves out
 
 RAW_SCHEMA = T.StructType([
-    T.StructField("page_id", T.LongType()),
+    T.StructField("page_id", T.StringType()),   # text: integers with NULLs would become floats
     T.StructField("source", T.StringType()),
     T.StructField("base_url", T.StringType()),
     T.StructField("pos", T.IntegerType()),
@@ -72,7 +73,7 @@ def _first_href(doc, el, matchers):
     return ""
 
 
-def extract_page(html: str, profile, compiled, page_url: str | None = None, extractor=None):
+def extract_page(html: str, profile, compiled, page_url: str | None = None, extractor=None, use_cap: bool = False):
     """Candidates of one page as ``(pos, title, perex, url, error)`` tuples."""
     from pressroom.operators.htmltree import Document, select
     if extractor is not None:  # E9 plug-in: a custom per-page extractor
@@ -87,7 +88,10 @@ def extract_page(html: str, profile, compiled, page_url: str | None = None, extr
                 seen.add(id(e))
                 elements.append(e)
     out = []
-    for pos, el in enumerate(elements[: profile.cap]):
+    for pos, el in enumerate(elements):
+        if use_cap and pos >= profile.cap:
+            out.append((pos, None, None, None, OVER_CAP))
+            continue
         try:
             title = _first_text(doc, el, tsel, MIN_TITLE_CHARS)
             if not title:
@@ -104,7 +108,7 @@ def extract_page(html: str, profile, compiled, page_url: str | None = None, extr
     return out
 
 
-def _make_stage(profiles: dict, extractors: dict | None = None, carry=(), out_schema=RAW_SCHEMA):
+def _make_stage(profiles: dict, extractors: dict | None = None, carry=(), out_schema=RAW_SCHEMA, use_cap=False):
     extractors = extractors or {}
     carry = list(carry)
     names = [f.name for f in out_schema.fields]
@@ -117,17 +121,19 @@ def _make_stage(profiles: dict, extractors: dict | None = None, carry=(), out_sc
             for i, (page_id, prof_name, source, base_url, url, html) in enumerate(zip(
                     pdf["page_id"], pdf["profile"], pdf["source"], pdf["base_url"], pdf["url"], pdf["html"])):
                 try:
+                    if page_id is None:
+                        raise ValueError("page without an id")
                     prof = profiles[prof_name]
                     if prof_name not in compiled:
                         compiled[prof_name] = _compile(prof)
                     for pos, title, perex, u, err in extract_page(html, prof, compiled[prof_name], url,
-                                                                  extractors.get(prof_name)):
+                                                                  extractors.get(prof_name), use_cap):
                         rows.append((page_id, source, base_url, pos, title, perex, u, err))
                         keep_idx.append(i)
                 except Exception as exc:  # noqa: BLE001 - isolate one bad page
                     rows.append((page_id, source, base_url, -1, None, None, None, f"{type(exc).__name__}: {exc}"))
                     keep_idx.append(i)
-            out = pd.DataFrame(rows, columns=names[:len(RAW_SCHEMA.fields)]).astype({"page_id": "int64", "pos": "int32"})
+            out = pd.DataFrame(rows, columns=names[:len(RAW_SCHEMA.fields)]).astype({"pos": "int32"})
             for c in carry:  # page-level columns handed through, no re-join on page_id later
                 out[c] = pdf[c].iloc[keep_idx].reset_index(drop=True) if keep_idx else pdf[c].iloc[:0]
             yield out
@@ -135,32 +141,32 @@ def _make_stage(profiles: dict, extractors: dict | None = None, carry=(), out_sc
 
 
 def extract_raw(pages: DataFrame, profiles: dict | None = None, extractors: dict | None = None,
-                carry=()) -> DataFrame:
-    """Run the extraction stage; ``pages`` needs PAGE_COLUMNS.
-
-    Pages are large rows: the Arrow batch handed to a Python worker is capped at
-    ``PAGES_PER_ARROW_BATCH`` pages (a session setting read when the stage runs), so
-    a worker holds ~100 MB of HTML at most instead of 10,000 pages."""
+                carry=(), use_cap: bool = False) -> DataFrame:
+    """Run the extraction stage; ``pages`` needs PAGE_COLUMNS."""
     from pressroom.sources.profiles import registry
-    conf = pages.sparkSession.conf
-    cur = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
-    if cur <= 0 or cur > PAGES_PER_ARROW_BATCH:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAGES_PER_ARROW_BATCH))
     profiles = profiles or registry()
     carry = [c for c in carry if c not in PAGE_COLUMNS]
     schema = T.StructType(RAW_SCHEMA.fields + [pages.schema[c] for c in carry])
-    return pages.select(*PAGE_COLUMNS, *carry).mapInPandas(_make_stage(profiles, extractors, carry, schema), schema)
+    read = pages.select(*PAGE_COLUMNS, *carry).withColumn("page_id", F.col("page_id").cast("string"))
+    out = read.mapInPandas(_make_stage(profiles, extractors, carry, schema, use_cap), schema)
+    return out.withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def extract_articles(pages: DataFrame, profiles: dict | None = None, extractors: dict | None = None,
-                     errors: str = "quarantine", carry=()):
+                     errors: str = "quarantine", carry=(), use_cap: bool = False):
     """E1-E6 + F1 + F6: pages -> (articles, rejects, quarantine).
 
     ``articles`` carry page_id, pos, title, perex, source, url, title_hash; the
     validity gate and keying run JVM-side on the stage output."""
+    raw = extract_raw(pages, profiles, extractors, carry, use_cap)
+    return split_raw(raw, errors, carry)
+
+
+def split_raw(raw: DataFrame, errors: str = "quarantine", carry=()):
+    """The stage output as (articles, rejects, quarantine)."""
     from pressroom.operators.articles import to_articles, validate_articles
-    raw = extract_raw(pages, profiles, extractors, carry)
-    quarantine = raw.filter(F.col("error").isNotNull()).select("page_id", "source", "pos", "error")
+    cut = raw.filter(F.col("error") == OVER_CAP)
+    quarantine = raw.filter(F.col("error").isNotNull() & (F.col("error") != OVER_CAP)).select("page_id", "source", "pos", "error")
     if errors == "raise":
         # materialise errors eagerly only when the caller asks the job to fail on them
         first = quarantine.limit(1).collect()
@@ -168,4 +174,6 @@ def extract_articles(pages: DataFrame, profiles: dict | None = None, extractors:
             raise RuntimeError(f"extraction failed: {first[0]['error']}")
     good = raw.filter(F.col("error").isNull())
     valid, rejects = validate_articles(good, base_url="base_url", keep=["page_id", "pos", *carry])
-    return to_articles(valid), rejects, quarantine
+    over = cut.select(*[F.col(c) if c in cut.columns else F.lit(None).cast(rejects.schema[c].dataType).alias(c)
+                        for c in rejects.columns if c != "reason"], F.lit(OVER_CAP).alias("reason"))
+    return to_articles(valid), rejects.unionByName(over), quarantine

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.operators.articles import ARTICLE_COLUMNS, listing_predicate
+from pressroom.operators.articles import listing_predicate
 
 # --- fixed values ----------------------------------------------------------------------
 DEFAULT_PAGE = 1
@@ -24,6 +24,7 @@ ENVELOPE_KEYS = ["articles", "page", "limit", "total", "total_pages"]
 # Article key order inside the JSON listing.
 ARTICLE_JSON_KEYS = ["title", "perex", "source", "url", "title_hash", "scraped_at", "updated_at", "id"]
 JSON_TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
+JSON_FRACTION_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"   # where the fraction is not zero
 # ---------------------------------------------------------------------------------------
 
 
@@ -100,6 +101,34 @@ def available_sources(df: DataFrame) -> DataFrame:
     return df.select("source").distinct().orderBy("source")
 
 
+#: Up to this many rows a page is a top-k of offset + limit; deeper pages are found by counts.
+TOP_K = 10_000
+
+
+def deep_page(df: DataFrame, offset: int, limit: int) -> DataFrame:
+    """The rows [offset, offset + limit) of the newest-first order without carrying all
+    rows before them: counts per hour (one row per hour, summed up on the driver) tell
+    which hours hold the slice, and only those are ordered."""
+    hour = F.date_trunc("hour", F.col("scraped_at"))
+    counts = {r["h"]: r["n"] for r in df.groupBy(hour.alias("h")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    first, seen, hours = None, 0, []
+    for h in sorted((h for h in counts if h is not None), reverse=True) + [h for h in counts if h is None]:
+        if seen + counts[h] > offset and seen < offset + limit:
+            first = seen if first is None else first
+            hours.append(h)
+        seen += counts[h]
+    if not hours:
+        return df.limit(0)
+    known = [h for h in hours if h is not None]
+    keep = F.lit(False)
+    if known:
+        lo, hi = (F.lit(h).cast(df.schema["scraped_at"].dataType) for h in (min(known), max(known)))
+        keep = (F.col("scraped_at") >= lo) & (F.col("scraped_at") < hi + F.expr("INTERVAL 1 HOUR"))
+    if None in hours:
+        keep = keep | F.col("scraped_at").isNull()
+    return newest_first(df.filter(keep)).offset(offset - first).limit(limit)
+
+
 def article_listing(df: DataFrame, page: int = DEFAULT_PAGE, limit: int = DEFAULT_LIMIT,
                     source=None, search=None) -> DataFrame:
     """L4: page rows with the listing metadata attached to every row.
@@ -110,7 +139,12 @@ def article_listing(df: DataFrame, page: int = DEFAULT_PAGE, limit: int = DEFAUL
     prm = ListingParams(page, limit, source, search)
     total = count_articles(df, prm.source, prm.search).first()["total"]
     meta = page_meta_values(int(total), prm.page, prm.limit)
-    rows = page_articles(df, prm.page, prm.limit, prm.source, prm.search)
+    if prm.offset >= total:
+        rows = df.limit(0)
+    elif prm.offset + prm.limit <= TOP_K:
+        rows = page_articles(df, prm.page, prm.limit, prm.source, prm.search)
+    else:
+        rows = deep_page(filtered(df, prm.source, prm.search), prm.offset, prm.limit)
     return rows.select("*", *[F.lit(v).cast("bigint" if not isinstance(v, bool) else "boolean").alias(k)
                               for k, v in meta.items()])
 
@@ -122,7 +156,9 @@ def page_envelope(df: DataFrame, page: int = DEFAULT_PAGE, limit: int = DEFAULT_
     ``limit`` (<= 100) rows, so collecting it into one row is bounded by construction."""
     prm = ListingParams(page, limit, source, search)
     rows = page_articles(df, prm.page, prm.limit, prm.source, prm.search)
-    ts = lambda c: F.date_format(c, JSON_TIMESTAMP_FORMAT)
+    whole = lambda c: F.date_trunc("second", c).cast("timestamp_ntz") == F.col(c)
+    ts = lambda c: F.when(whole(c), F.date_format(c, JSON_TIMESTAMP_FORMAT)).when(
+        ~whole(c), F.date_format(c, JSON_FRACTION_FORMAT))
     art = F.struct(*[ts(k).alias(k) if k in ("scraped_at", "updated_at") else F.col(k) for k in ARTICLE_JSON_KEYS])
     ordered = rows.select(F.struct(F.col("scraped_at").alias("s"), F.col("id").alias("i")).alias("_k"), art.alias("a"))
     arr = (ordered.agg(F.sort_array(F.collect_list(F.struct("_k", "a")), asc=False).alias("_arr"))
@@ -136,8 +172,4 @@ def page_envelope(df: DataFrame, page: int = DEFAULT_PAGE, limit: int = DEFAULT_
         F.lit(total).cast("bigint").alias("total"),
         F.lit(meta["total_pages"]).cast("bigint").alias("total_pages"),
     ).alias("env"))
-    return env.select(F.to_json("env").alias("json"))
-
-
-def select_articles(df: DataFrame) -> DataFrame:
-    return df.select(*ARTICLE_COLUMNS)
+    return env.select(F.to_json("env", {"ignoreNullFields": "false"}).alias("json"))

@@ -60,7 +60,6 @@ UPDATED_BY_TITLE = "updated_by_title"
 # ---------------------------------------------------------------------------------------
 
 ITEM_COLUMNS = ["seq", "title", "perex", "source", "url", "title_hash"]
-MAX_BROADCAST_KEYS = 200_000    # distinct batch urls / hashes we broadcast (~20 MB of keys)
 
 OUTCOMES = [INSERTED, UPDATED_BY_URL, UPDATED_BY_TITLE]   # fold emits the index
 
@@ -172,48 +171,23 @@ def _heap_min(heap, rows, valid):
     return None
 
 
-RANK_BUCKET = 1 << 16          # order keys per window partition when ranking
-MAX_BROADCAST_BUCKETS = 500_000   # ~8 MB of (bucket, offset) rows
-
-
-def dense_rank_by(df: DataFrame, order_cols, out_col: str, bucket_cols=None, totals: dict | None = None) -> DataFrame:
-    """1-based rank by the unique, totally ordered ``order_cols`` without a
-    single-partition window.
-
-    ``bucket_cols`` are coarse, order-preserving keys (default: ``order_col //
-    65536`` for one long column) whose groups are bounded.  Rows are counted per
-    bucket (one row per bucket goes to the driver), prefix offsets are computed there,
-    and each row's rank is its bucket offset plus its ``row_number`` inside the
-    bucket.  Deterministic, so a recomputed partition gets the same ranks."""
+def dense_rank_by(df: DataFrame, order_cols, out_col: str, totals: dict | None = None) -> DataFrame:
+    """1-based rank by the unique, totally ordered ``order_cols`` (NULLs first) without a
+    window over all rows: range-partition by the order, number the rows of each
+    partition, add the counts of the partitions before (one row per partition).  The
+    dealt rows are checkpointed, so a recomputed partition gets the same ranks."""
     from pyspark.sql import Window
-    spark = df.sparkSession
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
-    if bucket_cols is None:
-        if len(order_cols) != 1:
-            raise ValueError("bucket_cols needed for a composite order")
-        bucket_cols = [F.floor(F.col(order_cols[0]) / RANK_BUCKET).cast("long").alias("_b0")]
-    bnames = [f"_b{i}" for i in range(len(bucket_cols))]
-    b = df.select("*", *[c.alias(n) for c, n in zip(bucket_cols, bnames)])
-    counts = sorted((tuple(r[n] for n in bnames), r["_c"])
-                    for r in b.groupBy(*bnames).agg(F.count(F.lit(1)).alias("_c")).collect())
-    rows, acc = [], 0
-    for key, c in counts:
-        rows.append((*key, acc))
-        acc += c
+    checkpoint_dir(df.sparkSession)
+    s = (df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order_cols])
+         .withColumn("_pid", F.spark_partition_id()).checkpoint())
+    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     if totals is not None:
-        totals["rows"] = acc   # the row count, known on the driver at no extra cost
-    schema = ", ".join(f"{n} {dt}" for n, dt in zip(bnames, [b.schema[n].dataType.simpleString() for n in bnames]))
-    off = spark.createDataFrame(rows, f"{schema}, _off long") if rows else None
-    if off is None:
-        return df.withColumn(out_col, F.lit(None).cast("long")).limit(0)
-    off = F.broadcast(off) if len(rows) <= MAX_BROADCAST_BUCKETS else off
-    w = Window.partitionBy(*bnames).orderBy(*order_cols)
-    return (b.join(off, bnames)
-            .withColumn(out_col, F.col("_off") + F.row_number().over(w))
-            .drop(*bnames, "_off"))
-
-
-_dense_rank_by = dense_rank_by
+        totals["rows"] = s.count()
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = counts.select("_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_pid").orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
+    return (s.join(off, "_pid").withColumn(out_col, F.col("_off") + F.row_number().over(w)).drop("_pid", "_off"))
 
 
 def _running_count(df: DataFrame, part: str, order: str, flag: str, out: str) -> DataFrame:
@@ -267,9 +241,11 @@ def _fold_contested(contested: DataFrame) -> DataFrame:
                .unionByName(segments.select("comp", F.lit(KIND_SEGMENT).alias("kind"), F.col("fseq").alias("seq"),
                                             F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("url"),
                                             "h", "source")))
-    ordered = (records.withColumn("ord", F.coalesce("seq", F.lit(-1)))
+    ordered = (records.withColumn("ord", F.coalesce("seq", F.lit(-(1 << 63)).cast("bigint")))
                .repartition("comp").sortWithinPartitions("comp", "ord", "kind")
-               .select("comp", "kind", "seq", "id", "url", "h", "source"))
+               # a NULL would turn a long column into floats, which lose ids above 2^53
+             .select("comp", "kind", F.coalesce("seq", F.lit(-1)).alias("seq"),
+                     F.coalesce("id", F.lit(-1)).alias("id"), "url", "h", "source"))
     out = ordered.mapInPandas(_fold_component_stream, FOLD_OUT).checkpoint()
     name = F.element_at(F.array(*[F.lit(o) for o in OUTCOMES]), F.col("outcome_code").cast("int") + 1)
     single = out.filter(~F.col("is_seg")).select("seq", "source", name.alias("outcome"), "t_new", "t_key")
@@ -306,14 +282,10 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time, max_id: i
         F.coalesce(F.col("title_hash"), F.concat(F.lit("\u0000hash:"), F.col("id").cast("string"))).alias("h"),
         "source")
 
-    # 1. prefilter the table to rows that share a key with the batch.  The batch's
-    #    distinct keys are broadcast when their count is checked small (the table is
-    #    then streamed, never shuffled); otherwise a shuffle join (AQE may still switch).
+    # 1. prefilter the table to rows that share a key with the batch (AQE broadcasts the
+    #    batch's keys when they measure small; the table is then streamed, not shuffled)
     batch_urls = item_k.select("url").distinct()
     batch_hashes = item_k.select("h").distinct()
-    n_keys = item_k.agg(F.count_distinct("url").alias("u"), F.count_distinct("h").alias("h")).first()
-    if max(n_keys["u"], n_keys["h"]) <= MAX_BROADCAST_KEYS:
-        batch_urls, batch_hashes = F.broadcast(batch_urls), F.broadcast(batch_hashes)
     touched = (ex_k.join(batch_urls, "url", "left_semi")
                .unionByName(ex_k.join(batch_hashes, "h", "left_semi"))
                .dropDuplicates(["id"]))
@@ -441,13 +413,15 @@ def upsert_articles(existing: DataFrame, items: DataFrame, batch_time, max_id: i
 
 
 def ingest_summary(outcomes: DataFrame) -> DataFrame:
-    """A2: new / updated counts per source plus a grand-total row (source NULL)."""
-    return outcomes.rollup("source").agg(
-        F.count_if(F.col("outcome") == INSERTED).alias("new"),
-        F.count_if(F.col("outcome") != INSERTED).alias("updated"),
-        F.count_if(F.col("outcome") == UPDATED_BY_URL).alias("by_url"),
-        F.count_if(F.col("outcome") == UPDATED_BY_TITLE).alias("by_title"),
-    )
+    """A2: new / updated counts per source plus a grand-total row (source NULL), which
+    is there for an empty run too."""
+    counts = [F.count_if(F.col("outcome") == INSERTED).alias("new"),
+              F.count_if(F.col("outcome") != INSERTED).alias("updated"),
+              F.count_if(F.col("outcome") == UPDATED_BY_URL).alias("by_url"),
+              F.count_if(F.col("outcome") == UPDATED_BY_TITLE).alias("by_title")]
+    per_source = outcomes.groupBy("source").agg(*counts)
+    sums = [F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in ("new", "updated", "by_url", "by_title")]
+    return per_source.unionByName(per_source.agg(*sums).withColumn("source", F.lit(None).cast("string")))
 
 
 def match_by_url(existing: DataFrame, items: DataFrame) -> DataFrame:

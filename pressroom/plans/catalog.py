@@ -121,12 +121,17 @@ def q_articles_view(spark, sf_dir):
     return AR_select(FX.articles_view(spark, sf_dir))
 
 
+# A message per text, so that every class of T9 occurs, first matches included.
+_MESSAGE_SQL = ("(text || CASE doc_id % 4 WHEN 0 THEN ' NS_ERROR_UNKNOWN_HOST timeout' "
+                "WHEN 1 THEN ' Timeout 60000ms, connection' WHEN 2 THEN ' net::Connection refused' ELSE '' END)")
+
+
 @register("text_labels", f"""
 SELECT doc_id, {O.initcap('source')} AS source_label,
        strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 97 AS BIGINT)), '%d.%m.%Y %H:%M') AS scraped_label,
-       CASE WHEN contains(lower(text), 'ns_error_unknown_host') THEN 'dns'
-            WHEN contains(lower(text), 'timeout') THEN 'timeout'
-            WHEN contains(lower(text), 'connection') THEN 'connection' ELSE 'other' END AS error_class,
+       CASE WHEN contains(lower({_MESSAGE_SQL}), 'ns_error_unknown_host') THEN 'dns'
+            WHEN contains(lower({_MESSAGE_SQL}), 'timeout') THEN 'timeout'
+            WHEN contains(lower({_MESSAGE_SQL}), 'connection') THEN 'connection' ELSE 'other' END AS error_class,
        {O.normalize_title('text')} AS norm_text,
        length({O.clean_text('text')}) AS clean_len
 FROM documents""")
@@ -137,7 +142,10 @@ def q_text_labels(spark, sf_dir):
         "doc_id",
         TX.source_label("source").alias("source_label"),
         TX.scraped_label(FX._scraped_at(F.col("doc_id"))).alias("scraped_label"),
-        TX.classify_error("text").alias("error_class"),
+        TX.classify_error(F.concat("text", F.when(F.col("doc_id") % 4 == 0, " NS_ERROR_UNKNOWN_HOST timeout")
+                                   .when(F.col("doc_id") % 4 == 1, " Timeout 60000ms, connection")
+                                   .when(F.col("doc_id") % 4 == 2, " net::Connection refused")
+                                   .otherwise(""))).alias("error_class"),
         TX.normalize_title("text").alias("norm_text"),
         F.length(TX.clean_text("text")).alias("clean_len"),
     )
@@ -177,40 +185,41 @@ def q_normalize_url(spark, sf_dir):
                     TX.normalize_url(F.col("raw"), "https://base.example.cz/").alias("url"))
 
 
-# Candidate records with every validity outcome: title prefixes of 1..15 characters,
+# Candidate records with every validity outcome: every line of every text as a title,
 # and url forms absolute / relative / empty / non-http.
 _CAND_SQL = """
-  SELECT doc_id, source, 'https://' || source || '.example.com' AS base_url,
-         substr(text, 1, 1 + CAST(doc_id % 15 AS INTEGER)) AS title, text AS perex,
-         CASE doc_id % 4 WHEN 0 THEN '/a/' || CAST(doc_id AS VARCHAR)
+  SELECT doc_id, line, source, 'https://' || source || '.example.com' AS base_url, ls[line] AS title, ls[line] AS perex,
+         CASE (doc_id + line) % 4 WHEN 0 THEN '/a/' || CAST(doc_id AS VARCHAR)
                          WHEN 1 THEN 'https://cdn.example.org/' || CAST(doc_id AS VARCHAR)
                          WHEN 2 THEN '' ELSE 'ftp://x/' || CAST(doc_id AS VARCHAR) END AS url
-  FROM documents"""
+  FROM (SELECT doc_id, source, ls, unnest(range(1, len(ls) + 1)) AS line
+        FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents) t0) t1"""
 
 
 def _candidates(spark, sf_dir):
-    d = FX.table(spark, sf_dir, "documents")
-    m4 = F.col("doc_id") % 4
+    d = FX.table(spark, sf_dir, "documents").select(
+        "doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("at", "title"))
+    d = d.withColumn("line", F.col("at").cast("bigint") + 1)
+    m4 = (F.col("doc_id") + F.col("line")) % 4
     url = (F.when(m4 == 0, F.concat(F.lit("/a/"), F.col("doc_id").cast("string")))
            .when(m4 == 1, F.concat(F.lit("https://cdn.example.org/"), F.col("doc_id").cast("string")))
            .when(m4 == 2, F.lit(""))
            .otherwise(F.concat(F.lit("ftp://x/"), F.col("doc_id").cast("string"))))
     return d.select(
-        "doc_id", "source",
+        "doc_id", "line", "source",
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com")).alias("base_url"),
-        F.expr("substring(text, 1, 1 + cast(doc_id % 15 as int))").alias("title"),
-        F.col("text").alias("perex"), url.alias("url"))
+        "title", F.col("title").alias("perex"), url.alias("url"))
 
 
 @register("validate_articles", f"""
-WITH c AS (SELECT doc_id, source, {O.clean_text('title')} AS title, {O.clean_text('perex')} AS perex,
+WITH c AS (SELECT doc_id, line, source, {O.clean_text('title')} AS title, {O.clean_text('perex')} AS perex,
                   {O.normalize_url('url', 'base_url')} AS url FROM ({_CAND_SQL}) c0)
-SELECT doc_id, title, substr(perex, 1, 500) AS perex, source, url, {O.title_hash('title')} AS title_hash
+SELECT doc_id, line, title, substr(perex, 1, 500) AS perex, source, url, {O.title_hash('title')} AS title_hash
 FROM c WHERE length(title) >= 10 AND starts_with(url, 'http')""")
 def q_validate_articles(spark, sf_dir):
     """F1 + F6 (+T1, T2, T5): candidate gate and keying over every document."""
-    valid, _ = AR.validate_articles(_candidates(spark, sf_dir), base_url="base_url", keep=["doc_id"])
-    return AR.to_articles(valid).select("doc_id", "title", "perex", "source", "url", "title_hash")
+    valid, _ = AR.validate_articles(_candidates(spark, sf_dir), base_url="base_url", keep=["doc_id", "line"])
+    return AR.to_articles(valid).select("doc_id", "line", "title", "perex", "source", "url", "title_hash")
 
 
 @register("reject_reasons", f"""
@@ -223,19 +232,34 @@ def q_reject_reasons(spark, sf_dir):
     return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Articles with what a JSON listing must not lose: NULL fields and fractions of a second.
+_JSON_TS = ("CASE WHEN date_part('microsecond', {c}) % 1000000 = 0 THEN strftime({c}, '%Y-%m-%dT%H:%M:%S') "
+            "ELSE strftime({c}, '%Y-%m-%dT%H:%M:%S.%f') END")
+_JSON_ARTICLES = f"""SELECT id, title, CASE WHEN id % 3 = 0 THEN NULL ELSE perex END AS perex, source, url, title_hash,
+  scraped_at + to_microseconds(CAST(CASE WHEN id % 4 = 0 THEN 0 ELSE id % 1000 END AS BIGINT)) AS scraped_at,
+  CASE WHEN id % 5 = 0 THEN NULL ELSE updated_at END AS updated_at FROM ({O.ARTICLES}) a0"""
+
+
 @register("listing_json", f"""
-WITH a AS ({O.ARTICLES}), f AS (SELECT * FROM a WHERE source = 'src1'),
+WITH a AS ({_JSON_ARTICLES}), f AS (SELECT * FROM a WHERE source = 'src1'),
 p AS (SELECT * FROM f ORDER BY scraped_at DESC NULLS LAST, id DESC LIMIT 5 OFFSET 5)
 SELECT to_json(struct_pack(
   articles := coalesce((SELECT list(struct_pack(title := title, perex := perex, source := source, url := url,
-        title_hash := title_hash, scraped_at := strftime(scraped_at, '%Y-%m-%dT%H:%M:%S'),
-        updated_at := strftime(updated_at, '%Y-%m-%dT%H:%M:%S'), id := id)
+        title_hash := title_hash, scraped_at := {_JSON_TS.format(c='scraped_at')},
+        updated_at := {_JSON_TS.format(c='updated_at')}, id := id)
         ORDER BY scraped_at DESC NULLS LAST, id DESC) FROM p), []),
   page := 2, "limit" := 5, total := (SELECT count(id) FROM f),
   total_pages := CAST(((SELECT count(id) FROM f) + 4) // 5 AS BIGINT)))::VARCHAR AS json""")
 def q_listing_json(spark, sf_dir):
-    """JSON envelope of page 2 (limit 5) of source src1."""
-    return LS.page_envelope(AR_select(FX.articles_view(spark, sf_dir)), page=2, limit=5, source="src1")
+    """JSON envelope of page 2 (limit 5) of source src1, NULL fields kept."""
+    i = F.col("id")
+    a = AR_select(FX.articles_view(spark, sf_dir))
+    micros = F.when(i % 4 == 0, 0).otherwise(i % 1000)
+    a = (a.withColumn("perex", F.when(i % 3 != 0, F.col("perex")))
+         .withColumn("scraped_at", F.col("scraped_at") + F.make_dt_interval(
+             F.lit(0), F.lit(0), F.lit(0), (micros / 1000000).cast("decimal(18,6)")))
+         .withColumn("updated_at", F.when(i % 5 != 0, F.col("updated_at"))))
+    return LS.page_envelope(a, page=2, limit=5, source="src1")
 
 
 # ------------------------------------------------------------------------------ upsert
@@ -407,6 +431,7 @@ def q_new_articles(spark, sf_dir):
 from pressroom.operators.extract import extract_articles  # noqa: E402
 from pressroom.plans import ingest as IN  # noqa: E402
 from pressroom.sources.pages import assign_source, read_pages  # noqa: E402
+from pressroom.sources.profiles import NEWS_PROFILES as _NEWS  # noqa: E402
 from pressroom.sources.profiles import profiles_df  # noqa: E402
 
 
@@ -433,6 +458,30 @@ _PAGES_DIRECT_SQL = f"""
   WHERE length(title) >= 10"""
 
 
+@register("host_labels", f"SELECT page_id, {O.initcap(_HOST_SQL)} AS label FROM pages")
+def q_host_labels(spark, sf_dir):
+    """T6 over page hosts, as S8 names unknown sources: each run of letters in title case."""
+    from pressroom.sources.pages import page_host
+    return _pages(spark, sf_dir).select("page_id", TX.source_label(page_host("url")).alias("label"))
+
+
+_NEWS_BY_PAGE = ", ".join(f"({i}, {O.sq(p.name)}, {O.sq(p.base_url)}, {O.sq(p.host)})" for i, p in enumerate(_NEWS))
+
+
+@register("pages_by_registry", f"""
+WITH r(i, source, base_url, host) AS (VALUES {_NEWS_BY_PAGE}, (12, NULL, NULL, 'unknown.example.org'))
+SELECT page_id, source, base_url, CAST(i AS INTEGER) AS source_rank FROM pages JOIN r ON r.i = page_id % 13
+WHERE source IS NOT NULL""")
+def q_pages_by_registry(spark, sf_dir):
+    """Every stored page moved to a news host, with ``www.`` or without, or to an
+    unknown one; one row per page of a registered host, none for the others."""
+    hosts = F.array(*[F.lit(p.host) for p in _NEWS], F.lit("unknown.example.org"))
+    www = F.when((F.col("page_id") / 13).cast("bigint") % 2 == 0, "WWW.").otherwise("")
+    at = F.get(hosts, (F.col("page_id") % 13).cast("int"))
+    pages = _pages(spark, sf_dir).withColumn("url", F.concat(F.lit("https://"), www, at, F.lit("/x?y=1")))
+    return assign_source(pages, profiles_df(spark)).select("page_id", "source", "base_url", "source_rank")
+
+
 @register("pages_direct", _PAGES_DIRECT_SQL)
 def q_pages_direct(spark, sf_dir):
     """S1 + S7 + E1-E6 + F1 + F6: every stored page through the extraction stage
@@ -453,38 +502,50 @@ _LISTING_EXTRACT_SQL = f"""
          substr(CASE WHEN length(perex0) >= 20 THEN perex0 ELSE '' END, 1, 500) AS perex,
          {O.title_hash('title')} AS title_hash
   FROM (SELECT page_id, pos, source, 'https://' || source || '.example.com/a/' || CAST(doc_id AS VARCHAR) AS url,
-               {O.clean_text('substr(text, 1, 80)')} AS title, {O.clean_text('text')} AS perex0
-        FROM ({_LISTING_DOCS_SQL}) d WHERE pos < 30) c
+               {O.clean_text('text')} AS title, {O.clean_text('text')} AS perex0
+        FROM ({_LISTING_DOCS_SQL}) d) c
   WHERE length(title) >= 10"""
 
 
 @register("listing_extract", _LISTING_EXTRACT_SQL)
 def q_listing_extract(spark, sf_dir):
-    """E1-E5 + cap E2 (30 before validation) + T2: front pages rebuilt from whole
-    documents (h2 > a links, escaped text) parsed back into candidates."""
+    """E1-E5 + T2: front pages rebuilt from whole documents (h2 > a links, escaped
+    text) parsed back into candidates."""
     arts, _, _ = extract_articles(FX.listing_pages(spark, sf_dir))
     return arts.select("page_id", "pos", "source", "url", "title", "perex", "title_hash")
 
 
 @register("listing_rejects", f"""
   SELECT source, count(*) AS n FROM ({_LISTING_DOCS_SQL}) d
-  WHERE pos < 30 AND length({O.clean_text('substr(text, 1, 80)')}) < 10 GROUP BY source""")
+  WHERE length({O.clean_text('text')}) < 10 GROUP BY source""")
 def q_listing_rejects(spark, sf_dir):
-    """E3 misses: capped containers whose title stays under 10 characters, per source
-    (they never reach the gate; counted from the stage output)."""
+    """E3 misses: containers whose title stays under 10 characters, per source (they
+    never reach the gate; counted from the stage output)."""
     from pressroom.operators.extract import extract_raw
     pages = FX.listing_pages(spark, sf_dir)
     raw = extract_raw(pages).select("page_id", "pos")
-    capped = pages.select("page_id", "source", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("pos"))
-    # positions that exist on the page: documents per page
+    # the positions on each page: documents per page
     sizes = (FX.table(spark, sf_dir, "documents")
              .groupBy("source", (F.col("doc_id") / FX.LISTING_DOCS_PER_PAGE).cast("bigint").alias("blk"))
-             .agg(F.min("doc_id").alias("page_id"), F.count(F.lit(1)).alias("n")))
-    capped = capped.join(sizes.select("page_id", "n"), "page_id").filter(F.col("pos") < F.col("n"))
-    return (capped.join(raw, ["page_id", "pos"], "left_anti")
+             .agg(F.min("doc_id").alias("page_id"), F.count(F.lit(1)).cast("int").alias("n")))
+    there = sizes.select("page_id", "source", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
+    return (there.join(raw, ["page_id", "pos"], "left_anti")
             .groupBy("source").agg(F.count(F.lit(1)).alias("n")))
 
 
+@register("listing_capped", f"""
+WITH d AS (SELECT source, pos, {O.clean_text('text')} AS title FROM ({_LISTING_DOCS_SQL}) d0)
+SELECT source, CAST(count_if(pos < 30 AND length(title) >= 10) AS BIGINT) AS found,
+       CAST(count_if(pos >= 30) AS BIGINT) AS cut FROM d GROUP BY source""")
+def q_listing_capped(spark, sf_dir):
+    """The run option that stops at the profile's candidate cap (30 a page, before
+    validation); what it cuts is reported, a reject row per candidate."""
+    arts, rejects, _ = extract_articles(FX.listing_pages(spark, sf_dir), use_cap=True)
+    both = arts.select("source", F.lit(1).alias("f"), F.lit(0).alias("c")).unionByName(
+        rejects.filter(F.col("reason") == "over_cap").select("source", F.lit(0).alias("f"), F.lit(1).alias("c")))
+    return both.groupBy("source").agg(F.sum("f").alias("found"), F.sum("c").alias("cut"))
+
+
 _LISTING_ITEMS_SQL = f"""
   SELECT row_number() OVER (ORDER BY page_id, pos) AS seq, title, perex, source, url, title_hash
   FROM ({_LISTING_EXTRACT_SQL}) x"""
@@ -536,7 +597,7 @@ SELECT source, CAST(count(*) AS BIGINT) AS new, CAST(sum(n) - count(*) AS BIGINT
 FROM r GROUP BY ROLLUP (source)""")
 def q_ingest_pages_summary(spark, sf_dir):
     """S8 over the stored pages (fallback profile, source = host): per-host summary."""
-    res = IN.ingest(_pages(spark, sf_dir), UP.empty_articles(spark), BATCH_TIME)
+    res = IN.ingest(_pages(spark, sf_dir), UP.empty_articles(spark), BATCH_TIME, fallback="page")
     return res.summary
 
 
@@ -674,15 +735,21 @@ _RUN_EVENTS_SQL = """
          CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'completed'
                          WHEN 'error' THEN 'failed' WHEN 'click' THEN 'cancelled' END AS status,
          CASE user_id % 3 WHEN 0 THEN 'scrape_all' WHEN 1 THEN 'scrape_source' ELSE 'periodic_scrape' END AS task_type,
-         CAST(trunc(value) AS BIGINT) AS n, event_type AS message
+         CASE WHEN user_id % 3 = 1 THEN 'src' || CAST(user_id % 7 AS VARCHAR) END AS source,
+         CAST(trunc(value) AS BIGINT) AS n,
+         event_type || CASE WHEN event_id % 3 = 0 THEN ': Timeout 30000ms' ELSE '' END AS message
   FROM events"""
 
 _RUN_STATE_SQL = f"""
   SELECT run_id, arg_max(status, ts) AS status, arg_max(task_type, ts) AS task_type, min(ts) AS created_at,
          max(ts) FILTER (WHERE status = 'running') AS started_at,
          max(ts) FILTER (WHERE status IN ('completed', 'failed', 'cancelled')) AS completed_at,
-         CAST(coalesce(arg_max(n, ts) FILTER (WHERE status = 'completed'), 0) AS BIGINT) AS articles_scraped,
+         any_value(source) AS source,
+         CAST(arg_max(n, ts) FILTER (WHERE status = 'completed') AS BIGINT) AS articles_scraped,
          arg_max(message, ts) FILTER (WHERE status = 'failed') AS error,
+         CASE WHEN count_if(status = 'failed') = 0 THEN NULL
+              WHEN contains(lower(arg_max(message, ts) FILTER (WHERE status = 'failed')), 'timeout') THEN 'timeout'
+              ELSE 'other' END AS error_class,
          CAST(CASE WHEN count_if(status = 'completed') > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS progress
   FROM ({_RUN_EVENTS_SQL}) e GROUP BY run_id"""
 
@@ -744,39 +811,69 @@ SELECT CAST(row_number() OVER (ORDER BY first_seq) AS BIGINT) AS id, title, pere
 @register("ingest_pages", _PAGES_TABLE_SQL)
 def q_ingest_pages(spark, sf_dir):
     """S8 over every stored page into an empty table, one batch."""
-    return IN.ingest(_pages(spark, sf_dir), UP.empty_articles(spark), BATCH_TIME).upsert.table
-
-
-def write_page_drops(spark, sf_dir, drops_dir: str, n_drops: int = 2) -> int:
-    """Copy the pages table into ``n_drops`` successive file drops of consecutive
-    page_id ranges (every page lands in exactly one drop)."""
-    pages = _pages(spark, sf_dir)
-    b = pages.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
-    lo, hi = int(b["lo"]), int(b["hi"])
-    step = (hi - lo) // n_drops + 1
-    for k in range(n_drops):
-        part = pages.filter((F.col("page_id") >= lo + k * step) & (F.col("page_id") < lo + (k + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(drops_dir)
-    return n_drops
+    return IN.ingest(_pages(spark, sf_dir), UP.empty_articles(spark), BATCH_TIME, fallback="page").upsert.table
 
 
 @register("stream_ingest_pages", _PAGES_TABLE_SQL)
 def q_stream_ingest_pages(spark, sf_dir):
-    """S2 + W2 + W4: the pages arrive as two file drops; an availableNow stream ingests
-    one drop per micro-batch against the table left by the previous one.  The final
-    table equals the one-batch ingest."""
+    """S2 + W2 + W4: the pages arrive as two drops; after each a run-now stream under the
+    same checkpoint takes what is new, against the table left by the one before.  The
+    final table equals the one-batch ingest."""
     from pressroom.streaming.ingest_stream import stream_ingest
     drops = scratch_path(spark, "page-drops")
     table = scratch_path(spark, "articles")
-    write_page_drops(spark, sf_dir, drops, 2)
-    q = stream_ingest(spark, drops, table, scratch_path(spark, "stream-ckpt"), trigger="now",
-                      max_files_per_trigger=1, clock=lambda: BATCH_TIME)
-    q.awaitTermination(1800)
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    ckpt = scratch_path(spark, "stream-ckpt")
+    pages = _pages(spark, sf_dir)
+    mid = int(pages.agg(F.percentile_approx("page_id", 0.5)).first()[0])
+    for half in (F.col("page_id") <= mid, F.col("page_id") > mid):
+        pages.filter(half).write.mode("append").parquet(drops)
+        q = stream_ingest(spark, drops, table, ckpt, trigger="now", clock=lambda: BATCH_TIME, fallback="page")
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
+    return ST.read_articles(spark, table)
+
+
+_TWO_STREAMS_SQL = f"""
+WITH a AS ({O.ARTICLES}), nx AS (SELECT max(id) AS m FROM a),
+b AS (SELECT row_number() OVER (ORDER BY page_id, pos) AS seq, * FROM ({_PAGES_DIRECT_SQL}) x),
+g AS (SELECT source, title_hash, min(seq) AS first_seq, arg_min(title, seq) AS title,
+             arg_max(url, seq) AS url, arg_max(perex, seq) AS perex FROM b GROUP BY source, title_hash)
+SELECT id, title, perex, source, url, title_hash, scraped_at, updated_at FROM a
+UNION ALL
+SELECT (SELECT m FROM nx) + CAST(row_number() OVER (ORDER BY first_seq) AS BIGINT) AS id, title, perex, source, url,
+       title_hash, {_BT} AS scraped_at, {_BT} AS updated_at FROM g"""
+
+
+@register("stream_into_table", _TWO_STREAMS_SQL)
+def q_stream_into_table(spark, sf_dir):
+    """W2 + W4 on a table that has rows: the articles are migrated into the store, one
+    stream ingests the first half of the pages, another (its own checkpoint) the second;
+    the table equals its old rows plus one fold over all pages."""
+    from pressroom.streaming.ingest_stream import stream_ingest
+    table = scratch_path(spark, "articles")
+    ST.write_changes(AR_select(FX.articles_view(spark, sf_dir)), table, ST.next_batch_id(spark, table))
+    pages = _pages(spark, sf_dir)
+    mid = int(pages.agg(F.percentile_approx("page_id", 0.5)).first()[0])
+    for half in (F.col("page_id") <= mid, F.col("page_id") > mid):
+        drops = scratch_path(spark, "page-drops")
+        pages.filter(half).write.parquet(drops)
+        q = stream_ingest(spark, drops, table, scratch_path(spark, "stream-ckpt"), trigger="now",
+                          clock=lambda: BATCH_TIME, fallback="page")
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise RuntimeError(str(q.exception()))
     return ST.read_articles(spark, table)
 
 
+@register("listing_stored", _listing_sql(3, 20, "src0", None))
+def q_listing_stored(spark, sf_dir):
+    """L4 over S3: a middle page of one source from the stored table, its filter in the scan."""
+    table = scratch_path(spark, "articles")
+    ST.write_changes(AR_select(FX.articles_view(spark, sf_dir)), table, ST.next_batch_id(spark, table))
+    return LS.article_listing(ST.read_articles(spark, table, source="src0"), page=3, limit=20, source="src0")
+
+
 # ------------------------------------------------------------- the twelve news profiles
 from functools import reduce  # noqa: E402
 
@@ -791,8 +888,8 @@ def _news_profile_sql() -> str:
          substr(CASE WHEN length(perex0) >= 20 THEN perex0 ELSE '' END, 1, 500) AS perex,
          {O.title_hash('title')} AS title_hash
   FROM (SELECT page_id, pos, source, 'https://' || source || '.example.com/a/' || CAST(doc_id AS VARCHAR) AS url,
-               {O.clean_text('substr(text, 1, 80)')} AS title, {O.clean_text('text')} AS perex0
-        FROM ({_LISTING_DOCS_SQL}) d WHERE pos < {p.cap}) c
+               {O.clean_text('text')} AS title, {O.clean_text('text')} AS perex0
+        FROM ({_LISTING_DOCS_SQL}) d) c
   WHERE length(title) >= 10""")
     return " UNION ALL ".join(parts)
 
@@ -800,7 +897,7 @@ def _news_profile_sql() -> str:
 @register("news_profiles_extract", _news_profile_sql())
 def q_news_profiles_extract(spark, sf_dir):
     """E7 + E1-E5: every rebuilt front page parsed with each of the twelve news-source
-    profiles (their full selector lists and caps); each profile's selector chain must
+    profiles (their full selector lists); each profile's selector chain must
     find the same article records."""
     pages = FX.listing_pages(spark, sf_dir)
     out = []

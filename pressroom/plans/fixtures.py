@@ -16,7 +16,6 @@ from pressroom.session import spread
 # --- fixed values ----------------------------------------------------------------------
 EPOCH = "2024-01-01 00:00:00"          # scraped_at origin of articles_view
 HOURS_MOD = 97                          # scraped_at = EPOCH + (doc_id % 97) hours
-TITLE_PREFIX_CHARS = 80                 # title = first 80 characters of the text
 LISTING_DOCS_PER_PAGE = 1000            # listing pages hold docs of one doc_id block
 URL_DUP_MOD = 97                        # batch_url_dups: url = x.example.com/a/(doc_id % 97)
 # run_events_view: event_type -> run status, user_id % 3 -> task type.
@@ -38,7 +37,7 @@ def _scraped_at(doc_id) -> F.Column:
 def articles_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as the article table."""
     d = table(spark, sf_dir, "documents")
-    title = clean_text(F.substring("text", 1, TITLE_PREFIX_CHARS))
+    title = clean_text("text")
     return (d.select(
         F.col("doc_id").alias("id"),
         title.alias("title"),
@@ -72,8 +71,8 @@ def batch_url_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upsert batch where both rules fire and contest each other: the URL collides
-    across sources through a small modulus and the title rule fires on the 80-char
-    prefix duplicates (source := lang)."""
+    across sources through a small modulus and the title rule fires on the copies of a
+    text in its language (source := lang)."""
     a = articles_view(spark, sf_dir)
     return a.select(
         F.col("id").alias("seq"), "title", "perex", F.col("lang").alias("source"),
@@ -97,7 +96,7 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     block = F.concat(
         F.lit('<article><h2><a href="/a/'), F.col("doc_id").cast("string"), F.lit('">'),
-        _escape_html(F.substring("text", 1, TITLE_PREFIX_CHARS)), F.lit("</a></h2><p>"),
+        _escape_html(F.col("text")), F.lit("</a></h2><p>"),
         _escape_html(F.col("text")), F.lit("</p></article>"))
     pages = (d.select("source", (F.col("doc_id") / LISTING_DOCS_PER_PAGE).cast("bigint").alias("blk"),
                       F.struct("doc_id", block.alias("b")).alias("e"))
@@ -128,8 +127,9 @@ def run_events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("user_id").alias("run_id"), F.col("ts"), F.col("event_id"),
         status.alias("status"), ttype.alias("task_type"),
+        F.when(F.col("user_id") % 3 == 1, F.concat(F.lit("src"), (F.col("user_id") % 7).cast("string"))).alias("source"),
         F.col("value").cast("bigint").alias("n"),
-        F.col("event_type").alias("message"),
+        F.concat("event_type", F.when(F.col("event_id") % 3 == 0, ": Timeout 30000ms").otherwise("")).alias("message"),
     )
 
 

@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.operators.extract import extract_articles
-from pressroom.operators.upsert import RANK_BUCKET, UpsertResult, dense_rank_by, ingest_summary, upsert_articles
+from pressroom.operators.extract import extract_raw, split_raw
+from pressroom.operators.upsert import UpsertResult, dense_rank_by, ingest_summary, upsert_articles
 from pressroom.session import checkpoint_dir, spread
 from pressroom.sources.pages import assign_source
 from pressroom.sources.profiles import profiles_df, source_names
@@ -33,7 +33,8 @@ class IngestResult:
 
 def check_source(source: str | None, valid_sources=None):
     """A single-source run must name a known source (checked on the driver before
-    any plan runs).  Known = the news registry unless the caller names the set, as a
+    any plan runs).  Known = every registered
+    source, plug-ins included, unless the caller names the set, as a
     list or as a DataFrame with a ``source`` column (checked with a 1-row probe)."""
     if source is None:
         return
@@ -45,8 +46,8 @@ def check_source(source: str | None, valid_sources=None):
         raise ValueError(f"Unknown source: {source}")
 
 
-def candidates(pages: DataFrame, source: str | None = None, fallback: str | None = "page",
-               fetched_at_col: str | None = None, profiles=None):
+def candidates(pages: DataFrame, source: str | None = None, fallback: str | None = None,
+               fetched_at_col: str | None = None, profiles=None, extractors=None, use_cap: bool = False):
     """Extraction for a run; with ``source`` only that source's pages are parsed (the
     filter sits before the Python stage).  Pages that already carry ``profile``,
     ``source`` and ``base_url`` skip the registry join.  Adds the arrival order
@@ -61,23 +62,21 @@ def candidates(pages: DataFrame, source: str | None = None, fallback: str | None
         assigned = assigned.filter(F.col("source") == source)
     order_cols = ([fetched_at_col] if fetched_at_col else []) + ["source_rank", "page_id", "pos"]
     keep_cols = ["source_rank"] + ([fetched_at_col] if fetched_at_col else [])
-    arts, rejects, quarantine = extract_articles(assigned, profiles, carry=keep_cols)
-    # the HTML stage is the expensive part: write its output once, so the ranking's
-    # count and every later read start here instead of parsing the pages again
+    # the HTML stage is the expensive part: write its output once, so articles, rejects
+    # and quarantine all come from one parse of the pages
     checkpoint_dir(spark)
-    arts = arts.checkpoint()
-    # coarse buckets: same leading keys, 65536 pages per bucket (each page holds at
-    # most its profile's cap of candidates), so every window partition is bounded
-    buckets = [F.col(c) for c in order_cols[:-2]] + [F.floor(F.col("page_id") / RANK_BUCKET).cast("long")]
-    items = dense_rank_by(arts, order_cols, "seq", buckets)
+    raw = extract_raw(assigned, profiles, extractors, carry=keep_cols, use_cap=use_cap).checkpoint()
+    arts, rejects, quarantine = split_raw(raw, carry=keep_cols)
+    items = dense_rank_by(arts, order_cols, "seq")
     return items.select("seq", "page_id", "pos", "title", "perex", "source", "url", "title_hash"), rejects, quarantine
 
 
 def ingest(pages: DataFrame, existing: DataFrame, batch_time, source: str | None = None,
-           fallback: str | None = "page", fetched_at_col: str | None = None,
-           valid_sources=None, max_id: int | None = None) -> IngestResult:
+           fallback: str | None = None, fetched_at_col: str | None = None,
+           valid_sources=None, max_id: int | None = None, profiles=None, extractors=None,
+           use_cap: bool = False) -> IngestResult:
     """One ingest run over stored pages against the current table."""
     check_source(source, valid_sources)
-    items, rejects, quarantine = candidates(pages, source, fallback, fetched_at_col)
+    items, rejects, quarantine = candidates(pages, source, fallback, fetched_at_col, profiles, extractors, use_cap)
     res = upsert_articles(existing, items, batch_time, max_id=max_id)
     return IngestResult(upsert=res, items=items, rejects=rejects, quarantine=quarantine)

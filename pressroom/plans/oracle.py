@@ -67,13 +67,14 @@ def listing_where(source: str | None, search: str | None) -> str:
 
 
 def initcap(x: str) -> str:
-    # Python str.title() on one-word names: first letter upper, rest lower.
-    return f"(upper(substr({x}, 1, 1)) || lower(substr({x}, 2)))"
+    # every run of letters: first letter upper, rest lower
+    return (f"array_to_string(list_transform(regexp_extract_all({x}, '\\pL+|[^\\pL]+'), "
+            f"lambda w: upper(w[1]) || lower(w[2:])), '')")
 
 
 ARTICLES_VIEW = f"""
   SELECT doc_id AS id,
-         {clean_text('substr(text, 1, 80)')} AS title,
+         {clean_text('text')} AS title,
          substr({clean_text('text')}, 1, 500) AS perex,
          source,
          'https://' || source || '.example.com/a/' || CAST(doc_id AS VARCHAR) AS url,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -52,12 +53,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a folder every executor can reach;
-    we use it as is.  Only when it is unset (local tests) do we create one.
+    we use it as is.  Only when it is unset in a single-process session (local tests)
+    do we create one; on a cluster a missing setting is an error, as a folder of one
+    machine would be lost to the others.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="pressroom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
