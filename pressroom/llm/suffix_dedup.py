@@ -42,7 +42,7 @@ SIDE = (LENGTH - GRAM) // 2         # bytes beside the gram that a window has at
 #: Suffixes in a bucket, about, and sampled suffixes per bucket for the splitters.
 BUCKET, SAMPLES = 1_000_000, 40
 #: Covers of one gram that a task compares at once; beyond it the gram's windows are dealt out.
-GROUP = 20_000
+GROUP = 4_000
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _PIECE = 1 << 23                    # positions that are handled at a time; must stay below the 24 bits used for them
 _ROWS = 1 << 16
@@ -233,17 +233,18 @@ def removed_spans(read: DataFrame, bits: int) -> DataFrame:
         lead, c1, c2 = lead.view(np.uint64), c1.view(np.uint64), c2.view(np.uint64)
         lo = (c1 & np.uint64(0xFFFFFF)) | ((c2 & np.uint64(0xFF)) << np.uint64(24))
         extent = (c2 >> np.uint64(8)) & np.uint64(63)
+        gram = (_mix(lead, 0) ^ (c1 >> np.uint64(44))).view(np.int64)
         for part, rows in enumerate(compare_bucket(lead, c1, c2, doc, doc >> bits, whole)):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc[rows]), pa.array(lo[rows].astype(np.int64)), pa.array(extent[rows].astype(np.int32)),
-                 pa.array(np.full(len(rows), part == 1))], ["doc", "lo", "extent", "partial"])
+                 pa.array(gram[rows] if part else np.zeros(len(rows), np.int64)),
+                 pa.array(np.full(len(rows), part == 1))], ["doc", "lo", "extent", "gram", "partial"])
     dealt = known.mapInArrow(deal, kind).repartitionById(n, F.col("bucket")).drop("bucket")
-    found = _written(dealt.mapInArrow(compare, "doc long, lo long, extent int, partial boolean"), "suffix-runs")
+    found = _written(dealt.mapInArrow(compare, "doc long, lo long, extent int, gram long, partial boolean"), "suffix-runs")
 
     # step 3: covers of the suffixes that share windows in part
-    places = found.filter("partial").groupBy("doc").agg(F.collect_list(F.struct("lo", "extent")).alias("places"))
-    places = _written(places.withColumnRenamed("doc", "at"), "suffix-places")
-    n_places = places.agg(F.sum(F.size("places"))).first()[0] or 0
+    places = found.filter("partial").groupBy("doc").agg(F.collect_list(F.struct("lo", "extent", "gram")).alias("places"))
+    places = places.withColumnRenamed("doc", "at")
 
     def covers(batches):
         for batch in batches:
@@ -251,12 +252,12 @@ def removed_spans(read: DataFrame, bits: int) -> DataFrame:
                 b = text.as_py().encode()
                 lo = [p["lo"] for p in found]
                 cover = [b[p["lo"]:p["lo"] + p["extent"] + LENGTH] for p in found]
-                gram = [_anchor_hash(c) for c in cover]
+                gram = [p["gram"] for p in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([doc] * len(lo), pa.int64()), pa.array(lo, pa.int64()), pa.array(gram, pa.int64()),
                      pa.array(cover, pa.binary())], ["doc", "lo", "gram", "cover"])
-    side = places.hint("broadcast") if n_places * 16 <= 64 << 20 else places
-    covered = _written(known.join(side, F.col("doc") == F.col("at")).select("doc", "text", "places")
+    # the places grow with the input, so this join shuffles the texts that have some
+    covered = _written(known.join(places, F.col("doc") == F.col("at")).select("doc", "text", "places")
                        .mapInArrow(covers, "doc long, lo long, gram long, cover binary"), "suffix-covers")
     large = _written(covered.groupBy("gram").count().filter(F.col("count") > GROUP)
                      .select(F.col("gram").alias("large_gram")), "suffix-large")
@@ -328,13 +329,6 @@ def _span_rows(rows: list) -> pa.RecordBatch:
                                        pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["doc", "starts", "ends"])
 
 
-def _anchor_hash(cover: bytes) -> int:
-    """A number for the gram that anchors the cover's windows."""
-    b = np.frombuffer(cover, np.uint8)
-    a, *_ = _piece_suffixes(b, 0, 1)
-    return xxhash.xxh3_64_intdigest(cover[a[0]:a[0] + GRAM]) - (1 << 63)
-
-
 def _window_hashes(cover: bytes) -> np.ndarray:
     """128 bits of each window, as two signed numbers."""
     raw = b"".join([xxhash.xxh3_128_digest(cover[i:i + LENGTH]) for i in range(len(cover) - LENGTH + 1)])
