@@ -81,11 +81,11 @@ class UpsertResult:
     max_id: int = 0       # the table's highest id after the batch
 
 
-KIND_ROW, KIND_ITEM, KIND_SEGMENT = 0, 1, 2
+KIND_ROW, KIND_ITEM, KIND_SEGMENT, KIND_URL_SEGMENT = 0, 1, 2, 3
 
 
 class _Fresh:
-    """A url no other record holds (a bulk item's own url): never matched again."""
+    """A url or hash no other record holds (a bulk item's own): never matched again."""
     __slots__ = ()
 
 
@@ -93,8 +93,8 @@ def _fold_component_stream(batches):
     """Sequential J1/J2/J4 fold over (comp, ord)-sorted key records.
 
     Records are table rows (kind 0, loaded first), single items (kind 1) and bulk
-    segments (kind 2: a run of items of one (hash, source) whose urls occur nowhere
-    else, standing for all of them).  Rows are keyed (0, id) for existing rows and
+    segments, each standing for a run of items (kind 2: of one (hash, source), their urls
+    occur nowhere else; kind 3: of one url, their hashes occur nowhere else).  Rows are keyed (0, id) for existing rows and
     (1, seq) for rows inserted by item ``seq``; tuple order equals final id order
     because new ids exceed every old id and follow arrival.  ``by_url`` / ``by_hs``
     are min-heaps with lazy deletion."""
@@ -127,6 +127,17 @@ def _fold_component_stream(batches):
                     rows[hit] = [_Fresh(), h, src]
                     heapq.heappush(by_hs.setdefault((h, src), []), hit)
                     outcome = 0
+            elif kind == KIND_URL_SEGMENT:
+                # no J2 is possible (fresh hashes); the url's lowest row takes the run
+                hit = _heap_min(by_url.get(url), rows, lambda r, u=url: r[0] == u)
+                if hit is not None:
+                    rows[hit][1] = _Fresh()
+                    outcome = 1
+                else:
+                    hit = (1, seq)
+                    rows[hit] = [url, _Fresh(), src]
+                    heapq.heappush(by_url.setdefault(url, []), hit)
+                    outcome = 0
             else:
                 hit = _heap_min(by_url.get(url), rows, lambda r, u=url: r[0] == u)
                 if hit is not None:
@@ -151,7 +162,7 @@ def _fold_component_stream(batches):
             out_outcome.append(outcome)
             out_new.append(hit[0] == 1)
             out_key.append(hit[1])
-            out_seg.append(kind == KIND_SEGMENT)
+            out_seg.append(kind in (KIND_SEGMENT, KIND_URL_SEGMENT))
         # explicit dtypes: an empty batch must still hold strings as objects
         yield pd.DataFrame({"seq": pd.Series(out_seq, dtype="int64"),
                             "source": pd.Series(out_src, dtype=object),
@@ -206,59 +217,71 @@ def _running_count(df: DataFrame, part: str, order: str, flag: str, out: str) ->
     return s.join(off, ["_pid", part]).withColumn(out, F.col("_off") + F.col("_loc")).drop("_pid", "_loc", "_off")
 
 
+def _runs(bulk: DataFrame, core_items: DataFrame, key: str) -> DataFrame:
+    """``bulk`` with the run of each item: a new one after every core item with the same
+    ``key``.  Runs are counted per key, so those of a hot component spread over tasks."""
+    marks = (bulk.select(key, "seq", F.lit(False).alias("core"))
+             .unionByName(core_items.select(key, "seq", F.lit(True).alias("core"))))
+    runs = _running_count(marks, key, "seq", "core", "run").filter(~F.col("core")).select("seq", "run")
+    return bulk.join(runs, "seq").checkpoint()
+
+
 def _fold_contested(contested: DataFrame) -> DataFrame:
     """Outcomes of the items of contested components (see module notes, steps 3-4).
 
-    *Bulk* items - url seen nowhere else - can act only through their (hash, source)
-    group, so between two consecutive core events (items with a shared url) a run of
-    bulk items of one group is one event.  Only core records and one record per
-    (component, hash, source, run) go through the sequential fold; a hot hash with
-    millions of fresh urls and a few collisions folds in a handful of records."""
-    core = contested.filter(~(F.col("is_item") & (F.col("url_n") == 1)))
-    bulk = contested.filter(F.col("is_item") & (F.col("url_n") == 1))
+    *Bulk* items have one key of their own: a url seen nowhere else (they act only
+    through their (hash, source) group) or a title hash seen nowhere else (they act only
+    through their url).  Between two core items with the same shared key a run of them is
+    one event: the first takes the key's lowest row or inserts one, which then holds a
+    key that nothing else can match, and the others find that row.  Only core records
+    and one record per run go through the sequential fold."""
+    own_url = F.col("is_item") & (F.col("url_n") == 1)
+    own_hash = F.col("is_item") & (F.col("url_n") > 1) & (F.col("h_n") == 1)
+    core = contested.filter(~own_url & ~own_hash)
     unode = F.concat(F.lit("u"), F.col("url"))
     hnode = F.concat(F.lit("h"), F.col("h"))
-    cc = connected_components(core.select(unode.alias("a"), hnode.alias("b")))
-    core_l = (core.join(cc.withColumnRenamed("node", "_n"), unode == F.col("_n"))
-              .drop("_n").withColumnRenamed("root", "comp"))
-    # every bulk hash also occurs in the core (else it would have been a hash star)
-    bulk_l = (bulk.join(cc.withColumnRenamed("node", "_n"), hnode == F.col("_n"))
-              .drop("_n").withColumnRenamed("root", "comp"))
-
-    has_bulk = bulk.limit(1).count() > 0
-    if has_bulk:
-        marks = (bulk_l.select("comp", "seq", F.lit(False).alias("core"))
-                 .unionByName(core_l.filter(F.col("is_item")).select("comp", "seq", F.lit(True).alias("core"))))
-        runs = _running_count(marks, "comp", "seq", "core", "run").filter(~F.col("core")).select("seq", "run")
-        bulk_r = bulk_l.join(runs, "seq").checkpoint()
-        segments = bulk_r.groupBy("comp", "h", "source", "run").agg(F.min("seq").alias("fseq"))
-    else:
-        segments = core_l.sparkSession.createDataFrame(
-            [], "comp string, h string, source string, run long, fseq long")
-
+    cc = connected_components(core.select(unode.alias("a"), hnode.alias("b"))).checkpoint()
+
+    def labelled(df, node):
+        # every bulk item's shared key also occurs in the core (else it would have been a star)
+        return (df.join(cc.withColumnRenamed("node", "_n"), node == F.col("_n")).drop("_n")
+                .withColumnRenamed("root", "comp"))
+    core_l = labelled(core, unode)
+    core_items = core_l.filter(F.col("is_item"))
+    by_hash = _runs(labelled(contested.filter(own_url), hnode), core_items, "h")
+    by_url = _runs(labelled(contested.filter(own_hash), unode), core_items, "url")
+    first = F.min(F.struct("seq", "source"))
+    h_segments = by_hash.groupBy("comp", "h", "source", "run").agg(F.min("seq").alias("fseq"))
+    u_segments = (by_url.groupBy("comp", "url", "run").agg(first.alias("f"))
+                  .select("comp", "url", "run", F.col("f.seq").alias("fseq"), F.col("f.source").alias("source")))
+
+    none = F.lit(None).cast("string")
+    no_id = F.lit(None).cast("long").alias("id")
     records = (core_l.select("comp", F.when(F.col("is_item"), F.lit(KIND_ITEM)).otherwise(F.lit(KIND_ROW)).alias("kind"),
                              "seq", "id", "url", "h", "source")
-               .unionByName(segments.select("comp", F.lit(KIND_SEGMENT).alias("kind"), F.col("fseq").alias("seq"),
-                                            F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("url"),
-                                            "h", "source")))
+               .unionByName(h_segments.select("comp", F.lit(KIND_SEGMENT).alias("kind"), F.col("fseq").alias("seq"),
+                                              no_id, none.alias("url"), "h", "source"))
+               .unionByName(u_segments.select("comp", F.lit(KIND_URL_SEGMENT).alias("kind"),
+                                              F.col("fseq").alias("seq"), no_id, "url", none.alias("h"), "source")))
     ordered = (records.withColumn("ord", F.coalesce("seq", F.lit(-(1 << 63)).cast("bigint")))
                .repartition("comp").sortWithinPartitions("comp", "ord", "kind")
                # a NULL would turn a long column into floats, which lose ids above 2^53
-             .select("comp", "kind", F.coalesce("seq", F.lit(-1)).alias("seq"),
-                     F.coalesce("id", F.lit(-1)).alias("id"), "url", "h", "source"))
+               .select("comp", "kind", F.coalesce("seq", F.lit(-1)).alias("seq"),
+                       F.coalesce("id", F.lit(-1)).alias("id"), "url", "h", "source"))
     out = ordered.mapInPandas(_fold_component_stream, FOLD_OUT).checkpoint()
     name = F.element_at(F.array(*[F.lit(o) for o in OUTCOMES]), F.col("outcome_code").cast("int") + 1)
     single = out.filter(~F.col("is_seg")).select("seq", "source", name.alias("outcome"), "t_new", "t_key")
-    if not has_bulk:
-        return single.withColumn("fast", F.lit(False))
-    seg_out = (out.filter(F.col("is_seg")).select(F.col("seq").alias("fseq"), name.alias("seg_outcome"), "t_new", "t_key")
-               .join(segments, "fseq"))
-    # each bulk item takes its run's target; only the run's first item can be the insert
-    bulk_out = bulk_r.select("seq", "comp", "h", "source", "run").join(seg_out, ["comp", "h", "source", "run"]).select(
-        "seq", "source",
-        F.when(F.col("seq") == F.col("fseq"), F.col("seg_outcome")).otherwise(F.lit(UPDATED_BY_TITLE)).alias("outcome"),
-        "t_new", "t_key")
-    return single.unionByName(bulk_out).withColumn("fast", F.lit(False))
+    taken = out.filter(F.col("is_seg")).select(F.col("seq").alias("fseq"), name.alias("seg_outcome"), "t_new", "t_key")
+
+    def spread_runs(items, segments, keys, outcome):
+        # each item takes its run's target; only the run's first item can be the insert
+        return items.select("seq", "source", *[k for k in keys if k != "source"]).join(
+            taken.join(segments.select("fseq", *keys), "fseq"), keys).select(
+            "seq", "source", F.when(F.col("seq") == F.col("fseq"), F.col("seg_outcome"))
+            .otherwise(F.lit(outcome)).alias("outcome"), "t_new", "t_key")
+    return (single.unionByName(spread_runs(by_hash, h_segments, ["comp", "h", "source", "run"], UPDATED_BY_TITLE))
+            .unionByName(spread_runs(by_url, u_segments, ["comp", "url", "run"], UPDATED_BY_URL))
+            .withColumn("fast", F.lit(False)))
 
 
 def upsert_articles(existing: DataFrame, items: DataFrame, batch_time, max_id: int | None = None) -> UpsertResult:
