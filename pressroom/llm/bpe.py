@@ -40,7 +40,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Characters of a text given to the encoder at a time, and output rows in an Arrow batch.
 PIECE = 1 << 16
 ROWS = 256
-#: Entries in a worker's table of words met.
+#: Entries in each of the two generations of a worker's table of words met.
 CACHE = 1 << 18
 END = "</w>"
 
@@ -143,7 +143,6 @@ _NEVER = sys.maxsize
 #: Fixed value: the file's word pattern.
 _WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _HOLD = 4  # the longest contraction, and the character behind it
-_SPACES = regex.compile(r"\s+")
 
 
 @lru_cache(maxsize=1)
@@ -186,14 +185,21 @@ def _patterns(usual: bool) -> tuple[regex.Pattern, regex.Pattern, regex.Pattern]
 
 
 def _usual(text: str) -> bool:
-    return text.isascii() or not _newer()[0].search(text)
+    if text.isascii():
+        return True
+    try:  # all of Latin-1 is old, and this is the fastest way to know it
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return not _newer()[0].search(text)
 
 
 def normalise(text: str) -> str:
-    """NFC, white space as one space, lower case (each character on its own, so a sigma has one form)."""
-    text = _SPACES.sub(" ", unicodedata.normalize("NFC", text))
+    """NFC and lower case (each character on its own, so a sigma has one form).  The file also makes white space one
+    space; as no word holds any, that changes nothing here."""
     if text.isascii():
         return text.lower()
+    text = unicodedata.normalize("NFC", text)
     text = text.replace("Σ", "σ").lower()
     return text if _usual(text) else "".join([_newer()[2].get(c, c) for c in text])
 
@@ -221,12 +227,36 @@ def _cut(raw: str, limit: int) -> int:
     return 0
 
 
+class Words:
+    """Words met and their ids, in two generations: when the young one is full it becomes the old one, and words
+    of the old one that are met again move to the young one.  ``merges``: ids of a word's bytes, own merges if None."""
+
+    def __init__(self, v: Vocabulary, merges=None):
+        self.v, self.merges = v, merges
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def add(self, w: str) -> tuple[int, ...]:
+        ids = self.old.get(w)
+        if ids is None:
+            b, v = w.encode(), self.v
+            if self.merges is not None:
+                ids = self.merges("".join([v.alphabet[x] for x in b]))
+            else:
+                ids = tuple(merge(v, [*map(v.inner.__getitem__, b[:-1]), v.last[b[-1]]]))
+        if len(self.young) >= CACHE:
+            self.old = dict(self.young)
+            self.young.clear()
+        self.young[w] = ids
+        return ids
+
+
 class Encoder:
     """``feed`` text pieces, then ``finish``; both give the ids that are certain by then."""
 
-    def __init__(self, v: Vocabulary, words: dict[str, tuple[int, ...]] | None = None):
+    def __init__(self, v: Vocabulary, words: Words | None = None):
         self.v = v
-        self.words = {} if words is None else words
+        self.words = words or Words(v)
         self.raw = ""      # not yet normalised
         self.text = ""     # normalised, not yet cut into words
         self.run = None    # the kind ("letters", "others") of an unfinished word that outgrew a piece
@@ -269,28 +299,18 @@ class Encoder:
                 return
             self._end_run(out)
         if end:
-            words, get = self.words, self.words.get
+            get = self.words.young.get
             for w in pattern.findall(text, at):
-                ids = get(w)
-                if ids is None:
-                    if len(words) >= CACHE:
-                        words.clear()
-                    ids = words[w] = self._word(w, out)
-                out += ids
+                out += get(w) or self._word(w, out)
             self.text = ""
             return
         done, sure = at, len(text) - _HOLD
         for m in pattern.finditer(text, at):
             if m.start() >= sure or m.end() == len(text):
                 break
-            ids = self.words.get(m.group())
-            if ids is None:
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                ids = self.words[m.group()] = self._word(m.group(), out)
-            out += ids
+            out += self.words.young.get(m.group()) or self._word(m.group(), out)
             done = m.end()
-        rest = text[done:].lstrip(" ")
+        rest = text[done:].lstrip()
         if len(rest) > PIECE:  # one word, still open: its letters go on to the merges
             run, m = ("letters", letters.match(rest)) if letters.match(rest) else ("others", others.match(rest))
             if m and m.end() == len(rest):
@@ -300,13 +320,11 @@ class Encoder:
         self.text = rest
 
     def _word(self, w: str, out: list[int]) -> tuple[int, ...]:
-        b = w.encode()
-        if len(b) > PIECE:
+        if len(w) > PIECE // 4:  # not kept, and in pieces
             self._symbols(w, out)
             self._end_run(out)
             return ()
-        v = self.v
-        return tuple(merge(v, [*map(v.inner.__getitem__, b[:-1]), v.last[b[-1]]]))
+        return self.words.add(w)
 
     def _symbols(self, part: str, out: list[int]) -> None:
         """Symbols of an open word: emit the tokens that have the lookahead behind them.  The last symbol is kept,
@@ -364,7 +382,7 @@ class Decoder:
         return "" if self.joined else self.bytes.decode(b"", True)
 
 
-def encode_pieces(v: Vocabulary, text: str | None, words: dict | None = None) -> Iterator[list[int]]:
+def encode_pieces(v: Vocabulary, text: str | None, words: Words | None = None) -> Iterator[list[int]]:
     """The ids of a text, piece by piece."""
     e, text = Encoder(v, words), text or ""
     for lo in range(0, len(text) - PIECE, PIECE):
@@ -373,7 +391,7 @@ def encode_pieces(v: Vocabulary, text: str | None, words: dict | None = None) ->
     yield e.finish()
 
 
-def encode(text: str | None, name: str = VOCABULARY, words: dict | None = None) -> list[int]:
+def encode(text: str | None, name: str = VOCABULARY, words: Words | None = None) -> list[int]:
     return [i for part in encode_pieces(vocabulary(name), text, words) for i in part]
 
 
@@ -382,7 +400,21 @@ def decode(ids, name: str = VOCABULARY, shown: bool = True) -> str:
     return "".join([d.feed(ids[lo:lo + PIECE]) for lo in range(0, len(ids), PIECE)]) + d.finish()
 
 
-_WORDS: dict[str, dict[str, tuple[int, ...]]] = {}  # of this worker
+@lru_cache(maxsize=2)
+def worker_words(name: str) -> Words:
+    """The table of words of this worker."""
+    return Words(vocabulary(name))
+
+
+@lru_cache(maxsize=2)
+def library_words(name: str) -> Words:
+    """The same with the library's own merges."""
+    from tokenizers import Tokenizer
+    if not os.path.isabs(name):
+        import public_tokenizers
+        path = public_tokenizers.path(name)
+    model = Tokenizer.from_file(path if not os.path.isabs(name) else name).model
+    return Words(vocabulary(name), lambda w: tuple([t.id for t in model.tokenize(w)]))
 
 
 def _little_endian(ids: list[int]) -> bytes:
@@ -402,7 +434,7 @@ def round_trip(docs: DataFrame, name: str = VOCABULARY, keep_ids: bool = False,
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
 
     def run(batches):
-        v, words = vocabulary(name), _WORDS.setdefault(name, {})
+        v, words = vocabulary(name), worker_words(name)
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
@@ -432,7 +464,7 @@ def encode_documents(docs: DataFrame, name: str = VOCABULARY, end_id: int | None
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        words = _WORDS.setdefault(name, {})
+        words = worker_words(name)
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pressroom.llm.bpe import VOCABULARY, _WORDS, encode_pieces, vocabulary
+from pressroom.llm.bpe import VOCABULARY, encode_pieces, library_words, vocabulary
 from pressroom.llm.common import checkpointed, small_side
 from pressroom.session import scratch_path
 
@@ -73,7 +73,7 @@ def train_dictionary(docs: DataFrame, name: str = VOCABULARY, end_id: int = 2) -
     n = short.count()
     texts = [r.text for r in short.sample(fraction=min(1.0, SAMPLE_ROWS / max(n, 1)), seed=11).limit(2 * SAMPLE_ROWS)
              .collect()]
-    v, width, words = vocabulary(name), _width(name), {}
+    v, width, words = vocabulary(name), _width(name), library_words(name)
     samples = [_pack([i for part in encode_pieces(v, t, words) for i in part] + [end_id], width) for t in texts]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -154,7 +154,7 @@ def write_token_files(docs: DataFrame, folder: str, name: str = VOCABULARY, end_
 
     def write(batches):
         from pyspark import TaskContext
-        words, writer = _WORDS.setdefault(name, {}), None
+        words, writer = library_words(name), None
         v = vocabulary(name)
         tokens = 0
         for batch in batches:
