@@ -161,13 +161,9 @@ def run_cascade(df: DataFrame, ordered, cols: dict[str, str]) -> tuple[DataFrame
     df = df.withColumn(verdict, F.lit(None).cast("string"))
     for rule in ordered:
         alive = F.col(verdict).isNull()
-        own = dict(cols)
         for name in rule.reads:
-            before = name in own
-            df = _with_feature(df, name, own, alive)
             # a feature computed only for the rows alive now serves every later rule: rows only leave
-            if not before:
-                cols[name] = own[name]
+            df = _with_feature(df, name, cols, alive)
         fails = rule.fails({k: F.col(v) for k, v in cols.items()})
         df = df.withColumn(verdict, F.when(alive, F.when(fails, F.lit(rule.name))).otherwise(F.col(verdict)))
     # exploding an array of one keeps a later filter on the verdict from being pushed down through the steps above,
