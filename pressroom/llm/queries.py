@@ -107,7 +107,9 @@ def q_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_pii(table(spark, sf_dir, "documents"))
     base = F.filter("found", lambda s: s["kind"].isin(*BASE_KINDS))
-    n = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in BASE_KINDS]
+    # (a lambda's second argument would be the position, so the kind comes by closure)
+    of = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k))
+    n = [of(k).cast("bigint").alias(f"n_{k}") for k in BASE_KINDS]
     return out.select("doc_id", *n, F.sha2(spans_text(base), 256).alias("base_sha256"),
                       spans_text(F.col("found")).alias("spans"))
 

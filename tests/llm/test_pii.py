@@ -75,3 +75,18 @@ def test_frames(spark):
     out = P.redact(d)
     assert out.columns == d.columns and out.count() == 5
     assert P.redact(docs(spark, [])).count() == 0
+
+
+def test_query_columns(spark):
+    import hashlib
+    from pressroom.llm.queries import q_op10
+    sf = "/root/testdata/sf0.01"
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = q_op10(spark, sf).collect()
+    assert len(rows) == len(text) and sum(r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows) > 20
+    for r in rows:
+        want = slow_spans(text[r.doc_id])
+        line = ",".join(f"{k}:{s}:{e}" for k, s, e in want)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in want) for k in P.BASE_KINDS]
+        assert r.spans == ",".join(f"{k}:{s}:{e}" for k, s, e in P.find_spans(text[r.doc_id]))
