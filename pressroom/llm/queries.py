@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.llm import bpe, compact_windows, html_text, suffix_dedup, token_files, toxicity
+from pressroom.llm import bpe, compact_windows, conversation, html_text, suffix_dedup, token_files, toxicity
 from pressroom.llm.common import table
 from pressroom.llm.decontaminate import LOWER, UPPER, contamination
 from pressroom.llm.pii import BASE_KINDS, find_pii, spans_text
@@ -114,6 +114,83 @@ def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                       spans_text(F.col("found")).alias("spans"))
 
 
+def q_op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation.damage(table(spark, sf_dir, "conversations"))
+    return conversation.repair_conversations(damaged, present="present")
+
+
+def _sql_op13() -> str:
+    """The same contract as a recursive CTE: per conversation one row a step, per pattern state the least
+    "cost, audit" as a nine-digit cost and the letters, relaxed three times by inserts before each row."""
+    states = ("z", "s", "u", "a")  # nothing yet, after a system row, after a user row, after an assistant row
+    after = {"z": ("u", "u"), "s": ("u", "u"), "u": ("a", "a"), "a": ("u", "u")}
+
+    def plus(x, cost, letter):
+        return f"lpad((substr({x}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({x}, 10) || '{letter}'"
+
+    def relaxed(p):  # inserts: every state offers its next one
+        sets = []
+        for q in states:
+            ways = [f"{p}{q}"] + [plus(f"{p}{o}", 2, "I") for o in states if after[o][1] == q]
+            sets.append(f"least({', '.join(ways)}) AS {q}" if len(ways) > 1 else f"{ways[0]} AS {q}")
+        return ", ".join(sets)
+
+    step = []
+    for q in states:
+        ways = [plus(f"x.{q}", 3, "D")]
+        for o in states:
+            role, to = after[o]
+            if to == q:
+                ways.append(f"CASE WHEN NOT go AND c = '{role}' THEN {plus(f'x.{o}', 't', 'K')} END")
+                ways.append(f"CASE WHEN NOT go AND c <> '{role}' THEN {plus(f'x.{o}', '2 + t', 'R')} END")
+        if q == "s":
+            ways.append(f"CASE WHEN NOT go AND c = 's' THEN {plus('x.z', 't', 'K')} END")
+        step.append(f"least({', '.join(ways)}) AS {q}")
+    row = "s.conv_id, s.i, " + ", ".join(f"s.{q}" for q in states)
+    relax = (f"(SELECT conv_id, i, {relaxed('r2.')} FROM (SELECT conv_id, i, {relaxed('r1.')} FROM "
+             f"(SELECT conv_id, i, {relaxed('s.')} FROM (SELECT {row} FROM steps s) s) r1) r2)")
+    return rf"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(4294967295::BIGINT, list_reduce(
+             [ord(x)::BIGINT FOR x IN string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')],
+             lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                 lambda v, z: xor(v >> 1, 3988292384::BIGINT * (v & 1))), 4294967295::BIGINT)) % 20 AS k
+         FROM conversations),
+dam AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+               CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM src, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM dam),
+flt AS (SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank,
+               row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+               NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut, substr(role, 1, 1) AS c,
+               lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM num),
+tok AS (SELECT *, blank OR seen AS go, CASE WHEN cut THEN 1 ELSE 0 END AS t FROM flt),
+cnt AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+               count(*) FILTER (blank)::BIGINT AS blank, count(*) FILTER (NOT blank AND seen)::BIGINT AS duplicate,
+               count(*) FILTER (NOT go AND cut)::BIGINT AS truncated,
+               count(*) FILTER (before || c NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal, count(*) AS n
+        FROM tok GROUP BY conv_id),
+steps AS (SELECT conv_id, 0 AS i, '000000000' AS z, NULL::VARCHAR AS s, NULL::VARCHAR AS u, NULL::VARCHAR AS a FROM cnt
+          UNION ALL
+          SELECT x.conv_id, x.i + 1, {', '.join(step)} FROM {relax} x
+          JOIN tok ON tok.conv_id = x.conv_id AND tok.i = x.i + 1),
+fin AS (SELECT x.conv_id, least(x.z, x.a) AS best FROM {relax} x JOIN cnt ON cnt.conv_id = x.conv_id AND cnt.n = x.i),
+res AS (SELECT conv_id, substr(best, 1, 9)::BIGINT AS cost, substr(best, 10) AS audit FROM fin),
+let AS (SELECT conv_id, j, audit[j] AS l, j - (length(audit[:j]) - length(replace(audit[:j], 'I', ''))) AS i,
+               length(replace(audit[:j], 'D', '')) AS o, length(replace(audit, 'D', '')) AS m
+        FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM res)),
+fix AS (SELECT conv_id, string_agg(
+            CASE WHEN l = 'K' THEN role WHEN (o - m % 2) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+            CASE WHEN l = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS out
+        FROM let LEFT JOIN tok USING (conv_id, i) WHERE l <> 'D' GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(out, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN cnt USING (conv_id) LEFT JOIN res USING (conv_id) LEFT JOIN fix USING (conv_id)
+"""
+
+
 QUERIES = {
     "op1_simhash_near_dedup": q_op1,
     "op2_quality_rules": q_op2,
@@ -125,8 +202,10 @@ QUERIES = {
     "op8_html_extraction": q_op8,
     "op9_token_files": q_op9,
     "op10_pii": q_op10,
+    "op13_conversation_repair": q_op13,
 }
 ORACLE = {
     "op2_quality_rules": SQL_OP2,
     "op6_decontamination": SQL_OP6,
+    "op13_conversation_repair": _sql_op13(),
 }
