@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.llm import bpe, compact_windows, conversation, html_text, suffix_dedup, token_files, toxicity
+from pressroom.llm import alignment, bpe, compact_windows, conversation, html_text, suffix_dedup, token_files, toxicity
 from pressroom.llm.common import table
 from pressroom.llm.decontaminate import LOWER, UPPER, contamination
 from pressroom.llm.pii import BASE_KINDS, find_pii, spans_text
@@ -114,6 +114,10 @@ def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                       spans_text(F.col("found")).alias("spans"))
 
 
+def q_op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
 def q_op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = conversation.damage(table(spark, sf_dir, "conversations"))
     return conversation.repair_conversations(damaged, present="present")
@@ -160,9 +164,11 @@ dam AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
                CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
         FROM src, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))),
 num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM dam),
-flt AS (SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank,
+flt AS (SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
                row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
-               NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut, substr(role, 1, 1) AS c,
+               NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS cut, substr(role, 1, 1) AS c,
                lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM num),
 tok AS (SELECT *, blank OR seen AS go, CASE WHEN cut THEN 1 ELSE 0 END AS t FROM flt),
 cnt AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
@@ -202,6 +208,7 @@ QUERIES = {
     "op8_html_extraction": q_op8,
     "op9_token_files": q_op9,
     "op10_pii": q_op10,
+    "op12_tokenizer_alignment": q_op12,
     "op13_conversation_repair": q_op13,
 }
 ORACLE = {
