@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressroom.llm import alignment, bpe, compact_windows, conversation, html_text, suffix_dedup, token_files, toxicity
+from pressroom.llm import (alignment, bpe, compact_windows, conversation, embedding_dedup, html_text, suffix_dedup,
+                           token_files, toxicity)
 from pressroom.llm.common import table
 from pressroom.llm.decontaminate import LOWER, UPPER, contamination
 from pressroom.llm.pii import BASE_KINDS, find_pii, spans_text
@@ -114,6 +115,10 @@ def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                       spans_text(F.col("found")).alias("spans"))
 
 
+def q_op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def q_op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"))
 
@@ -208,6 +213,7 @@ QUERIES = {
     "op8_html_extraction": q_op8,
     "op9_token_files": q_op9,
     "op10_pii": q_op10,
+    "op11_embedding_near_dedup": q_op11,
     "op12_tokenizer_alignment": q_op12,
     "op13_conversation_repair": q_op13,
 }
