@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -46,34 +48,53 @@ def get_spark(master: str | None = None, app: str = "pressroom", shuffle_partiti
         except Exception:  # static confs of an already running session
             pass
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a folder every executor can reach;
-    we use it as is.  Only when it is unset in a single-process session (local tests)
-    do we create one; on a cluster a missing setting is an error, as a folder of one
-    machine would be lost to the others.
+    On a cluster ``spark.checkpoint.dir`` names a folder every executor can reach, and
+    the context keeps a sub-folder of its own in it.  Only when it is unset in a
+    single-process session (local tests) do we make one; on a cluster a missing
+    setting is an error, as a folder of one machine would be lost to the others.
     """
+    sc = spark.sparkContext
+    have = sc.getCheckpointDir()
+    if have:  # setting it again would nest a new folder every time
+        return have
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="pressroom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, so that a job may start from any folder.  The driver serves the archive
+    to the executors; a session is given it once."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pressroom_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="pressroom-"), "pressroom.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(home):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(home)))
+    sc.addPyFile(path)
+    sc._pressroom_shipped = True
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder, for written intermediate
     tables that cut lineage."""
     base = checkpoint_dir(spark)
-    import uuid
     return os.path.join(base.rstrip("/"), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
