@@ -64,3 +64,12 @@ SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE hits > 0"""
 def q_search_phrase(spark, sf_dir):
     """Every document that holds one of five phrases, from the positions of the index."""
     return SI.search_phrase(spark, SI.fresh_index(FX.table(spark, sf_dir, "documents")), PHRASES)
+
+
+# --------------------------------------------------------------------------- similarity
+@register("similar_rows")
+def q_similar_rows(spark, sf_dir):
+    """The ten nearest rows of every embedding whose id is divisible by 50 (approximate; tests hold the recall)."""
+    from pressroom.operators.similarity import nearest_rows
+    found = nearest_rows(FX.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.withColumn("cosine", F.round("cosine", 6))
