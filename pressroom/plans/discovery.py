@@ -73,3 +73,55 @@ def q_similar_rows(spark, sf_dir):
     from pressroom.operators.similarity import nearest_rows
     found = nearest_rows(FX.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
     return found.withColumn("cosine", F.round("cosine", 6))
+
+
+# --------------------------------------------------------------------------- stories
+def _stories_sql() -> str:
+    from pressroom.operators import stories as ST
+    n = ST.SHINGLE
+    return f"""
+a AS ({O.ARTICLES}),
+w AS (SELECT id, source, scraped_at, list_filter(string_split({O.normalize_title('title')}, ' '), lambda x: x <> '') AS w FROM a),
+sig AS (SELECT id, scraped_at, unnest(list_sort(list_distinct(
+            [md5(array_to_string(w[i:i + {n - 1}], ' ')) FOR i IN range(1, greatest(len(w) - {n - 1}, 1) + 1)]))[1:{ST.SIGNATURE}]) AS k
+        FROM w WHERE len(w) > 0),
+nx AS (SELECT id AS p, lag(id) OVER o AS q, epoch(scraped_at) - lag(epoch(scraped_at)) OVER o AS gap
+       FROM sig WINDOW o AS (PARTITION BY k ORDER BY scraped_at, id)),
+near AS (SELECT p, q FROM nx WHERE gap <= {ST.HOURS * 3600} AND p <> q),
+lk AS (SELECT p, q FROM near UNION SELECT q, p FROM near),
+st(id, story) USING KEY (id) AS (
+    SELECT id, id FROM a UNION
+    SELECT lk.p, min(v.story) FROM st v JOIN lk ON lk.q = v.id JOIN recurring.st u ON u.id = lk.p
+    WHERE v.story < u.story GROUP BY lk.p)"""
+
+
+@register("story_clusters", f"WITH RECURSIVE {_stories_sql()} SELECT id, story FROM st")
+def q_story_clusters(spark, sf_dir):
+    """Stories over all articles, built in two batches that both hold articles of all times."""
+    return _stories(spark, sf_dir)[1]
+
+
+def _stories(spark, sf_dir):
+    from pressroom.operators import stories as ST
+    from pressroom.session import scratch_path
+    arts = FX.articles_view(spark, sf_dir)
+    path = scratch_path(spark, "stories")
+    odd = F.col("id") % 2 == 1
+    ST.update_stories(arts.where(odd), path, 0)
+    ST.update_stories(arts.where(~odd), path, 1)
+    return arts, ST.read_stories(spark, path)
+
+
+@register("story_coverage", f"""WITH RECURSIVE {_stories_sql()},
+per AS (SELECT story, source, count(*) AS n_articles, min(scraped_at) AS first_at, max(scraped_at) AS last_at
+        FROM a JOIN st USING (id) GROUP BY story, source)
+SELECT story, source, n_articles, first_at, last_at,
+       row_number() OVER (PARTITION BY story ORDER BY first_at, source)::INTEGER AS place,
+       (epoch(first_at) - epoch(min(first_at) OVER (PARTITION BY story)))::BIGINT AS lag_seconds,
+       lag(source) OVER (PARTITION BY story ORDER BY first_at, source) AS after_source
+FROM per""")
+def q_story_coverage(spark, sf_dir):
+    """Which sources took up each story, when, and after whom."""
+    from pressroom.operators import stories as ST
+    arts, told = _stories(spark, sf_dir)
+    return ST.story_coverage(told, arts)
