@@ -32,12 +32,14 @@ CELL = "digest string, bucket long, first long, last long, node long"
 
 def signature(title: str | Column) -> Column:
     """The least digests of the title's word runs, ascending; empty for a title without words."""
+    def of(words: Column) -> Column:
+        n = F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))
+        runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.md5(F.array_join(F.slice(words, i, SHINGLE), " ")))
+        return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(
+            F.slice(F.array_sort(F.array_distinct(runs)), 1, SIGNATURE))
+
     words = F.filter(F.split(normalize_title(title), " "), lambda w: w != "")
-    runs = F.when(F.size(words) == 0, F.array().cast("array<string>")).when(
-        F.size(words) <= SHINGLE, F.array(F.array_join(words, " "))).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(words) - SHINGLE + 1),
-                    lambda i: F.array_join(F.slice(words, i, SHINGLE), " ")))
-    return F.slice(F.array_sort(F.array_distinct(F.transform(runs, F.md5))), 1, SIGNATURE)
+    return F.transform(F.array(words), of)[0]  # bound once: inside the lambda the words would be cut for every run
 
 
 def _seconds(t: str) -> Column:
