@@ -10,6 +10,7 @@ from pressroom.operators import search_index as SI
 from pressroom.plans import fixtures as FX
 from pressroom.plans import oracle as O
 from pressroom.plans.catalog import register
+from pressroom.session import checkpoint_dir
 
 # --------------------------------------------------------------------------- ranked search
 RANKED = {"common": "the of", "german": "nicht und die", "french": "la de les", "mixed": "The la, die!", "rare": "ation heit zzz"}
@@ -125,3 +126,55 @@ def q_story_coverage(spark, sf_dir):
     from pressroom.operators import stories as ST
     arts, told = _stories(spark, sf_dir)
     return ST.story_coverage(told, arts)
+
+
+# --------------------------------------------------------------------------- trends
+_WINDOWS_SQL = f"""
+a AS ({O.ARTICLES}),
+n0 AS (SELECT time_bucket(INTERVAL '6 hours', scraped_at) AS start, unnest(list_append(list_distinct({_words_sql('title')}), '')) AS term
+       FROM a),
+c AS (SELECT start, term, count(*) AS n FROM n0 GROUP BY start, term)"""
+
+
+@register("term_windows", f"WITH {_WINDOWS_SQL} SELECT start, term, n FROM c")
+def q_term_windows(spark, sf_dir):
+    """Articles per six-hour window and term."""
+    from pressroom.operators import trends as TR
+    return TR.term_windows(FX.articles_view(spark, sf_dir))
+
+
+def _bursts_sql() -> str:
+    from pressroom.operators import trends as TR
+    def cost(q):
+        return f"(-(n * ln(p{q}) + (d - n) * ln(1 - p{q})))"
+    return f"""
+WITH RECURSIVE {_WINDOWS_SQL},
+tot AS (SELECT start, n AS d FROM c WHERE term = ''),
+ws AS (SELECT t, start, coalesce(d, 0)::DOUBLE AS d FROM
+       (SELECT unnest(generate_series((SELECT min(start) FROM tot), (SELECT max(start) FROM tot), INTERVAL '6 hours')) AS start)
+       LEFT JOIN tot USING (start), LATERAL (SELECT (epoch(start) - (SELECT min(epoch(start)) FROM tot)) / 21600 AS t)),
+k AS (SELECT term, least(sum(n) / (SELECT sum(d) FROM ws), {TR.MOST / TR.RATIO}::DOUBLE) AS p0 FROM c WHERE term <> ''
+      GROUP BY term HAVING sum(n) >= {TR.MIN_ARTICLES}),
+x AS (SELECT term, t::INTEGER AS t, p0, p0 * {TR.RATIO}::DOUBLE AS p1, d, coalesce(n, 0)::DOUBLE AS n
+      FROM k CROSS JOIN ws LEFT JOIN c USING (term, start)),
+up AS (SELECT {TR.GAMMA}::DOUBLE * ln(count(*)) AS u FROM ws),
+v(term, t, c0, c1, s0, s1) AS (
+  SELECT term, -1, 0::DOUBLE, 1e300::DOUBLE, '', '' FROM k
+  UNION ALL
+  SELECT v.term, x.t, least(c0, c1) + {cost(0)}, CASE WHEN c1 <= c0 + u THEN c1 ELSE c0 + u END + {cost(1)},
+         CASE WHEN c0 <= c1 THEN s0 ELSE s1 END || '0', CASE WHEN c1 <= c0 + u THEN s1 ELSE s0 END || '1'
+  FROM v JOIN x ON x.term = v.term AND x.t = v.t + 1, up),
+f AS (SELECT term, CASE WHEN c0 <= c1 THEN s0 ELSE s1 END AS s FROM v WHERE t = (SELECT max(t) FROM ws)),
+e AS (SELECT x.term, x.t, x.n, x.t - row_number() OVER (PARTITION BY x.term ORDER BY x.t) AS island
+      FROM x JOIN f USING (term) WHERE f.s[x.t + 1] = '1')
+SELECT term, (SELECT min(start) FROM tot) + min(t) * INTERVAL '6 hours' AS start,
+       (SELECT min(start) FROM tot) + (max(t) + 1) * INTERVAL '6 hours' AS "end", count(*) AS n_windows, sum(n)::BIGINT AS n
+FROM e GROUP BY term, island"""
+
+
+@register("term_bursts", _bursts_sql())
+def q_term_bursts(spark, sf_dir):
+    """When terms of at least 20 articles burst: two-state automaton over six-hour windows."""
+    from pressroom.operators import trends as TR
+    checkpoint_dir(spark)
+    return TR.term_bursts(TR.term_windows(FX.articles_view(spark, sf_dir)).checkpoint())
