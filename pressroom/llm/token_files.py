@@ -25,6 +25,7 @@ read.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import sys
 import uuid
@@ -39,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pressroom.llm.bpe import VOCABULARY, encode_pieces, library_words, vocabulary
+from pressroom.llm.bpe import CACHE, PIECE, VOCABULARY, _patterns, _usual, encode_pieces, library_words, normalise, vocabulary
 from pressroom.llm.common import checkpointed, small_side
 from pressroom.session import scratch_path
 
@@ -67,16 +68,60 @@ def _pack(ids, width: int) -> bytes:
     return a.tobytes()
 
 
+#: The word pattern of ASCII text in lower case, for the standard library.
+_ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+
+
+class PackedWords:
+    """Words met and their ids as packed bytes, in two generations like :class:`bpe.Words`; a text's ids are its words'
+    bytes joined."""
+
+    def __init__(self, name: str):
+        self.name, self.v, self.width = name, vocabulary(name), _width(name)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _slow(self, text: str) -> bytes:
+        words = library_words(self.name)
+        return b"".join([_pack(part, self.width) for part in encode_pieces(self.v, text, words)])
+
+    def _add(self, w: str) -> bytes:
+        if len(w) > PIECE // 4:  # not kept, and merged in pieces
+            return self._slow(w)
+        if len(self.young) >= CACHE:
+            self.old, self.young = self.young, {}
+        raw = self.young.get(w) or self.old.get(w)
+        if raw is None:
+            raw = _pack(library_words(self.name).merges("".join([self.v.alphabet[x] for x in w.encode()])), self.width)
+        self.young[w] = raw
+        return raw
+
+    def encode(self, text: str | None) -> bytes:
+        """The packed ids of a text; texts of more than a piece and those with special tokens go the streaming way."""
+        if not text:
+            return b""
+        if len(text) > PIECE or self.v.find_special.search(text):
+            return self._slow(text)
+        if text.isascii():
+            words = _ASCII_WORD.findall(text.lower())
+        else:
+            text = normalise(text)
+            words = _patterns(_usual(text))[0].findall(text)
+        parts = list(map(self.young.get, words))
+        if None in parts:
+            parts = [p or self._add(w) for p, w in zip(parts, words)]
+        return b"".join(parts)
+
+
 def train_dictionary(docs: DataFrame, name: str = VOCABULARY, end_id: int = 2) -> bytes:
-    """A dictionary from the ids of a sample of short documents; empty when there is too little to train on."""
+    """A dictionary from the ids of a sample of short documents (those of the least hashes, found in one scan); empty when
+    there is too little to train on."""
     short = docs.select("text").filter(F.length("text").between(1, SAMPLE_CHARS))
-    n = short.count()
-    texts = [r.text for r in short.sample(fraction=min(1.0, SAMPLE_ROWS / max(n, 1)), seed=11).limit(2 * SAMPLE_ROWS)
-             .collect()]
-    v, width, words = vocabulary(name), _width(name), library_words(name)
-    samples = [_pack([i for part in encode_pieces(v, t, words) for i in part] + [end_id], width) for t in texts]
+    texts = [r.text for r in short.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS).collect()]
+    words = PackedWords(name)
+    end = _pack([end_id], words.width)
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [words.encode(t) + end for t in texts]).as_bytes()
     except zstandard.ZstdError:  # too few samples
         return b""
 
@@ -92,14 +137,12 @@ class ShardWriter:
         self.out.write(b)
         self.at += len(b)
 
-    def add(self, doc_id: int | None, parts) -> int:
-        """Write one document from pieces of its ids; the number of ids."""
-        start, n, c = self.at, 0, self.zstd.compressobj()
-        for ids in parts:
-            n += len(ids)
-            self._put(c.compress(_pack(ids, self.width)))
-        self._put(c.flush())
-        self.index.append((doc_id is not None, doc_id or 0, start, self.at - start, n))
+    def add(self, doc_id: int | None, raw: bytes) -> int:
+        """Write one document from its packed ids; the number of ids."""
+        n = len(raw) // self.width
+        frame = self.zstd.compress(raw)
+        self.index.append((doc_id is not None, doc_id or 0, self.at, len(frame), n))
+        self._put(frame)
         return n
 
     def close(self) -> None:
@@ -154,8 +197,8 @@ def write_token_files(docs: DataFrame, folder: str, name: str = VOCABULARY, end_
 
     def write(batches):
         from pyspark import TaskContext
-        words, writer = library_words(name), None
-        v = vocabulary(name)
+        words, writer = PackedWords(name), None
+        end = _pack([end_id], words.width)
         tokens = 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
@@ -166,8 +209,7 @@ def write_token_files(docs: DataFrame, folder: str, name: str = VOCABULARY, end_
                     own_fs, own_path = open_fs(dict_uri)
                     with own_fs.open_input_file(own_path) as d:
                         writer = ShardWriter(to.open_output_stream(at), d.read(), _width(name))
-                parts = [*encode_pieces(v, text.as_py(), words)]
-                tokens += writer.add(doc_id.as_py(), [*parts, [end_id]])
+                tokens += writer.add(doc_id.as_py(), words.encode(text.as_py()) + end)
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays(
@@ -197,8 +239,8 @@ def read_token_files(manifest: DataFrame, dict_uri: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out],
                                                  ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
                 r.file.close()
-    # a shard a row: deal them out evenly, as they are the work
-    spread = manifest.select("shard", "file").repartition("shard")
+    # a shard a row and a task: they are the work (a number given is not coalesced)
+    spread = manifest.select("shard", "file").repartitionByRange(max(1, manifest.count()), "shard")
     found = spread.mapInArrow(read, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
     return (found.join(small_side(manifest.select("shard", "start"), 16), "shard")
             .select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"))

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -43,3 +44,30 @@ def test_round_trip(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert F.token_files_round_trip(spark, docs(spark, []), f"file://{tmp_path}/none").count() == 0
+
+
+def test_packed_words_equal_the_library():
+    lib = Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY))
+    words, rng = F.PackedWords(bpe.VOCABULARY), random.Random(6)
+    ascii_all = "".join(map(chr, range(128)))
+    texts = [ascii_all, ascii_all * 3, "It's DON'T we'll I'd 'tis", "x" * 40_000, "a b " * 9000, "<|startoftext|>x<|endoftext|>",
+             "é É ÉTÉ Σίσυφος ς ½² 漢字 🙂🏽", ""]
+    for i in range(400):
+        pool = ascii_all if i % 2 else ascii_all + "éÉßΣσς漢字🙂½²\u0301\u2028"
+        texts.append("".join(rng.choice(pool) for _ in range(rng.randrange(60))))
+    for _ in range(2):  # met anew, then known
+        for t in texts:
+            want = lib.encode(t, add_special_tokens=False).ids
+            assert np.frombuffer(words.encode(t), "<u2").tolist() == want, t[:80]
+
+
+def test_shards_are_read_a_task_each(spark, tmp_path):
+    rows = [(i, f"text {i} " * 40) for i in range(200)]
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    manifest, dictionary = F.write_token_files(docs(spark, rows).repartition(4), f"file://{tmp_path}/t")
+    spark.conf.set(key, "true")
+    assert manifest.count() > 1
+    back = F.read_token_files(manifest, dictionary)
+    assert back.rdd.getNumPartitions() == manifest.count()
+    assert sorted(r.doc_id for r in back.collect()) == list(range(200))
