@@ -68,8 +68,19 @@ def _pack(ids, width: int) -> bytes:
     return a.tobytes()
 
 
-#: The word pattern of ASCII text in lower case, for the standard library.
+#: The word pattern for the standard library, on lower case text of ASCII and of Latin-1 (letters, digits and white space
+#: of that range spelled out); such texts are in normal form.
 _ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+_LATIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|"
+                         r"[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class PackedWords:
@@ -78,6 +89,7 @@ class PackedWords:
 
     def __init__(self, name: str):
         self.name, self.v, self.width = name, vocabulary(name), _width(name)
+        self.merges = library_words(name).merges
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -92,7 +104,9 @@ class PackedWords:
             self.old, self.young = self.young, {}
         raw = self.young.get(w) or self.old.get(w)
         if raw is None:
-            raw = _pack(library_words(self.name).merges("".join([self.v.alphabet[x] for x in w.encode()])), self.width)
+            # printable ASCII stands for itself in the alphabet of bytes
+            shown = w if w.isascii() and w.isalnum() else "".join([self.v.alphabet[x] for x in w.encode()])
+            raw = _pack(self.merges(shown), self.width)
         self.young[w] = raw
         return raw
 
@@ -104,6 +118,8 @@ class PackedWords:
             return self._slow(text)
         if text.isascii():
             words = _ASCII_WORD.findall(text.lower())
+        elif _latin(text):
+            words = _LATIN_WORD.findall(text.lower())
         else:
             text = normalise(text)
             words = _patterns(_usual(text))[0].findall(text)
@@ -114,10 +130,11 @@ class PackedWords:
 
 
 def train_dictionary(docs: DataFrame, name: str = VOCABULARY, end_id: int = 2) -> bytes:
-    """A dictionary from the ids of a sample of short documents (those of the least hashes, found in one scan); empty when
-    there is too little to train on."""
-    short = docs.select("text").filter(F.length("text").between(1, SAMPLE_CHARS))
-    texts = [r.text for r in short.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS).collect()]
+    """A dictionary from the ids of a sample of short documents; empty when there is too little to train on.  The rows are
+    counted without their texts, so these are read once, and only about as many as wanted leave their task."""
+    share = min(1.0, 2 * SAMPLE_ROWS / max(docs.count(), 1))
+    texts = [r.text for r in docs.select("text").sample(fraction=share, seed=11).limit(2 * SAMPLE_ROWS)
+             .filter(F.length("text").between(1, SAMPLE_CHARS)).limit(SAMPLE_ROWS).collect()]
     words = PackedWords(name)
     end = _pack([end_id], words.width)
     try:

@@ -49,11 +49,11 @@ def test_empty(spark, tmp_path):
 def test_packed_words_equal_the_library():
     lib = Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY))
     words, rng = F.PackedWords(bpe.VOCABULARY), random.Random(6)
-    ascii_all = "".join(map(chr, range(128)))
-    texts = [ascii_all, ascii_all * 3, "It's DON'T we'll I'd 'tis", "x" * 40_000, "a b " * 9000, "<|startoftext|>x<|endoftext|>",
+    ascii_all, latin_all = ("".join(map(chr, range(n))) for n in (128, 256))
+    texts = [ascii_all, latin_all, latin_all[::-1], "a".join(latin_all), "1".join(latin_all), "-".join(latin_all), ascii_all * 3, "It's DON'T we'll I'd 'tis", "x" * 40_000, "a b " * 9000, "<|startoftext|>x<|endoftext|>",
              "é É ÉTÉ Σίσυφος ς ½² 漢字 🙂🏽", ""]
     for i in range(400):
-        pool = ascii_all if i % 2 else ascii_all + "éÉßΣσς漢字🙂½²\u0301\u2028"
+        pool = (ascii_all, latin_all, ascii_all + "éÉßΣσς漢字🙂½²\u0301\u2028")[i % 3]
         texts.append("".join(rng.choice(pool) for _ in range(rng.randrange(60))))
     for _ in range(2):  # met anew, then known
         for t in texts:
