@@ -178,3 +178,46 @@ def q_term_bursts(spark, sf_dir):
     from pressroom.operators import trends as TR
     checkpoint_dir(spark)
     return TR.term_bursts(TR.term_windows(FX.articles_view(spark, sf_dir)).checkpoint())
+
+
+# --------------------------------------------------------------------------- phrases
+PHRASE_TOP, PAIRS_TOP = 50, 200
+
+
+def _grams_sql(n: int) -> str:
+    return (f"SELECT unnest([array_to_string(w[i:i + {n - 1}], ' ') FOR i IN range(1, greatest(len(w) - {n - 2}, 1))]) AS phrase "
+            f"FROM (SELECT {_words_sql()} AS w FROM documents)")
+
+
+@register("phrase_top", " UNION ALL ".join(f"""
+SELECT * FROM (SELECT {n} AS n, row_number() OVER (ORDER BY count DESC, phrase)::INTEGER AS rank, phrase, count
+               FROM (SELECT phrase, count(*) AS count FROM ({_grams_sql(n)}) GROUP BY phrase)) WHERE rank <= {PHRASE_TOP}"""
+                                           for n in (2, 3)))
+def q_phrase_top(spark, sf_dir):
+    """The 50 most frequent pairs and triples of words of all documents, exactly."""
+    from pressroom.operators import phrases as PH
+    docs = FX.table(spark, sf_dir, "documents")
+    return PH.top_ngrams(docs, 2, PHRASE_TOP).unionByName(PH.top_ngrams(docs, 3, PHRASE_TOP))
+
+
+@register("phrase_association", f"""
+WITH g AS ({_grams_sql(2)}),
+c AS (SELECT phrase, count(*) AS k, split_part(phrase, ' ', 1) AS a, split_part(phrase, ' ', 2) AS b FROM g GROUP BY phrase),
+fa AS (SELECT a, sum(k)::DOUBLE AS na FROM c GROUP BY a),
+fb AS (SELECT b, sum(k)::DOUBLE AS nb FROM c GROUP BY b),
+t AS (SELECT sum(k)::DOUBLE AS n FROM c),
+top AS (SELECT * FROM c ORDER BY k DESC, phrase LIMIT {PAIRS_TOP}),
+x AS (SELECT phrase, k, na, nb, n, k::DOUBLE AS k11, na - k AS k12, nb - k AS k21, n - na - nb + k AS k22
+      FROM top JOIN fa USING (a) JOIN fb USING (b), t)
+SELECT phrase, k AS count, na::BIGINT AS n_first, nb::BIGINT AS n_second, round(2 * (
+       CASE WHEN k11 > 0 THEN k11 * ln(k11 * n / (na * nb)) ELSE 0 END
+     + CASE WHEN k12 > 0 THEN k12 * ln(k12 * n / (na * (n - nb))) ELSE 0 END
+     + CASE WHEN k21 > 0 THEN k21 * ln(k21 * n / ((n - na) * nb)) ELSE 0 END
+     + CASE WHEN k22 > 0 THEN k22 * ln(k22 * n / ((n - na) * (n - nb))) ELSE 0 END), 3) AS score FROM x""")
+def q_phrase_association(spark, sf_dir):
+    """How strongly the words of the 200 most frequent pairs belong together."""
+    from pressroom.operators import phrases as PH
+    docs = FX.table(spark, sf_dir, "documents")
+    checkpoint_dir(spark)
+    found = PH.associations(docs, PH.top_ngrams(docs, 2, PAIRS_TOP))
+    return found.withColumn("score", F.round("score", 3))
