@@ -221,3 +221,36 @@ def q_phrase_association(spark, sf_dir):
     checkpoint_dir(spark)
     found = PH.associations(docs, PH.top_ngrams(docs, 2, PAIRS_TOP))
     return found.withColumn("score", F.round("score", 3))
+
+
+# --------------------------------------------------------------------------- sessions
+_SESSIONS_SQL = """
+e AS (SELECT event_id, user_id, ts, event_type FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+p AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM e),
+s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL '6 hours' THEN 1 ELSE 0 END)
+                OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM p)"""
+
+
+@register("event_sessions", f"""WITH {_SESSIONS_SQL}
+SELECT user_id, session, min(ts) AS start, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, session""")
+def q_event_sessions(spark, sf_dir):
+    """Sessions of all events: no pause over six hours."""
+    from pressroom.operators import sessions as SE
+    return SE.sessions(FX.table(spark, sf_dir, "events"))
+
+
+@register("event_funnel", f"""WITH {_SESSIONS_SQL},
+a AS (SELECT user_id, session, min(struct_pack(ts := ts, id := event_id)) AS at FROM s WHERE event_type = 'view' GROUP BY ALL),
+b AS (SELECT s.user_id, s.session, min(struct_pack(ts := ts, id := event_id)) AS at FROM s JOIN a USING (user_id, session)
+      WHERE event_type = 'click' AND struct_pack(ts := ts, id := event_id) > a.at GROUP BY ALL),
+c AS (SELECT s.user_id, s.session, min(struct_pack(ts := ts, id := event_id)) AS at FROM s JOIN b USING (user_id, session)
+      WHERE event_type = 'purchase' AND struct_pack(ts := ts, id := event_id) > b.at GROUP BY ALL)
+SELECT user_id, session, (a.at IS NOT NULL)::INTEGER + (b.at IS NOT NULL)::INTEGER + (c.at IS NOT NULL)::INTEGER AS reached,
+       a.at.ts AS step_1, b.at.ts AS step_2, c.at.ts AS step_3
+FROM (SELECT DISTINCT user_id, session FROM s) LEFT JOIN a USING (user_id, session) LEFT JOIN b USING (user_id, session)
+     LEFT JOIN c USING (user_id, session)""")
+def q_event_funnel(spark, sf_dir):
+    """How far each session gets from a view to a click to a purchase."""
+    from pressroom.operators import sessions as SE
+    checkpoint_dir(spark)
+    return SE.funnel(FX.table(spark, sf_dir, "events"))
