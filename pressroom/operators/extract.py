@@ -81,14 +81,10 @@ def extract_page(html: str, profile, compiled, page_url: str | None = None, extr
                 for i, r in enumerate(extractor(html))]
     doc = Document(html)
     cont, tsel, psel, usel = compiled
-    seen, elements = set(), []
-    for m in cont:
-        for e in select(doc, doc.root, m):
-            if id(e) not in seen:
-                seen.add(id(e))
-                elements.append(e)
+    # elements by their position on the page, in the order in which a selector first finds them
+    elements = {e.start: e for m in cont for e in select(doc, doc.root, m)}
     out = []
-    for pos, el in enumerate(elements):
+    for pos, el in enumerate(elements.values()):
         if use_cap and pos >= profile.cap:
             out.append((pos, None, None, None, OVER_CAP))
             continue

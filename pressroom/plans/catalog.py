@@ -799,6 +799,43 @@ def q_purge_runs(spark, sf_dir):
     return LG.purge_runs(_state(spark, sf_dir), LEDGER_NOW, 24)
 
 
+def _only_clean(html):
+    """A source's own extractor (E9) that gives up on pages with junk marks."""
+    import re
+    from html import unescape
+    if "***" in html:
+        raise ValueError("junk marks")
+    return [{"title": unescape(t), "perex": "", "url": "/checked"} for t in re.findall("(?s)<title>(.*?)</title>", html)]
+
+
+_QUARANTINE_SQL = f"""
+SELECT page_id, source, CASE WHEN error IS NULL THEN 'article' ELSE 'quarantined' END AS outcome,
+       CASE WHEN error IS NULL THEN 0 ELSE -1 END AS pos, coalesce(error, title) AS detail
+FROM (SELECT page_id, {_HOST_SQL} AS source, {O.clean_text(_decode("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))} AS title,
+             CASE WHEN page_id % 3 = 1 THEN 'KeyError: ''gone'''
+                  WHEN page_id % 3 = 2 AND contains(html, '***') THEN 'ValueError: junk marks' END AS error
+      FROM pages WHERE page_id % 3 > 0) x
+WHERE error IS NOT NULL OR length(title) >= 10
+UNION ALL
+SELECT page_id, source, 'article' AS outcome, pos, title AS detail FROM ({_PAGES_DIRECT_SQL}) y WHERE page_id % 3 = 0"""
+
+
+@register("pages_quarantine", _QUARANTINE_SQL)
+def q_pages_quarantine(spark, sf_dir):
+    """E6 + E9 over every stored page: a third go through the fallback profile, a third through a profile that no longer
+    exists, a third through an extractor that fails on some pages.  What fails is a row with its error; the rest of the run
+    is as it would be without it."""
+    from pressroom.sources.profiles import registry
+    known = registry()
+    pages = assign_source(_pages(spark, sf_dir), profiles_df(spark), fallback="page")
+    third = F.col("page_id") % 3
+    pages = pages.withColumn("profile", F.when(third == 1, "gone").when(third == 2, "checked").otherwise(F.col("profile")))
+    arts, _, failed = extract_articles(pages, known | {"checked": known["page"]}, {"checked": _only_clean})
+    return (arts.select("page_id", "source", F.lit("article").alias("outcome"), "pos", F.col("title").alias("detail"))
+            .unionByName(failed.select("page_id", "source", F.lit("quarantined").alias("outcome"), "pos",
+                                       F.col("error").alias("detail"))))
+
+
 # ---------------------------------------------------------------------------- streaming
 _PAGES_TABLE_SQL = f"""
 WITH b AS (SELECT row_number() OVER (ORDER BY page_id, pos) AS seq, * FROM ({_PAGES_DIRECT_SQL}) x),
@@ -875,8 +912,6 @@ def q_listing_stored(spark, sf_dir):
 
 
 # ------------------------------------------------------------- the twelve news profiles
-from functools import reduce  # noqa: E402
-
 from pressroom.sources.profiles import NEWS_PROFILES  # noqa: E402
 
 
@@ -899,13 +934,10 @@ def q_news_profiles_extract(spark, sf_dir):
     """E7 + E1-E5: every rebuilt front page parsed with each of the twelve news-source
     profiles (their full selector lists); each profile's selector chain must
     find the same article records."""
-    pages = FX.listing_pages(spark, sf_dir)
-    out = []
-    for p in NEWS_PROFILES:
-        arts, _, _ = extract_articles(pages.withColumn("profile", F.lit(p.name)))
-        out.append(arts.select(F.lit(p.name).alias("profile"), "page_id", "pos", "source", "url", "title",
-                               "perex", "title_hash"))
-    return reduce(lambda a, b: a.unionByName(b), out)
+    every = F.explode(F.array(*[F.lit(p.name) for p in NEWS_PROFILES]))
+    pages = FX.listing_pages(spark, sf_dir).withColumn("profile", every).withColumn("by", F.col("profile"))
+    arts, _, _ = extract_articles(pages, carry=["by"])  # one stage for all twelve
+    return arts.select(F.col("by").alias("profile"), "page_id", "pos", "source", "url", "title", "perex", "title_hash")
 
 
 # A re-scrape of every article against the table: item i carries the url of article
