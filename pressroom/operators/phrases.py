@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ from pressroom.session import scratch_path, spread
 CAPACITY, GROWTH = 100_000, 4
 BUFFER = 2_000_000            # hashes held by a task before they are folded into its summary
 BROADCAST_ROWS = 2_000_000
+TURN = 17                     # bits by which the hash so far is turned before the next word's is mixed in
 
 
 class Summary:
@@ -62,21 +64,47 @@ class Summary:
         self.keys, self.counts = both, total
 
 
-def ngrams(text: Column, n: int) -> Column:
-    """The text's runs of n words, joined by spaces, repeats included."""
-    def run(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(w) - F.lit(n - 1))
-        return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))
-    got = F.transform(F.array(words(text)), run)[0]  # words are cut once
-    return F.coalesce(got, F.array().cast("array<string>"))
-
-
-def summaries(hashes: DataFrame, capacity: int) -> DataFrame:
-    """(h, low, error) a task: its counters, and its error in one row whose h is NULL.  ``hashes``: one column of arrays."""
+def joined(hashes: list[Column]) -> Column:
+    """The hash of a run of words from the hashes of its words (as :func:`joined_runs` has it)."""
+    out = hashes[0]
+    for h in hashes[1:]:
+        out = F.shiftleft(out, TURN).bitwiseOR(F.shiftrightunsigned(out, 64 - TURN)).bitwiseXOR(h)
+    return out
+
+
+def joined_runs(hashes: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of all runs of n words in texts of these lengths, laid end to end."""
+    k = len(hashes) - n + 1
+    if k <= 0:
+        return np.zeros(0, np.int64)
+    words_of = hashes.view(np.uint64)
+    out = words_of[:k]
+    for j in range(1, n):
+        out = (out << np.uint64(TURN) | out >> np.uint64(64 - TURN)) ^ words_of[j:j + k]
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    return out[text[:k] == text[n - 1:]].view(np.int64)
+
+
+def runs(texts: DataFrame, n: int) -> DataFrame:
+    """h, w0 ... : a row for each run of n words, repeats included."""
+    w = F.col("w")
+    k = F.size(w) - F.lit(n - 1)
+    names = [f"w{j}" for j in range(n)]
+    zipped = F.arrays_zip(*[F.slice(w, F.lit(j + 1), k).alias(x) for j, x in enumerate(names)])
+    cut = texts.select(words(F.col("text")).alias("w")).select(F.explode(F.when(k >= 1, zipped)).alias("r"))
+    cut = cut.select(*[F.col("r")[x].alias(x) for x in names])
+    return cut.withColumn("h", joined([F.xxhash64(x) for x in names]))
+
+
+def summaries(hashes: DataFrame, capacity: int, n: int = 1) -> DataFrame:
+    """(h, low, error) a task: its counters, and its error in one row whose h is NULL.  ``hashes``: one column, the hashes of
+    each text's words; runs of n of them are counted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, held, size = Summary(capacity), [], 0
         for batch in batches:
-            got = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            lists = batch.column(0)
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            got = joined_runs(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lengths, n)
             held.append(got)
             size += len(got)
             if size >= BUFFER:
@@ -96,10 +124,10 @@ def summaries(hashes: DataFrame, capacity: int) -> DataFrame:
 def _candidates(texts: DataFrame, n: int, top: int, capacity: int) -> tuple[DataFrame, int, int]:
     """Summed counters (h, low), the sum of errors E and the n-th largest sum L, with E at most L / 2."""
     spark = texts.sparkSession
-    hashes = texts.select(F.transform(ngrams(F.col("text"), n), lambda g: F.xxhash64(g)).alias("hs"))
+    hashes = texts.select(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hs"))
     while True:
         path = scratch_path(spark, "phrases")
-        (summaries(hashes, capacity).groupBy("h").agg(F.sum("low").alias("low"), F.sum("error").alias("error"))
+        (summaries(hashes, capacity, n).groupBy("h").agg(F.sum("low").alias("low"), F.sum("error").alias("error"))
          .write.parquet(path))
         summed = spark.read.parquet(path)
         error = summed.where("h IS NULL").agg(F.sum("error")).first()[0] or 0
@@ -119,10 +147,11 @@ def top_ngrams(texts: DataFrame, n: int, top: int, text_col: str = "text", capac
     while True:
         keep = summed.where(F.col("low") >= least - error).select("h")
         few = keep.count() <= BROADCAST_ROWS
-        grams = texts.select(F.explode(ngrams(F.col("text"), n)).alias("phrase")).withColumn("h", F.xxhash64("phrase"))
+        names = [f"w{j}" for j in range(n)]
         path = scratch_path(spark, "phrase-counts")
-        (grams.join(F.broadcast(keep) if few else keep, "h", "left_semi").groupBy("phrase").agg(F.count("*").alias("count"))
-         .orderBy(F.desc("count"), "phrase").limit(top).write.parquet(path))
+        (runs(texts, n).join(F.broadcast(keep) if few else keep, "h", "left_semi")
+         .groupBy(*names).agg(F.count("*").alias("count"))
+         .select(F.concat_ws(" ", *names).alias("phrase"), "count").orderBy(F.desc("count"), "phrase").limit(top).write.parquet(path))
         best = spark.read.parquet(path)
         got = best.agg(F.min("count"), F.count("*")).first()
         exact = got[0] if got[1] == top else 0

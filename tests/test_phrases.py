@@ -101,3 +101,14 @@ def test_summaries_are_one_stage_after_native_words(spark):
     d = frame(spark, texts())
     plan = P.summaries(d.selectExpr("array(xxhash64(text)) AS h"), 10)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "PartitionEvalPython" not in plan
+
+
+def test_joined_hashes_agree(spark):
+    rows = ["a b c d", "", "a a a", "b", "c d"]
+    d = spark.createDataFrame([(t,) for t in rows], "text string").coalesce(1)
+    hashes = dict(spark.sql("SELECT w, xxhash64(w) FROM VALUES 'a', 'b', 'c', 'd' t(w)").collect())
+    flat = np.array([hashes[w] for t in rows for w in t.split()], np.int64)
+    for n in (1, 2, 3, 4, 5):
+        got = sorted(r.h for r in P.runs(d, n).collect())
+        assert got == sorted(P.joined_runs(flat, np.array([len(t.split()) for t in rows]), n).tolist())
+        assert len(got) == sum(max(0, len(t.split()) - n + 1) for t in rows)
