@@ -3,8 +3,8 @@
 One ``mapInPandas`` stage: ``(page_id, profile, source, base_url, url, html)`` in,
 ``(page_id, source, base_url, pos, title, perex, url, error)`` out.  Pages are
 independent, so the stage needs no shuffle: it runs wherever the page split is read.
-Profiles travel in the task closure (driver-side registry, bounded by the number of
-sources) and selectors are compiled once per task.
+Profiles travel in the task closure (driver-side registry, bounded by the
+number of sources) and selectors are compiled once per task.
 
 Per page (as the reference does per source page):
 1. containers: each container selector in turn, document order within a selector,
@@ -25,12 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pressroom.functions.text import clean_text_py
-
 # --- fixed values ----------------------------------------------------------------------
 MIN_TITLE_CHARS = 10
 MIN_PEREX_CHARS = 20
 # ---------------------------------------------------------------------------------------
+FOUND_BY = "found_by"   # names of the profiles that found a candidate (pages with several profiles)
 OVER_CAP = "over_cap"   # marks a candidate that a capped run leaves out
 
 RAW_SCHEMA = T.StructType([
@@ -58,7 +57,7 @@ def _first_text(doc, el, matchers, min_chars):
     for m in matchers:
         hit = select_one(doc, el, m)
         if hit is not None:
-            t = clean_text_py(hit.text())
+            t = doc.clean_text_of(hit)
             if t and len(t) >= min_chars:
                 return t
     return ""
@@ -73,13 +72,14 @@ def _first_href(doc, el, matchers):
     return ""
 
 
-def extract_page(html: str, profile, compiled, page_url: str | None = None, extractor=None, use_cap: bool = False):
-    """Candidates of one page as ``(pos, title, perex, url, error)`` tuples."""
+def extract_page(html: str, profile, compiled, page_url: str | None = None, extractor=None, use_cap: bool = False,
+                 doc=None):
+    """Candidates of one page as ``(pos, title, perex, url, error)`` tuples; ``doc``: the page if already parsed."""
     from pressroom.operators.htmltree import Document, select
     if extractor is not None:  # E9 plug-in: a custom per-page extractor
         return [(i, r.get("title", ""), r.get("perex", ""), r.get("url", ""), None)
                 for i, r in enumerate(extractor(html))]
-    doc = Document(html)
+    doc = Document(html) if doc is None else doc
     cont, tsel, psel, usel = compiled
     # elements by their position on the page, in the order in which a selector first finds them
     elements = {e.start: e for m in cont for e in select(doc, doc.root, m)}
@@ -104,47 +104,74 @@ def extract_page(html: str, profile, compiled, page_url: str | None = None, extr
     return out
 
 
-def _make_stage(profiles: dict, extractors: dict | None = None, carry=(), out_schema=RAW_SCHEMA, use_cap=False):
-    extractors = extractors or {}
+def extract_with_each(html: str, names, profiles: dict, compiled: dict, page_url: str | None = None,
+                      extractors: dict | None = None, use_cap: bool = False) -> dict:
+    """Candidates of one page by each named profile: ``(pos, title, perex, url, error)`` -> the names that found it.
+    The page is parsed once; a profile that fails leaves an error row (pos -1) and the others go on."""
+    from pressroom.operators.htmltree import Document
+    found: dict[tuple, list[str]] = {}
+    doc = None
+    for name in dict.fromkeys(names):
+        try:
+            prof, extractor = profiles[name], (extractors or {}).get(name)
+            if name not in compiled:
+                compiled[name] = _compile(prof)
+            if doc is None and extractor is None:
+                doc = Document(html)
+            got = extract_page(html, prof, compiled[name], page_url, extractor, use_cap, doc)
+        except Exception as exc:  # noqa: BLE001 - isolate one bad page
+            got = [(-1, None, None, None, f"{type(exc).__name__}: {exc}")]
+        for row in got:
+            found.setdefault(row, []).append(name)
+    return found
+
+
+def _make_stage(profiles: dict, extractors: dict | None = None, carry=(), several=False, use_cap=False):
     carry = list(carry)
-    names = [f.name for f in out_schema.fields]
+    names = RAW_SCHEMA.fieldNames() + ([FOUND_BY] if several else [])
 
     def stage(batches):
         import pandas as pd
         compiled = {}
-        for pdf in batches:
-            rows, keep_idx = [], []
-            for i, (page_id, prof_name, source, base_url, url, html) in enumerate(zip(
-                    pdf["page_id"], pdf["profile"], pdf["source"], pdf["base_url"], pdf["url"], pdf["html"])):
-                try:
-                    if page_id is None:
-                        raise ValueError("page without an id")
-                    prof = profiles[prof_name]
-                    if prof_name not in compiled:
-                        compiled[prof_name] = _compile(prof)
-                    for pos, title, perex, u, err in extract_page(html, prof, compiled[prof_name], url,
-                                                                  extractors.get(prof_name), use_cap):
-                        rows.append((page_id, source, base_url, pos, title, perex, u, err))
-                        keep_idx.append(i)
-                except Exception as exc:  # noqa: BLE001 - isolate one bad page
-                    rows.append((page_id, source, base_url, -1, None, None, None, f"{type(exc).__name__}: {exc}"))
-                    keep_idx.append(i)
-            out = pd.DataFrame(rows, columns=names[:len(RAW_SCHEMA.fields)]).astype({"pos": "int32"})
+
+        def emit(pdf, rows, at):
+            out = pd.DataFrame(rows, columns=names).astype({"pos": "int32"})
             for c in carry:  # page-level columns handed through, no re-join on page_id later
-                out[c] = pdf[c].iloc[keep_idx].reset_index(drop=True) if keep_idx else pdf[c].iloc[:0]
-            yield out
+                out[c] = pdf[c].iloc[at].reset_index(drop=True)
+            return out
+
+        for pdf in batches:
+            rows, at = [], []
+            for i, (page_id, by, source, base_url, url, html) in enumerate(zip(*[pdf[c] for c in PAGE_COLUMNS])):
+                if several:
+                    by = [None] if by is None or len(by) == 0 else by
+                else:
+                    by = [by]
+                if page_id is None:
+                    found = {(-1, None, None, None, "ValueError: page without an id"): list(by)}
+                else:
+                    found = extract_with_each(html, by, profiles, compiled, url, extractors, use_cap)
+                for (pos, title, perex, u, err), who in found.items():
+                    rows.append((page_id, source, base_url, pos, title, perex, u, err) + ((who,) if several else ()))
+                    at.append(i)
+            if rows:
+                yield emit(pdf, rows, at)
     return stage
 
 
 def extract_raw(pages: DataFrame, profiles: dict | None = None, extractors: dict | None = None,
                 carry=(), use_cap: bool = False) -> DataFrame:
-    """Run the extraction stage; ``pages`` needs PAGE_COLUMNS."""
+    """Run the extraction stage; ``pages`` needs PAGE_COLUMNS.  Where ``profile`` is an array of names, each page is parsed
+    once for all of them, and a candidate that several find with the same values is one row with their names in
+    ``found_by``: explode it after the costly columns."""
     from pressroom.sources.profiles import registry
     profiles = profiles or registry()
-    carry = [c for c in carry if c not in PAGE_COLUMNS]
-    schema = T.StructType(RAW_SCHEMA.fields + [pages.schema[c] for c in carry])
+    carry = [c for c in carry if c not in PAGE_COLUMNS and c != FOUND_BY]
+    several = isinstance(pages.schema["profile"].dataType, T.ArrayType)
+    by = [T.StructField(FOUND_BY, T.ArrayType(T.StringType()))] if several else []
+    schema = T.StructType(RAW_SCHEMA.fields + by + [pages.schema[c] for c in carry])
     read = pages.select(*PAGE_COLUMNS, *carry).withColumn("page_id", F.col("page_id").cast("string"))
-    out = read.mapInPandas(_make_stage(profiles, extractors, carry, schema, use_cap), schema)
+    out = read.mapInPandas(_make_stage(profiles, extractors, carry, several, use_cap), schema)
     return out.withColumn("page_id", F.col("page_id").cast("long"))
 
 
@@ -169,7 +196,8 @@ def split_raw(raw: DataFrame, errors: str = "quarantine", carry=()):
         if first:
             raise RuntimeError(f"extraction failed: {first[0]['error']}")
     good = raw.filter(F.col("error").isNull())
-    valid, rejects = validate_articles(good, base_url="base_url", keep=["page_id", "pos", *carry])
+    by = [FOUND_BY] if FOUND_BY in raw.columns else []
+    valid, rejects = validate_articles(good, base_url="base_url", keep=["page_id", "pos", *by, *carry])
     over = cut.select(*[F.col(c) if c in cut.columns else F.lit(None).cast(rejects.schema[c].dataType).alias(c)
                         for c in rejects.columns if c != "reason"], F.lit(OVER_CAP).alias("reason"))
     return to_articles(valid), rejects.unionByName(over), quarantine

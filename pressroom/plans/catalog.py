@@ -934,10 +934,9 @@ def q_news_profiles_extract(spark, sf_dir):
     """E7 + E1-E5: every rebuilt front page parsed with each of the twelve news-source
     profiles (their full selector lists); each profile's selector chain must
     find the same article records."""
-    every = F.explode(F.array(*[F.lit(p.name) for p in NEWS_PROFILES]))
-    pages = FX.listing_pages(spark, sf_dir).withColumn("profile", every).withColumn("by", F.col("profile"))
-    arts, _, _ = extract_articles(pages, carry=["by"])  # one stage for all twelve
-    return arts.select(F.col("by").alias("profile"), "page_id", "pos", "source", "url", "title", "perex", "title_hash")
+    pages = FX.listing_pages(spark, sf_dir).withColumn("profile", F.array(*[F.lit(p.name) for p in NEWS_PROFILES]))
+    arts, _, _ = extract_articles(pages)  # one stage for all twelve, each page parsed once
+    return arts.select(F.explode("found_by").alias("profile"), "page_id", "pos", "source", "url", "title", "perex", "title_hash")
 
 
 # A re-scrape of every article against the table: item i carries the url of article
