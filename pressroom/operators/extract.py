@@ -3,7 +3,8 @@
 One ``mapInPandas`` stage: ``(page_id, profile, source, base_url, url, html)`` in,
 ``(page_id, source, base_url, pos, title, perex, url, error)`` out.  Pages are
 independent, so the stage needs no shuffle: it runs wherever the page split is read.
-Profiles travel in the task closure (driver-side registry, bounded by the
+A task holds one parsed page and about ``OUT_CHARS`` of found texts at a time, beside the
+batch it reads (whose bytes Spark limits).  Profiles travel in the task closure (driver-side registry, bounded by the
 number of sources) and selectors are compiled once per task.
 
 Per page (as the reference does per source page):
@@ -29,6 +30,7 @@ from pyspark.sql import types as T
 MIN_TITLE_CHARS = 10
 MIN_PEREX_CHARS = 20
 # ---------------------------------------------------------------------------------------
+OUT_CHARS = 4_000_000   # a task hands on its rows when their texts add up to this
 FOUND_BY = "found_by"   # names of the profiles that found a candidate (pages with several profiles)
 OVER_CAP = "over_cap"   # marks a candidate that a capped run leaves out
 
@@ -141,7 +143,7 @@ def _make_stage(profiles: dict, extractors: dict | None = None, carry=(), severa
             return out
 
         for pdf in batches:
-            rows, at = [], []
+            rows, at, size = [], [], 0
             for i, (page_id, by, source, base_url, url, html) in enumerate(zip(*[pdf[c] for c in PAGE_COLUMNS])):
                 if several:
                     by = [None] if by is None or len(by) == 0 else by
@@ -154,6 +156,10 @@ def _make_stage(profiles: dict, extractors: dict | None = None, carry=(), severa
                 for (pos, title, perex, u, err), who in found.items():
                     rows.append((page_id, source, base_url, pos, title, perex, u, err) + ((who,) if several else ()))
                     at.append(i)
+                    size += len(title or "") + len(perex or "")
+                    if size >= OUT_CHARS:
+                        yield emit(pdf, rows, at)
+                        rows, at, size = [], [], 0
             if rows:
                 yield emit(pdf, rows, at)
     return stage
