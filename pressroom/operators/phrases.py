@@ -36,7 +36,8 @@ from pressroom.operators.search_index import words
 from pressroom.session import scratch_path, spread
 
 CAPACITY, GROWTH = 100_000, 4
-BUFFER = 2_000_000            # hashes held by a task before they are folded into its summary
+BUFFER = 1_000_000            # hashes held by a task before they are folded into its summary
+SLICE = 250_000               # hashes of a batch that are joined to runs at once
 BROADCAST_ROWS = 2_000_000
 TURN = 17                     # bits by which the hash so far is turned before the next word's is mixed in
 
@@ -85,6 +86,15 @@ def joined_runs(hashes: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     return out[text[:k] == text[n - 1:]].view(np.int64)
 
 
+def sliced_runs(hashes: np.ndarray, lengths: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """The same runs, at most ``SLICE`` at a time, so that what a task holds beside its batch does not grow with it."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    for a in range(0, len(hashes), SLICE):
+        b = min(a + SLICE + n - 1, len(hashes))  # a run belongs to the slice it begins in
+        lo, hi = np.searchsorted(ends, a, "right"), np.searchsorted(ends, b, "left") + 1
+        yield joined_runs(hashes[a:b], np.minimum(ends[lo:hi], b) - np.maximum(ends[lo:hi] - lengths[lo:hi], a), n)
+
+
 def runs(texts: DataFrame, n: int) -> DataFrame:
     """h, w0 ... : a row for each run of n words, repeats included."""
     w = F.col("w")
@@ -104,12 +114,13 @@ def summaries(hashes: DataFrame, capacity: int, n: int = 1) -> DataFrame:
         for batch in batches:
             lists = batch.column(0)
             lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            got = joined_runs(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lengths, n)
-            held.append(got)
-            size += len(got)
-            if size >= BUFFER:
-                kept.add(np.concatenate(held))
-                held, size = [], 0
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+            for got in sliced_runs(flat, lengths, n):
+                held.append(got)
+                size += len(got)
+                if size >= BUFFER:
+                    kept.add(np.concatenate(held))
+                    held, size = [], 0
         if held:
             kept.add(np.concatenate(held))
         for at in range(0, len(kept.keys), 10_000):
