@@ -36,7 +36,7 @@ def signature(title: str | Column) -> Column:
         n = F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))
         runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.md5(F.array_join(F.slice(words, i, SHINGLE), " ")))
         return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(
-            F.slice(F.array_sort(F.array_distinct(runs)), 1, SIGNATURE))
+            F.slice(F.sort_array(F.array_distinct(runs)), 1, SIGNATURE))
 
     words = F.filter(F.split(normalize_title(title), " "), lambda w: w != "")
     return F.transform(F.array(words), of)[0]  # bound once: inside the lambda the words would be cut for every run
