@@ -28,6 +28,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,9 +66,9 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of every row; ``fp`` holds the 64 bits as a signed long."""
-    @F.pandas_udf("bigint")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+    @F.arrow_udf("bigint")
+    def fp(texts: pa.Array) -> pa.Array:  # one text at a time is a Python string, never a whole batch
+        return pa.array(np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64))
     return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col)).alias("fp"))
 
 

@@ -113,3 +113,14 @@ def test_empty(spark):
     assert S.simhash_components(docs(spark, [])).count() == 0
     assert S.drop_near_duplicates(docs(spark, [])).count() == 0
     assert S.simhash_components(docs(spark, [(1, None)])).collect()[0].component_id == 1
+
+
+def test_texts_reach_the_fingerprints_without_pandas(spark):
+    """Pipeline: a batch of texts is not copied into Python strings as a whole."""
+    from pressroom.llm import simhash
+    df = spark.createDataFrame([(1, "a b c d e"), (2, None), (3, "")], "doc_id long, text string")
+    got = simhash.fingerprints(df)
+    udf = [c for c in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "ArrowEvalPython" in c]
+    assert len(udf) == 1 and udf[0].rstrip().endswith(", 250")   # PythonEvalType.SQL_SCALAR_ARROW_UDF
+    assert {r.doc_id: r.fp % 2**64 for r in got.collect()} == {
+        1: simhash.fingerprint("a b c d e", 4), 2: 0, 3: 0}
