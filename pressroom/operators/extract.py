@@ -1,11 +1,11 @@
 """Extraction stage (E1-E6): page HTML -> candidate article records.
 
-One ``mapInPandas`` stage: ``(page_id, profile, source, base_url, url, html)`` in,
+One ``mapInArrow`` stage: ``(page_id, profile, source, base_url, url, html)`` in,
 ``(page_id, source, base_url, pos, title, perex, url, error)`` out.  Pages are
 independent, so the stage needs no shuffle: it runs wherever the page split is read.
-A task holds one parsed page and about ``OUT_CHARS`` of found texts at a time, beside the
-batch it reads (whose bytes Spark limits).  Profiles travel in the task closure (driver-side registry, bounded by the
-number of sources) and selectors are compiled once per task.
+A task holds one parsed page, the strings of about ``IN_BYTES`` of pages and about ``OUT_CHARS`` of found texts at a
+time, beside the Arrow batch it reads (whose bytes Spark limits).  Profiles travel in the task closure (driver-side
+registry, bounded by the number of sources) and selectors are compiled once per task.
 
 Per page (as the reference does per source page):
 1. containers: each container selector in turn, document order within a selector,
@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 MIN_TITLE_CHARS = 10
 MIN_PEREX_CHARS = 20
 # ---------------------------------------------------------------------------------------
+IN_BYTES = 2_000_000    # pages of a read batch that become Python strings at a time (one page at least)
 OUT_CHARS = 4_000_000   # a task hands on its rows when their texts add up to this
 FOUND_BY = "found_by"   # names of the profiles that found a candidate (pages with several profiles)
 OVER_CAP = "over_cap"   # marks a candidate that a capped run leaves out
@@ -125,9 +126,41 @@ def extract_with_each(html: str, names, profiles: dict, compiled: dict, page_url
             got = [(-1, None, None, None, f"{type(exc).__name__}: {exc}")]
         for row in got:
             found.setdefault(row, []).append(name)
+    if doc is not None:
+        doc.release()
     return found
 
 
+def _page_slices(batches):
+    """Read batches as small pandas frames, in order: a whole batch never becomes Python strings."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("html")), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        lo = 0
+        while lo < len(ends):
+            until = IN_BYTES + (ends[lo - 1] if lo else 0)
+            hi = max(lo + 1, int(np.searchsorted(ends, until, "right")))
+            yield batch.slice(lo, hi - lo).to_pandas(integer_object_nulls=True)
+            lo = hi
+        del batch, sizes, ends  # not held while the next one is read
+        pa.default_memory_pool().release_unused()
+
+
+def _arrow_stage(stage, schema: T.StructType):
+    """``stage`` (pandas frames in and out) over Arrow batches."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    types = to_arrow_schema(schema)
+
+    def run(batches):
+        import pyarrow as pa
+        for out in stage(_page_slices(batches)):
+            yield pa.RecordBatch.from_pandas(out, types, preserve_index=False)
+    return run
+
+
 def _make_stage(profiles: dict, extractors: dict | None = None, carry=(), several=False, use_cap=False):
     carry = list(carry)
     names = RAW_SCHEMA.fieldNames() + ([FOUND_BY] if several else [])
@@ -177,7 +210,7 @@ def extract_raw(pages: DataFrame, profiles: dict | None = None, extractors: dict
     by = [T.StructField(FOUND_BY, T.ArrayType(T.StringType()))] if several else []
     schema = T.StructType(RAW_SCHEMA.fields + by + [pages.schema[c] for c in carry])
     read = pages.select(*PAGE_COLUMNS, *carry).withColumn("page_id", F.col("page_id").cast("string"))
-    out = read.mapInPandas(_make_stage(profiles, extractors, carry, several, use_cap), schema)
+    out = read.mapInArrow(_arrow_stage(_make_stage(profiles, extractors, carry, several, use_cap), schema), schema)
     return out.withColumn("page_id", F.col("page_id").cast("long"))
 
 
