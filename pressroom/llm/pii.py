@@ -20,7 +20,7 @@ import re
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +32,9 @@ KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
 BASE_KINDS = KINDS[:4]
 SPANS_TYPE = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()),
                                        T.StructField("end", T.IntegerType())]))
+SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+#: Texts of an Arrow batch that are Python strings at a time.
+ROWS = 256
 
 #: Cue words of credentials and of account numbers.
 SECRET_CUES = ("token", "password", "passwd", "secret", "api_key", "apikey", "api-key", "access_key", "private_key")
@@ -146,16 +149,22 @@ def mask(text: str | None) -> str | None:
     return "".join(out) + text[at:]
 
 
-@F.pandas_udf(SPANS_TYPE)
-def pii_spans(texts: pd.Series) -> pd.Series:
+def _each(texts: pa.Array, function, kind: pa.DataType) -> pa.Array:
+    """``function`` of every text; only ``ROWS`` texts and results at a time are Python objects, never a whole batch."""
+    parts = [pa.array([function(t.as_py()) for t in texts.slice(lo, ROWS)], kind) for lo in range(0, len(texts), ROWS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+@F.arrow_udf(SPANS_TYPE)
+def pii_spans(texts: pa.Array) -> pa.Array:
     """Column function: the spans of each text."""
-    return pd.Series([[{"kind": k, "start": s, "end": e} for k, s, e in find_spans(t)] for t in texts])
+    return _each(texts, lambda t: [dict(zip(("kind", "start", "end"), span)) for span in find_spans(t)], SPANS_ARROW)
 
 
-@F.pandas_udf(T.StringType())
-def mask_pii(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def mask_pii(texts: pa.Array) -> pa.Array:
     """Column function: each text with its personal data masked."""
-    return pd.Series([mask(t) for t in texts], dtype=object)
+    return _each(texts, mask, pa.string())
 
 
 def spans_text(spans: Column) -> Column:

@@ -90,3 +90,18 @@ def test_query_columns(spark):
         assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in want) for k in P.BASE_KINDS]
         assert r.spans == ",".join(f"{k}:{s}:{e}" for k, s, e in P.find_spans(text[r.doc_id]))
+
+
+def test_texts_reach_the_parser_without_pandas(spark):
+    """Pipeline: a batch of texts is not copied into Python strings as a whole; long batches keep every row in place."""
+    import pyarrow as pa
+    df = spark.createDataFrame([(1, "mail a@b.cz"), (2, None), (3, "")], "doc_id long, text string")
+    for got in (P.redact(df), P.find_pii(df)):
+        udf = [c for c in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "ArrowEvalPython" in c]
+        assert len(udf) == 1 and udf[0].rstrip().endswith(", 250")   # PythonEvalType.SQL_SCALAR_ARROW_UDF
+    assert {r.doc_id: r.text for r in P.redact(df).collect()} == {1: "mail [EMAIL]", 2: None, 3: ""}
+    texts = [None if i % 3 == 0 else f"{i} a{i}@b.cz" for i in range(2 * P.ROWS + 7)]
+    seen = []
+    got = P._each(pa.array(texts), lambda t: seen.append(t) or P.mask(t), pa.string())
+    assert seen == texts and got.to_pylist() == [P.mask(t) for t in texts]
+    assert len(P._each(pa.array([], pa.string()), P.mask, pa.string())) == 0
