@@ -8,7 +8,10 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every pressroom job relies on.  UTC everywhere (the article table stores
 # naive UTC timestamps), AQE on so that shuffle partition counts and skewed joins are
@@ -98,6 +101,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base.rstrip("/"), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """What runs in here has its shuffle files removed as soon as it ends, not when the
+    driver happens to collect its garbage; the session keeps its setting."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def written(df: DataFrame, name: str, lots: int = 1, by: str = "id") -> DataFrame:
+    """``df`` written once, compressed, to the shared folder and read from there: like a
+    checkpoint, but readers take only the columns they need.  ``lots``: one after the
+    other, by a hash of ``by``; only the rows of one lot are in shuffle files at a time."""
+    path = scratch_path(df.sparkSession, name)
+    with shuffles_freed(df.sparkSession):
+        for lot in range(lots):
+            part = df if lots == 1 else df.filter(F.pmod(F.xxhash64(by), F.lit(lots)) == lot)
+            part.write.mode("append").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df, min_partitions: int | None = None):
     """Round-robin a DataFrame over the cluster when its input has fewer partitions
     than there are cores (one unsplittable file, one row group).  On large inputs

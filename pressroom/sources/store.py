@@ -27,12 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pressroom.operators.articles import ARTICLE_COLUMNS, ARTICLE_SCHEMA
+from pressroom.session import shuffles_freed
 
 LOG = "log"
 BASE = "base"
 COMMITS = "commits"
 BASES = "bases"
 COMMIT_SCHEMA = "stream string, epoch long, max_id long, batch_id long"
+CODEC = "zstd"
+FEW_IDS = 1_000_000                # ids that may be broadcast
 
 
 def _p(path: str, *parts) -> str:
@@ -62,9 +65,10 @@ def write_changes(changes: DataFrame, path: str, batch_id: int, max_id: int | No
     ``max_id`` (the table's highest id after the batch) is kept there, so the next batch
     needs no scan of the id column to number its inserts."""
     spark = changes.sparkSession
-    (changes.select(*ARTICLE_COLUMNS)
-     .sortWithinPartitions("source", "scraped_at")   # row-group stats prune source filters
-     .write.mode("overwrite").parquet(_p(path, LOG, f"batch_id={int(batch_id)}")))
+    with shuffles_freed(spark):
+        (changes.select(*ARTICLE_COLUMNS)
+         .sortWithinPartitions("source", "scraped_at")   # row-group stats prune source filters
+         .write.mode("overwrite").option("compression", CODEC).parquet(_p(path, LOG, f"batch_id={int(batch_id)}")))
     row = (stream, epoch, None if max_id is None else int(max_id))
     (spark.createDataFrame([row], "stream string, epoch long, max_id long").coalesce(1)
      .write.mode("overwrite").parquet(_p(path, COMMITS, f"batch_id={int(batch_id)}")))
@@ -107,13 +111,23 @@ def read_articles(spark: SparkSession, path: str, as_of_batch: int | None = None
         # the newest version is chosen on keys alone; texts are joined to it once
         newest = log.groupBy("id").agg(F.max("batch_id").alias("batch_id")) if len(later) > 1 else None
         delta = log if newest is None else log.join(newest, ["id", "batch_id"], "left_semi")
-    else:
+    elif not done:
         delta = spark.createDataFrame([], ARTICLE_SCHEMA)
     if not done:
         return delta.select(*ARTICLE_COLUMNS)
-    base = own(spark.read.schema(ARTICLE_SCHEMA).parquet(_p(path, BASE, f"upto={upto}")))
-    return (base.join(delta.select("id"), "id", "left_anti").select(*ARTICLE_COLUMNS)
-            .unionByName(delta.select(*ARTICLE_COLUMNS)))
+    base = own(spark.read.schema(ARTICLE_SCHEMA).parquet(_p(path, BASE, f"upto={upto}"))).select(*ARTICLE_COLUMNS)
+    return _not_in(base, delta.select("id")).unionByName(delta.select(*ARTICLE_COLUMNS)) if later else base
+
+
+def _not_in(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``base`` whose id is not among ``ids``.  Texts stay where they are if one
+    side of it is counted as few: the ids that go, or those that are kept."""
+    if ids.count() <= FEW_IDS:
+        return base.join(F.broadcast(ids), "id", "left_anti")
+    kept = base.select("id").join(ids, "id", "left_anti").withColumnRenamed("id", "kept")
+    if kept.limit(FEW_IDS + 1).count() <= FEW_IDS:
+        return base.join(F.broadcast(kept), F.col("id").eqNullSafe(F.col("kept")), "left_semi")
+    return base.join(ids, "id", "left_anti")
 
 
 def compact(spark: SparkSession, path: str) -> int | None:
@@ -127,8 +141,10 @@ def compact(spark: SparkSession, path: str) -> int | None:
     if upto not in bases(spark, path):
         # range-partitioned by (source, scraped_at): each file holds a narrow slice, so
         # the listing's source filter and newest-first order skip most row groups
-        (read_articles(spark, path).repartitionByRange("source", "scraped_at")
-         .sortWithinPartitions("source", "scraped_at").write.mode("overwrite").parquet(target))
+        with shuffles_freed(spark):
+            (read_articles(spark, path).repartitionByRange("source", "scraped_at")
+             .sortWithinPartitions("source", "scraped_at").write.mode("overwrite").option("compression", CODEC)
+             .parquet(target))
         (spark.createDataFrame([(1,)], "n long").coalesce(1).write.mode("overwrite")
          .parquet(_p(path, BASES, f"upto={upto}")))
     return upto
